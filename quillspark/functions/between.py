@@ -1,0 +1,72 @@
+"""Strings that lie one edit from both ends of a pair, in Arrow batches."""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.functions.edits import ALPHABET
+
+# tasks get these functions by value, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _one_edit_forms(s: str, low: int, high: int, letters: str, gap: int) -> set[str]:
+    """Forms of ``s`` by one edit at positions low..high; ``gap`` is how much longer the other end
+    is, which rules out edits that would leave the two more than one character apart."""
+    forms = set()
+    for i in range(low, min(high, len(s)) + 1):
+        head, rest = s[:i], s[i + 1 :]
+        if i < len(s):
+            if gap <= 0:
+                forms.add(head + rest)
+            if -1 <= gap <= 1:
+                forms.add(head + rest[:1] + s[i] + rest[1:])
+                forms.update([head + c + rest for c in letters])
+        if gap >= 0:
+            tail = s[i:]
+            forms.update([head + c + tail for c in letters])
+    return forms
+
+
+def _strings_between(term: str, word: str, near: bool) -> list[str]:
+    """Strings one edit from both ends of a pair, neither end itself.
+
+    Both ends are edited around the stretch where they differ and the two sets
+    intersected. Where the neighbouring characters repeat, the same change can be made
+    further away, so there the whole string is edited. A pair that is itself one edit
+    apart admits any letter on the way; otherwise a letter one end gains is one the
+    other end has.
+    """
+    size = min(len(term), len(word))
+    head = next((i for i in range(size) if term[i] != word[i]), size)
+    tail = next((i for i in range(size) if term[-1 - i] != word[-1 - i]), size)
+    # a repeated character among the last of the common head, or the first of the common tail
+    left = head > 1 and any(s[head - 1] in s[max(head - 3, 0) : head - 1] for s in (term, word))
+    right = tail > 1 and any(
+        s[len(s) - tail] in s[len(s) - tail + 1 : len(s) - tail + 3] for s in (term, word)
+    )
+
+    def around(s: str) -> tuple[int, int, str]:
+        low = 0 if left else max(head - 2, 0)
+        high = len(s) if right else len(s) - tail + 2
+        inner = s[0 if left else max(head - 1, 0) : len(s) if right else len(s) - tail + 1]
+        return low, max(high, low), inner
+
+    t_low, t_high, t_inner = around(term)
+    w_low, w_high, w_inner = around(word)
+    gained = ALPHABET if near else "".join({c for c in w_inner if "a" <= c <= "z"})
+    lost = "".join(set(t_inner) | set(ALPHABET)) if near else "".join(set(t_inner))
+    gap = len(word) - len(term)
+    mids = _one_edit_forms(term, t_low, t_high, gained, gap)
+    mids &= _one_edit_forms(word, w_low, w_high, lost, -gap)
+    return list(mids - {term, word, ""})
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def strings_between(term: pd.Series, word: pd.Series, near: pd.Series) -> pd.Series:
+    return pd.Series([_strings_between(*row) for row in zip(term, word, near)])

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import draws
 from quillspark.functions import text as T
-from quillspark.operators.scale import global_index, lookup_join, small_side
+from quillspark.functions.rows import each, each_at
+from quillspark.operators.scale import global_index, lookup_join
 from quillspark.sources import constants as K
 
+SMALL_TABLE = 200_000
+
 
 def corpus_counters(df: DataFrame, text: str = "text") -> DataFrame:
     """Hash tags, mentions, links and capitals over all space-separated tokens; a token counts for
@@ -20,7 +24,7 @@ def corpus_counters(df: DataFrame, text: str = "text") -> DataFrame:
     is_hash, is_via = F.startswith(token, F.lit("#")), F.startswith(token, F.lit("@"))
     is_url = F.startswith(token, F.lit("http"))
     plain = ~(is_hash | is_via | is_url)
-    tokens = df.select(F.explode(T.split_space(F.col(text).cast("string"))).alias("token"))
+    tokens = each(df, T.split_space(F.col(text).cast("string")), "token")
     return tokens.agg(
         F.count_if(is_hash).alias("i_hash"),
         F.count_if(is_via).alias("i_via"),
@@ -88,17 +92,15 @@ def content_features(
         "i_terms": F.size("_content") - punc,
         "i_stopword": piece_sum(lambda w: w.isin(*stop)) if stop else F.lit(0),
     }
-    for name, (parts, handle) in mentions.items():
-        def named(w: Column, parts=parts) -> Column:
-            hit = F.lit(False)
-            for part in parts:
-                hit = hit | F.contains(w, F.lit(part))
-            return hit
-
-        exact = F.size(
-            F.filter("_t", lambda t, h=handle: (t["kind"] == "tag") & (t["body"] == h))
-        )
-        columns[name] = piece_sum(named) + exact
+
+    def mention_count(parts: Sequence[str], handle: str) -> Column:
+        def named(w: Column) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(w, F.lit(p)) for p in parts])
+
+        exact = F.filter("_t", lambda t: (t["kind"] == "tag") & (t["body"] == handle))
+        return piece_sum(named) + F.size(exact)
+
+    columns |= {name: mention_count(*rule) for name, rule in mentions.items()}
     absent = F.col(text).isNull()
     rows = rows.select(
         *df.columns,
@@ -151,7 +153,7 @@ def apply_minmax(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> Da
 
 def vocabulary_index(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(term, idx, n): terms numbered from 2 by first appearance, after padding 0 and unknown 1."""
-    seen = df.select(F.col(key).alias("_key"), F.posexplode(tokens).alias("_pos", "term"))
+    seen = each_at(df, tokens, "_pos", "term", F.col(key).alias("_key"))
     first = seen.groupBy("term").agg(
         F.min(F.struct("_key", "_pos")).alias("_first"), F.count(F.lit(1)).alias("n")
     )
@@ -197,7 +199,12 @@ def augment_synonyms(
         F.array_sort(F.collect_set("synonym")).alias("choices")
     )
     long = df.select(key, F.posexplode_outer(T.split_space(F.col(text))).alias("_pos", "term"))
-    looked = long.join(small_side(table), "term", "left")
+    if table.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+        looked = long.join(F.broadcast(table), "term", "left")
+    else:
+        uses = long.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+        weighted = table.join(uses, "term")
+        looked = lookup_join(long, weighted, ["term"], ["choices"], "uses", [key, "_pos"])
     threshold = int(rate * (1 << 32))
     chosen = (draws.draw32(f"{seed}:keep", F.col(key), F.col("_pos")) < threshold) & F.col(
         "choices"

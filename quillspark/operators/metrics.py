@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.rows import each
 from quillspark.operators.ngrams import term_counts
 
 METRICS = ["Accuracy", "Precision", "Recall", "F1", "AUC", "PRAUC"]
@@ -31,7 +32,7 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def vocabulary_size(df: DataFrame, text: str = "text", approximate: bool = False) -> DataFrame:
     if approximate:
-        tokens = df.select(F.explode(F.split(text, " ")).alias("term"))
+        tokens = each(df, F.split(text, " "), "term")
         return tokens.agg(F.approx_count_distinct("term").alias("terms"))
     return term_counts(df, text).agg(F.count(F.lit(1)).alias("terms"))
 

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.let import let
+from quillspark.functions.rows import each, each_struct
 
 
-def _starts(size: Column, n: int) -> Column:
+def window_starts(size: Column, n: int) -> Column:
     """Window starts 1..size-n+1; null when there is no window (``sequence(1, 0)`` counts down)."""
     return F.when(size >= n, F.sequence(F.lit(1), size - F.lit(n - 1)))
 
@@ -25,18 +27,21 @@ def _glue(parts: Column, start: Column, n: int, sep: str) -> Column:
 
 def word_grams(tokens: Column, n: int) -> Column:
     """Space-joined runs of ``n`` tokens; null when there are fewer."""
-    return F.transform(_starts(F.size(tokens), n), lambda i: _glue(tokens, i, n, " "))
+    return let(tokens, lambda t: F.transform(window_starts(F.size(t), n), lambda i: _glue(t, i, n, " ")))
 
 
 def context_grams(tokens: Column, n: int, sep: str = " ") -> Column:
     """Structs (ctx, last): the first n-1 units of each run joined, and its last unit."""
-    return F.transform(
-        _starts(F.size(tokens), n),
-        lambda i: F.struct(
-            _glue(tokens, i, n - 1, sep).alias("ctx") if n > 1 else F.lit("").alias("ctx"),
-            F.get(tokens, i + F.lit(n - 2)).alias("last"),
-        ),
-    )
+    def pairs(t: Column) -> Column:
+        return F.transform(
+            window_starts(F.size(t), n),
+            lambda i: F.struct(
+                _glue(t, i, n - 1, sep).alias("ctx") if n > 1 else F.lit("").alias("ctx"),
+                F.get(t, i + F.lit(n - 2)).alias("last"),
+            ),
+        )
+
+    return let(tokens, pairs)
 
 
 def characters(text: Column) -> Column:
@@ -45,30 +50,22 @@ def characters(text: Column) -> Column:
 
 
 def char_grams(text: Column, n: int) -> Column:
-    chars = characters(text)
-    return F.transform(_starts(F.size(chars), n), lambda i: _glue(chars, i, n, ""))
-
-
-def with_tokens(df: DataFrame, tokens: Column, out: str = "tokens") -> DataFrame:
-    return df.withColumn(out, tokens)
+    return let(
+        characters(text), lambda c: F.transform(window_starts(F.size(c), n), lambda i: _glue(c, i, n, ""))
+    )
 
 
 def count_items(df: DataFrame, items: Column, item: str, out: str = "n") -> DataFrame:
     """Occurrences of every element of the array column ``items``."""
-    return df.select(F.explode(items).alias(item)).groupBy(item).agg(F.count(F.lit(1)).alias(out))
+    return each(df, items, item).groupBy(item).agg(F.count(F.lit(1)).alias(out))
 
 
 def word_ngram_counts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    rows = docs.select(T.split_space_nonempty(F.col(text)).alias("tokens"))
-    return count_items(rows, word_grams(F.col("tokens"), n), "gram")
+    return count_items(docs, word_grams(T.split_space_nonempty(F.col(text)), n), "gram")
 
 
 def char_ngram_counts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    rows = docs.select(characters(F.col(text)).alias("chars"))
-    grams = F.transform(
-        _starts(F.size("chars"), n), lambda i: _glue(F.col("chars"), i, n, "")
-    )
-    return count_items(rows, grams, "gram")
+    return count_items(docs, char_grams(F.col(text), n), "gram")
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -107,14 +104,9 @@ def letter_counts(
     number of words) and ``#`` plus first letter.
     """
     w = F.concat(F.lit("#"), F.col(word)) if word_starts else F.col(word)
-    rows = counted.select(characters(w).alias("chars"), F.col(n).alias("_n"))
-    pairs = F.transform(
-        _starts(F.size("chars"), 2), lambda i: _glue(F.col("chars"), i, 2, "")
-    )
-    units = F.concat(F.col("chars"), F.coalesce(pairs, F.array().cast("array<string>")))
-    return (
-        rows.select(F.explode(units).alias("chars"), "_n").groupBy("chars").agg(F.sum("_n").alias("n"))
-    )
+    units = F.concat(characters(w), F.coalesce(char_grams(w, 2), F.array().cast("array<string>")))
+    rows = each(counted, units, "chars", F.col(n).alias("_n"))
+    return rows.groupBy("chars").agg(F.sum("_n").alias("n"))
 
 
 def keep_contentful(grams: DataFrame, units: str, stopwords: Sequence[str]) -> DataFrame:
@@ -126,8 +118,12 @@ def keep_contentful(grams: DataFrame, units: str, stopwords: Sequence[str]) -> D
 def padded_grams(tokens: Column, n: int) -> Column:
     """Arrays of ``n`` units over the tokens with n-1 nulls before and after."""
     pad = F.array_repeat(F.lit(None).cast("string"), n - 1)
-    units = F.concat(pad, tokens, pad) if n > 1 else tokens
-    return F.transform(_starts(F.size(units), n), lambda i: F.slice(units, i, n))
+    return let(
+        F.concat(pad, tokens, pad),
+        lambda u: F.transform(
+            window_starts(F.size(u), n), lambda i: F.array(*[F.get(u, i + F.lit(k - 1)) for k in range(n)])
+        ),
+    )
 
 
 def padded_ngram_counts(
@@ -135,8 +131,7 @@ def padded_ngram_counts(
 ) -> DataFrame:
     """Counts of padded n-grams of lower-cased word and mark tokens, periods left out."""
     tokens = F.filter(T.words_and_marks(F.lower(F.col(text))), lambda t: t != ".")
-    rows = docs.select(tokens.alias("tokens"))
-    grams = rows.select(F.explode(padded_grams(F.col("tokens"), n)).alias("units"))
+    grams = each(docs, padded_grams(tokens, n), "units")
     return keep_contentful(grams, "units", stopwords).groupBy("units").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -147,15 +142,16 @@ def trigram_continuations(
 ) -> DataFrame:
     """(w1, w2) -> counts of the next word, from trigrams without pads."""
     tokens = F.filter(T.words_and_marks(F.lower(F.col(text))), lambda t: t != ".")
-    rows = docs.select(tokens.alias("tokens"))
-    t = F.col("tokens")
-    triples = F.transform(
-        _starts(F.size(t), 3),
-        lambda i: F.struct(
-            F.get(t, i - 1).alias("w1"), F.get(t, i).alias("w2"), F.get(t, i + 1).alias("w3")
+    triples = let(
+        tokens,
+        lambda t: F.transform(
+            window_starts(F.size(t), 3),
+            lambda i: F.struct(
+                F.get(t, i - 1).alias("w1"), F.get(t, i).alias("w2"), F.get(t, i + 1).alias("w3")
+            ),
         ),
     )
-    grams = rows.select(F.inline(triples))
+    grams = each_struct(docs, triples, "w3")
     if stopwords:
         stop = list(stopwords)
         grams = grams.where(

@@ -104,6 +104,20 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_work(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into a fixed number of parts.
+
+    Adaptive execution merges partitions by their bytes; rows that are small but
+    costly to compute on need the parts kept apart.
+    """
+    spark = df.sparkSession
+    parts = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        2 * spark.sparkContext.defaultParallelism,
+    )
+    return df.repartition(parts, *keys)
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
@@ -112,16 +126,18 @@ def lookup_join(
     weight: str,
     spread: Sequence[str],
     share: float = HOT_SHARE,
+    total: Column | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``lookup`` (unique on string ``keys``) without a hot partition.
 
     Keys that carry more than ``share`` of the total ``weight`` are at most
     ``1/share`` rows, so that part is broadcast. Rows answered by it are spread
     over the partitions of the second join by a hash of their ``spread`` columns
-    instead of meeting on their key.
+    instead of meeting on their key. ``total`` may be given where it is known.
     """
     keys, values = list(keys), list(values)
-    total = lookup.agg(F.sum(weight).cast("double")).scalar()
+    if total is None:
+        total = lookup.agg(F.sum(weight).cast("double")).scalar()
     hot = lookup.where(F.col(weight) > total * share).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys],
         *[F.col(v).alias(f"_hv_{v}") for v in values],

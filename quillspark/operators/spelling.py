@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import edits as E
-from quillspark.operators.scale import small_side
+from quillspark.functions.between import strings_between
+from quillspark.functions.rows import each, each_struct
+from quillspark.operators.scale import small_side, spread_work
 
 # Up to this length a word meets its partners on shared deleted forms, whose number
 # grows with the square of the length; longer ones on shared segments instead.
@@ -20,7 +22,8 @@ DELETE_FORM_LENGTH = 64
 
 def known_edits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, word): vocabulary words one edit from each distinct term."""
-    near = terms.select("term").distinct().select("term", F.explode(E.edits1(F.col("term"))).alias("word"))
+    distinct = spread_work(terms.select("term").distinct(), "term")
+    near = each(distinct, E.edits1(F.col("term")), "word", "term")
     return near.join(vocabulary.select("word"), "word", "left_semi").select("term", "word")
 
 
@@ -32,18 +35,11 @@ def last_pairs(lines: DataFrame) -> DataFrame:
 def classify_errors(pairs: DataFrame, parity: bool = False) -> DataFrame:
     """Type and key of every (error, correct) that is one edit apart."""
     e, c = F.col("error"), F.col("correct")
-    near = pairs.where(E.one_edit_apart(e, c) & reachable(e, c))
-    key = E.learn_key_parity(e, c) if parity else E.error_key(e, c)
-    return near.select("*", E.error_type(e, c).alias("error_type"), key.alias("key"))
-
-
-def reachable(error: Column, correct: Column) -> Column:
-    """For a one-edit pair: ``correct`` arises from ``error`` by an edit that adds only a-z."""
-    at = E.first_difference(error, correct)
-    added = E.char_at(correct, at)
-    longer = F.length(error) > F.length(correct)
-    swap = E.error_type(error, correct) == "transposition"
-    return longer | swap | added.rlike("^[a-z]$")
+    rows = each_struct(
+        spread_work(pairs, "error").where(E.one_edit_apart(e, c)), F.array(E.describe_edit(e, c)), "key", *pairs.columns
+    )
+    key = E.learn_key_parity(e, c) if parity else F.col("key")
+    return rows.where("reachable").select(*pairs.columns, "error_type", key.alias("key"))
 
 
 def learn_confusions(pairs: DataFrame, parity: bool = False) -> DataFrame:
@@ -103,14 +99,14 @@ def candidate_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     short pair shares a form with at most two characters removed from either side.
     The forms travel as hashes; a collision only adds a pair that scores nothing.
     """
-    t = terms.select("term").distinct()
-    v = vocabulary.select("word").distinct()
+    t = spread_work(terms.select("term").distinct(), "term")
+    v = spread_work(vocabulary.select("word").distinct(), "word")
     size, limit = F.length, DELETE_FORM_LENGTH
-    t_forms = t.where(size("term") <= limit).select(
-        "term", F.explode(E.up_to_two_deleted(F.col("term"))).alias("_form")
+    t_forms = each(
+        t.where(size("term") <= limit), E.up_to_two_deleted(F.col("term")), "_form", "term"
     )
-    v_forms = v.where(size("word") <= limit + 2).select(
-        "word", F.explode(E.up_to_two_deleted(F.col("word"))).alias("_form")
+    v_forms = each(
+        v.where(size("word") <= limit + 2), E.up_to_two_deleted(F.col("word")), "_form", "word"
     )
     near = (
         t_forms.select("term", F.xxhash64("_form").alias("_form"))
@@ -135,7 +131,8 @@ def candidate_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "term", "_n", "part", F.substring(F.col("term"), F.col("_at"), F.col("size")).alias("_text")
     )
     far = probes.join(cut, ["_n", "part", "_text"]).select("term", "word")
-    return near.unionByName(far).where(_plausible("term", "word")).distinct()
+    both = near.unionByName(far).where(_plausible("term", "word"))
+    return spread_work(both, "term", "word").distinct()
 
 
 def _plausible(a: str, b: str) -> Column:
@@ -150,69 +147,13 @@ def _plausible(a: str, b: str) -> Column:
 
 
 def _between(pairs: DataFrame) -> DataFrame:
-    """(term, word, mid): every string one edit from both ends of a pair, neither end itself.
+    """(term, word, mid): strings one edit from both ends of every pair.
 
-    Edits are tried only around the stretch where the two strings differ. Where the
-    neighbouring characters repeat, the same change can be made further away, so
-    there the whole string is tried. A pair that is itself one edit apart admits any
-    letter on the way; otherwise an added letter must be one the word has.
+    Spark finds, shuffles and filters the pairs; only the strings of one pair are made in
+    Python, in Arrow batches, where slicing costs a fraction of nested array functions.
     """
     t, w = F.col("term"), F.col("word")
-    lt, lw = F.length(t), F.length(w)
-    rows = pairs.withColumn("_from", E.first_difference(t, w)).withColumn(
-        "_tail", E.first_difference(F.reverse(t), F.reverse(w)) - 1
-    )
-    rows = rows.withColumn("_near", E.one_edit_apart(t, w))
-    p, q = F.col("_from"), F.col("_tail")
-
-    def repeats(s: Column, at: Column) -> Column:
-        """The character at ``at`` equals one of its two predecessors."""
-        return (E.char_at(s, at) == E.char_at(s, at - 1)) | (E.char_at(s, at) == E.char_at(s, at - 2))
-
-    left_run = (p > 2) & (repeats(t, p - 1) | repeats(w, p - 1))
-    rt, rw = F.reverse(t), F.reverse(w)
-    right_run = (q > 1) & (repeats(rt, q) | repeats(rw, q))
-    low = F.when(left_run, 1).otherwise(F.greatest(p - 3, F.lit(1)))
-    high = F.when(right_run, lt + 1).otherwise(F.least(lt - q + 4, lt + 1))
-    w_high = F.when(right_run, lw).otherwise(F.least(lw - q + 3, lw))
-    rows = rows.withColumn("_low", low).withColumn("_high", F.greatest(high, F.col("_low")))
-    own = F.filter(
-        F.array_distinct(F.split(F.substring(w, F.col("_low"), F.greatest(w_high - F.col("_low") + 1, F.lit(0))), "")),
-        lambda c: c.rlike("^[a-z]$"),
-    )
-    letters = F.when(F.col("_near"), F.split(F.lit(E.ALPHABET), "")).otherwise(own)
-    rows = rows.withColumn("_letters", letters)
-    at = F.sequence(F.col("_low"), F.col("_high"))
-
-    def tries(i: Column) -> Column:
-        head, tail = F.substring(t, F.lit(1), i - 1), F.substring(t, i, lt)
-        rest = F.substring(t, i + 1, lt)
-        changed = F.transform("_letters", lambda c: F.concat(head, c, rest))
-        added = F.transform("_letters", lambda c: F.concat(head, c, tail))
-        swapped = F.concat(
-            head, E.char_at(t, i + 1), E.char_at(t, i), F.substring(t, i + 2, lt)
-        )
-        inner = F.concat(F.array(F.concat(head, rest), swapped), changed)
-        return F.when(i > lt, added).otherwise(F.concat(inner, added))
-
-    rows = rows.withColumn("_tries", F.array_distinct(F.flatten(F.transform(at, tries))))
-    rows = rows.withColumn(
-        "_swaps",
-        F.transform(
-            F.sequence(F.greatest(F.col("_low") - 2, F.lit(1)), F.greatest(F.least(F.col("_high") + 2, lw), F.greatest(F.col("_low") - 2, F.lit(1)))),
-            lambda i: F.concat(
-                F.substring(w, F.lit(1), i - 1), E.char_at(w, i + 1), E.char_at(w, i), F.substring(w, i + 2, lw)
-            ),
-        ),
-    )
-    kept = F.filter(
-        "_tries",
-        lambda c: (c != "")
-        & (c != t)
-        & (c != w)
-        & ((F.levenshtein(c, w, 1) >= 0) | F.array_contains("_swaps", c)),
-    )
-    return rows.select("term", "word", F.explode(kept).alias("mid"))
+    return each(pairs, strings_between(t, w, E.one_edit_apart(t, w)), "mid", "term", "word")
 
 
 def score_pairs(pairs: DataFrame, channel: DataFrame) -> DataFrame:
@@ -223,24 +164,21 @@ def score_pairs(pairs: DataFrame, channel: DataFrame) -> DataFrame:
     counting confirms that it is small.
     """
     t, w, m = F.col("term"), F.col("word"), F.col("mid")
-    rates = channel.where(F.col("p") > 0).select(
-        F.concat_ws(":", "error_type", "key").alias("_key"), "p"
-    )
-    rates = small_side(rates)
-
-    def name(error: Column, correct: Column) -> Column:
-        return F.concat_ws(":", E.error_type(error, correct), E.error_key(error, correct))
-
-    direct = pairs.where(E.one_edit_apart(t, w) & reachable(t, w)).select(
-        "term", "word", name(t, w).alias("_key")
-    )
-    direct = direct.join(rates, "_key").select("term", "word", F.col("p").alias("_way"))
-    ways = _between(pairs).where(reachable(m, w))
-    ways = ways.select("term", "word", name(t, m).alias("_key"), name(m, w).alias("_key2"))
-    second = rates.select(F.col("_key").alias("_key2"), F.col("p").alias("_p2"))
-    ways = ways.join(rates, "_key").join(second, "_key2").select(
-        "term", "word", (F.col("p") * F.col("_p2")).alias("_way")
-    )
+    rates = small_side(channel.where(F.col("p") > 0).select("error_type", "key", "p"))
+    direct = each_struct(
+        pairs.where(E.one_edit_apart(t, w)), F.array(E.describe_edit(t, w)), "key", "term", "word"
+    )
+    direct = direct.where("reachable").join(rates, ["error_type", "key"])
+    direct = direct.select("term", "word", F.col("p").alias("_way"))
+    ways = each_struct(
+        _between(pairs), F.array(E.describe_edit(m, w)), "key", "term", "word", "mid"
+    )
+    ways = ways.where("reachable").join(rates, ["error_type", "key"])
+    ways = each_struct(
+        ways.withColumnRenamed("p", "_p2").drop("error_type", "key", "reachable"),
+        F.array(E.describe_edit(t, m)), "key", "term", "word", "_p2",
+    ).join(rates, ["error_type", "key"])
+    ways = ways.select("term", "word", (F.col("p") * F.col("_p2")).alias("_way"))
     return direct.unionByName(ways).groupBy("term", "word").agg(F.sum("_way").alias("score"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.let import let
+from quillspark.functions.rows import each
 from quillspark.operators.ngrams import word_grams
 from quillspark.operators.scale import global_index, lookup_join
 
@@ -23,18 +25,15 @@ def terms_of(text: Column, stopwords: Sequence[str] = (), bigrams: bool = False)
         words = F.filter(words, lambda w: ~w.isin(*stop))
     if not bigrams:
         return words
-    return F.concat(words, F.coalesce(word_grams(words, 2), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    return let(words, lambda w: F.concat(w, F.coalesce(word_grams(w, 2), none)))
 
 
 def term_frequencies(
     df: DataFrame, key: str, text: str, stopwords: Sequence[str] = (), bigrams: bool = False
 ) -> DataFrame:
-    """(key, term, tf); the words are extracted once and the pairs built from them."""
-    words = df.select(key, terms_of(F.col(text), stopwords).alias("_words"))
-    if bigrams:
-        pairs = F.coalesce(word_grams(F.col("_words"), 2), F.array().cast("array<string>"))
-        words = words.select(key, F.concat("_words", pairs).alias("_words"))
-    terms = words.select(key, F.explode("_words").alias("term"))
+    """(key, term, tf)."""
+    terms = each(df, terms_of(F.col(text), stopwords, bigrams), "term", key)
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import draws
 from quillspark.functions import text as T
+from quillspark.functions.let import let
+from quillspark.functions.rows import each_struct
 from quillspark.operators import ngrams as N
 from quillspark.operators.scale import lookup_join, md5_rank, running_total
 from quillspark.session import cut_lineage
@@ -50,9 +52,7 @@ def fit(
     n = 3 if n < 1 else n
     units = N.characters(F.col(text)) if chars else T.split_space_nonempty(F.col(text))
     sep = "" if chars else " "
-    pairs = docs.select(units.alias("units")).select(
-        F.inline(N.context_grams(F.col("units"), n, sep))
-    )
+    pairs = each_struct(docs, N.context_grams(units, n, sep), "last")
     counted = pairs.groupBy("ctx", "last").agg(F.count(F.lit(1)).alias("n"))
     gram = F.col("last") if n == 1 else F.concat("ctx", F.lit(sep), "last")
     grams = counted.select(gram.alias("gram"), "ctx", "last", "n")
@@ -99,17 +99,19 @@ def windows(lm: LanguageModel, tokens: Column) -> Column:
     out of the context, so ``size`` may fall below order-1."""
     n = lm.order
 
-    def one(i: Column) -> Column:
-        ctx = F.slice(tokens, i, n - 1) if n > 1 else F.array().cast("array<string>")
+    def one(units: Column, i: Column) -> Column:
+        ctx = F.slice(units, i, n - 1) if n > 1 else F.array().cast("array<string>")
         if not lm.chars:
             ctx = F.filter(ctx, lambda t: ~T.is_punct_word(t))
         return F.struct(
             F.array_join(ctx, lm.sep).alias("ctx"),
             F.size(ctx).alias("ctx_size"),
-            F.get(tokens, i + F.lit(n - 2)).alias("next"),
+            F.get(units, i + F.lit(n - 2)).alias("next"),
         )
 
-    return F.transform(N._starts(F.size(tokens), n), one)
+    return let(
+        tokens, lambda u: F.transform(N.window_starts(F.size(u), n), lambda i: one(u, i))
+    )
 
 
 def score_windows(
@@ -171,8 +173,7 @@ def evaluate(
 ) -> DataFrame:
     """Log-likelihood of every text: the sum of log window probabilities, 0 without a window."""
     tokens = N.characters(F.col(text)) if lm.chars else T.split_each_white(F.col(text))
-    rows = texts.select(key, tokens.alias("_tokens"))
-    rows = rows.select(key, F.posexplode_outer(windows(lm, F.col("_tokens"))).alias("pos", "_w"))
+    rows = texts.select(key, F.posexplode_outer(windows(lm, tokens)).alias("pos", "_w"))
     rows = rows.select(key, "pos", "_w.ctx", "_w.ctx_size", "_w.next")
     scored = score_windows(lm, rows, [key, "pos"], match, parity)
     return scored.groupBy(key).agg(
@@ -232,21 +233,19 @@ def _estimate(lm: LanguageModel, rows: DataFrame, match: str, parity: bool) -> D
 
 def mle(docs: DataFrame, n: int = 3, text: str = "text") -> DataFrame:
     """Padded grams of orders 1..n with the ratio of each count to its context's count."""
-    tokens = T.words_and_marks(F.lower(F.col(text)))
     begin = F.array_repeat(F.lit("<s>"), n - 1)
     end = F.array_repeat(F.lit("</s>"), n - 1)
-    rows = docs.select(F.concat(begin, tokens, end).alias("units"))
-    parts = [
-        F.transform(
-            N.context_grams(F.col("units"), k),
-            lambda g, k=k: F.struct(
-                F.lit(k).alias("k"), g["ctx"].alias("ctx"), g["last"].alias("word")
-            ),
+    tokens = F.concat(begin, T.words_and_marks(F.lower(F.col(text))), end)
+
+    def of_order(units: Column, k: int) -> Column:
+        return F.transform(
+            F.coalesce(N.context_grams(units, k), F.array().cast("array<struct<ctx:string,last:string>>")),
+            lambda g: F.struct(F.lit(k).alias("k"), g["ctx"].alias("ctx"), g["last"].alias("word")),
         )
-        for k in range(1, n + 1)
-    ]
-    empty = F.array().cast("array<struct<k:int,ctx:string,word:string>>")
-    grams = rows.select(F.inline(F.concat(*[F.coalesce(p, empty) for p in parts])))
+
+    grams = each_struct(
+        docs, let(tokens, lambda u: F.concat(*[of_order(u, k) for k in range(1, n + 1)])), "word"
+    )
     counts = grams.groupBy("k", "ctx", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("ctx").agg(F.sum("n").alias("total"))
     # contexts of different orders differ in their number of tokens, so ctx alone is a key
@@ -268,6 +267,8 @@ class Sampler:
     contexts: DataFrame
     guide: DataFrame
     numbered: DataFrame
+    grams: int
+    total: int
 
 
 def sampler(lm: LanguageModel, with_start: bool = False) -> Sampler:
@@ -281,11 +282,14 @@ def sampler(lm: LanguageModel, with_start: bool = False) -> Sampler:
     contexts = (
         lm.grams if not with_start else grams.select("gram", "ctx", "last", "n")
     ).groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_grams"))
-    everything = lm.grams.agg(F.sum("n").alias("t")).scalar()
-    extra = F.floor(F.col("total") * 1000 / everything)
+    counted = lm.grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size, total = counted[0], counted[1]
+    extra = F.floor(F.col("total") * 1000 / F.lit(max(total, 1)))
     contexts = contexts.select("ctx", "total", (F.col("_grams") + extra).cast("long").alias("bins"))
     # the guide meets its context row on ctx; a context's bins grow with its grams
-    sized = lookup_join(run, contexts, ["ctx"], ["total", "bins"], "bins", ["gram"])
+    sized = lookup_join(
+        run, contexts, ["ctx"], ["total", "bins"], "bins", ["gram"], total=F.lit(float(size))
+    )
 
     def bin_of(x: Column) -> Column:
         return F.floor(x * F.col("bins") / F.col("total")).cast("long")
@@ -299,7 +303,7 @@ def sampler(lm: LanguageModel, with_start: bool = False) -> Sampler:
         "last",
     )
     numbered = md5_rank(lm.grams, F.col("gram"), ["gram"], out="pick").select("pick", "gram", "last")
-    return Sampler(contexts, guide, numbered)
+    return Sampler(contexts, guide, numbered, size, total)
 
 
 def draw_next(
@@ -310,8 +314,10 @@ def draw_next(
     Adds ``gram`` and ``last``. The draw depends only on (seed, key, step).
     """
     keep = rows.columns
-    size = lm.grams.agg(F.count(F.lit(1)).alias("v")).scalar()
-    drawn = lookup_join(rows, s.contexts, ["ctx"], ["total", "bins"], "total", [key])
+    size = F.lit(s.grams)
+    drawn = lookup_join(
+        rows, s.contexts, ["ctx"], ["total", "bins"], "total", [key], total=F.lit(float(s.total))
+    )
     drawn = drawn.withColumn(
         "_draw", draws.draw_below(F.col("total"), seed, F.col(key), F.lit(step))
     ).withColumn("_bin", F.floor(F.col("_draw") * F.col("bins") / F.col("total")).cast("long"))
@@ -370,7 +376,7 @@ def generate(
     """Extend every seed to ``length`` units. A null context starts from a gram drawn by weight; a
     longer context is cut to ``length``. Lineage is cut into the shared folder every few steps."""
     s = sampler(lm, with_start=True)
-    s = Sampler(*(cut_lineage(t) for t in (s.contexts, s.guide, s.numbered)))
+    s = Sampler(*(cut_lineage(t) for t in (s.contexts, s.guide, s.numbered)), s.grams, s.total)
 
     def units(c: Column) -> Column:
         return N.characters(c) if lm.chars else T.split_each_white(c)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.rows import each_at, each_struct
 from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
 from quillspark.operators.scale import lookup_join
@@ -62,9 +63,7 @@ def evaluate(checker: SpellChecker, texts: DataFrame, key: str = "doc_id", text:
 
 def split_sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sent, sentence, words) of the normalised texts."""
-    rows = texts.select(
-        key, F.posexplode(T.sentences(T.normalize_text(F.col(text)))).alias("sent", "sentence")
-    )
+    rows = each_at(texts, T.sentences(T.normalize_text(F.col(text))), "sent", "sentence", key)
     return rows.withColumn("words", T.words(F.col("sentence")))
 
 
@@ -102,9 +101,8 @@ def correct_sentences(
     """
     lm, n = checker.lm, checker.lm.order
     sents = split_sentences(texts, key, text)
-    spots = sents.select(key, "sent", "words", F.posexplode("words").alias("_at", "term")).withColumn(
-        "_at", F.col("_at") + 1
-    )
+    spots = each_at(sents, F.col("words"), "_at", "term", key, "sent", "words")
+    spots = spots.withColumn("_at", F.col("_at") + 1)
     terms = spots.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
     scored = S.candidates(terms, checker.vocabulary, checker.channel)
     # the words two edits from one term: bounded by its length and the alphabet
@@ -125,10 +123,8 @@ def correct_sentences(
     spots = lookup_join(spots, choices, ["term"], ["choices"], "uses", [key, "sent", "_at"])
     own = F.array(F.struct(F.col("term").alias("word"), F.lit(None).cast("double").alias("share")))
     none = F.array().cast("array<struct<word:string,share:double>>")
-    spots = spots.select(
-        key, "sent", "words", "_at",
-        F.explode(F.concat(own, F.coalesce("choices", none))).alias("_choice"),
-    ).select(key, "sent", "words", "_at", "_choice.word", "_choice.share")
+    options = F.concat(own, F.coalesce("choices", none))
+    spots = each_struct(spots, options, "word", key, "sent", "words", "_at")
     wins = spots.select(
         key, "sent", "_at", "word", "share",
         F.explode_outer(
