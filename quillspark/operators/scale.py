@@ -104,6 +104,13 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan that has fewer splits than the session has cores, such as one small
+    file with a long text per row; larger inputs come back as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(2 * cores, key)
+
+
 def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into a fixed number of parts.
 

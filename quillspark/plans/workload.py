@@ -19,6 +19,7 @@ from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
 from quillspark.operators import splits as H
 from quillspark.operators import tfidf as D
+from quillspark.operators.scale import spread_scan
 from quillspark.plans import classification as C
 from quillspark.plans import language_model as L
 from quillspark.plans import spell_checker as P
@@ -43,11 +44,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread_scan(table(spark, sf, "documents"), "doc_id")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations")
+    c = spread_scan(table(spark, sf, "conversations"), "conv_id")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "role", "text")
 
 
@@ -378,11 +379,11 @@ def pred_totals(spark, sf):
 
 
 def _lm(spark, sf, n=3):
-    return L.fit(corpus(documents(spark, sf)), n)
+    return L.fit(corpus(documents(spark, sf)), n, keep=True)
 
 
 def lm_model(spark, sf):
-    return _lm(spark, sf).grams
+    return L.fit(corpus(documents(spark, sf)), 3).grams
 
 
 def lm_prefix_tf(spark, sf):
