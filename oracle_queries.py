@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from quillspark.functions import text as T
 from quillspark.plans import workload as W
 from quillspark.sources import constants as K
@@ -464,6 +466,47 @@ sc0 AS (SELECT term, mid AS word, p FROM te SEMI JOIN dw ON dw.word = te.mid
 cand AS (SELECT term, word, sum(p) AS score FROM sc0 GROUP BY 1, 2)"""
 O["spell_candidates"] = f"WITH {SPELL} SELECT term, word, round(ln(score), 6) AS log_score FROM cand"
 
+KEEP, CHANGE = math.log(W.ALPHA), math.log(1 - W.ALPHA)
+
+
+def window_p(source: str, keys: str) -> str:
+    """(keys, lnp) of windows (keys, a, b, next) under the document model."""
+    return f"""SELECT {keys}, ln(CASE WHEN lp.n > 0 THEN lp.n / lt.total
+  ELSE 1 / (coalesce(lt.total, 0) + (SELECT count(*) FROM g)) END) AS lnp
+ FROM (SELECT *, array_to_string(list_filter([a, b], lambda t: t NOT IN ({PUNCT})), ' ') AS wctx FROM {source}) x
+ LEFT JOIN lp ON lp.ctx = x.wctx AND lp.last = x.next LEFT JOIN lt ON lt.ctx = x.wctx"""
+
+
+O["spell_correct"] = f"""WITH {SPELL}, {TRI}, {PAIRS},
+bs AS ({each('benchmark', 'item_id', sentence_list(normalize(corpus('text'))), 'sentence')}),
+sn AS (SELECT item_id, pos AS sent, sentence, {words('sentence')} AS ws, {split_each('sentence')} AS us FROM bs),
+bu AS (SELECT item_id, sent, unnest(range(len(us))) AS spot, unnest(us) AS a FROM sn),
+bw AS (SELECT item_id, sent, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS next FROM bu WINDOW w AS (PARTITION BY item_id, sent ORDER BY spot)),
+bx AS (SELECT * FROM bw WHERE next IS NOT NULL),
+base AS (SELECT item_id, sent, sum(lnp) AS ll FROM ({window_p('bx', 'item_id, sent')}) GROUP BY 1, 2),
+spots AS (SELECT item_id, sent, ws, unnest(range(1, len(ws) + 1)) AS spot, unnest(ws) AS term FROM sn),
+z AS (SELECT term, sum(score) AS z FROM cand GROUP BY 1),
+opt AS (SELECT item_id, sent, ws, spot, term AS word, NULL::DOUBLE AS share FROM spots
+ UNION ALL SELECT item_id, sent, ws, spot, cand.word, ln(score) - ln(z) + ({CHANGE!r}) FROM spots JOIN cand USING (term) JOIN z USING (term)),
+ow AS (SELECT *, unnest([spot - 2, spot - 1, spot]) AS st FROM opt),
+ox AS (SELECT item_id, sent, spot, word, share, CASE WHEN st = spot THEN word ELSE ws[st] END AS a,
+ CASE WHEN st + 1 = spot THEN word ELSE ws[st + 1] END AS b, CASE WHEN st + 2 = spot THEN word ELSE ws[st + 2] END AS next
+ FROM ow WHERE st >= 1 AND st + 2 <= len(ws)),
+os AS (SELECT item_id, sent, spot, word, share, sum(lnp) AS s FROM ({window_p('ox', 'item_id, sent, spot, word, share')}) GROUP BY ALL),
+oa AS (SELECT o.item_id, o.sent, o.spot, o.word, o.share, coalesce(s, 0) AS s FROM opt o LEFT JOIN os ON o.item_id = os.item_id
+ AND o.sent = os.sent AND o.spot = os.spot AND o.word = os.word AND o.share IS NOT DISTINCT FROM os.share),
+old AS (SELECT item_id, sent, spot, s FROM oa WHERE share IS NULL),
+alls AS (SELECT item_id, sent, sum(s) / 3 AS a FROM old GROUP BY 1, 2),
+bp AS (SELECT item_id, sent, spot, word, round(share + s, 9) AS v FROM oa WHERE share IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY item_id, sent, spot ORDER BY round(share + s, 9) DESC, word DESC) = 1),
+best AS (SELECT bp.item_id, bp.sent, bp.spot, bp.word, round(v - old.s, 9) AS v FROM bp JOIN old USING (item_id, sent, spot)
+ QUALIFY row_number() OVER (PARTITION BY item_id, sent ORDER BY round(v - old.s, 9) DESC, bp.spot, bp.word DESC) = 1),
+fin AS (SELECT sn.item_id, sn.sent, sentence, ws, spot, word,
+ coalesce(round(best.v + a + ({CHANGE!r}), 9) > round(coalesce(ll, 0) + ({KEEP!r}), 9), false) AS better
+ FROM sn LEFT JOIN base USING (item_id, sent) LEFT JOIN alls USING (item_id, sent) LEFT JOIN best USING (item_id, sent))
+SELECT item_id, sent, CASE WHEN better THEN array_to_string(list_concat(list_concat(ws[:spot - 1], [word]), ws[spot + 1:]), ' ') || ' .'
+ ELSE sentence END AS corrected, CASE WHEN better THEN ws[spot] END AS term, CASE WHEN better THEN word END AS word FROM fin"""
+
 # --- splits
 
 O["shuffle_order"] = f"""SELECT doc_id, row_number() OVER (ORDER BY md5({SEED} || '|' || doc_id), doc_id) AS rank FROM documents"""

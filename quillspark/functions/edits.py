@@ -177,6 +177,11 @@ def one_deleted(term: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def up_to_one_deleted(term: Column) -> Column:
+    """The term itself and every string with one of its characters removed."""
+    return F.array_distinct(F.concat(F.array(term), one_deleted(term)))
+
+
 def up_to_two_deleted(term: Column) -> Column:
     """The term itself and every string with one or two of its characters removed."""
     return let(

@@ -142,12 +142,13 @@ def fit_minmax(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def apply_minmax(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns on the fitted range: train values in [0, 1], others unclipped, constants 0."""
-    bounds = fitted.select(F.struct(*fitted.columns).alias("b")).scalar()
+    bounds = fitted.first()
     out = {}
     for c in columns:
         low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
-        span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
-        out[c] = (F.col(c).cast("double") - low) / span
+        if low is not None:
+            span = 1.0 if high == low else high - low
+            out[c] = (F.col(c).cast("double") - F.lit(low)) / F.lit(span)
     return df.withColumns(out)
 
 

@@ -133,6 +133,8 @@ def classifier(name: str, rows: int, width: int, seed: int = 0) -> Estimator:
     raise ValueError(f"unknown model {name}")
 
 
+# an iteration is one pass over all parts: few rows in many parts only cost scheduling
+ROWS_PER_PART = 2000
 MODELS = ["svm_linear", "svm_rbf", "logreg", "nn"]
 
 
@@ -144,8 +146,12 @@ def fit_predict(
         gamma = scale_gamma(train, width)
         train = fourier_features(train, width, gamma, seed=seed)
         test = fourier_features(test, width, gamma, seed=seed)
-    train = balanced_weights(train).persist()
+    train = balanced_weights(train)
     rows = train.count()
+    parts = rows // ROWS_PER_PART + 1
+    if parts < train.rdd.getNumPartitions():
+        train = train.repartition(parts, F.xxhash64("features"))
+    train = train.select("features", "target", "weight").persist()
     model = classifier(name, rows, width, seed).fit(train)
     train.unpersist()
     return model.transform(test).withColumn("pred", F.col("prediction").cast("int")), model

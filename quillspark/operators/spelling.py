@@ -21,10 +21,29 @@ DELETE_FORM_LENGTH = 64
 
 
 def known_edits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, word): vocabulary words one edit from each distinct term."""
-    distinct = spread_work(terms.select("term").distinct(), "term")
-    near = each(distinct, E.edits1(F.col("term")), "word", "term")
-    return near.join(vocabulary.select("word"), "word", "left_semi").select("term", "word")
+    """(term, word): vocabulary words one edit from each distinct term, the term itself included.
+
+    Strings one edit apart share a form with at most one character removed, so this is an
+    equality join on about as many forms as a word has characters.
+    """
+    t = spread_work(terms.select("term").distinct(), "term")
+    v = spread_work(vocabulary.select("word").distinct(), "word")
+    t_forms = each(t, E.up_to_one_deleted(F.col("term")), "_form", "term")
+    v_forms = each(v, E.up_to_one_deleted(F.col("word")), "_form", "word")
+    a, b = F.col("term"), F.col("word")
+    pairs = (
+        t_forms.select("term", F.xxhash64("_form").alias("_form"))
+        .join(v_forms.select("word", F.xxhash64("_form").alias("_form")), "_form")
+        .select("term", "word")
+        .where(F.levenshtein(a, b, 2) >= 0)
+        .distinct()
+    )
+    # a replacement by the same letter gives the term back when it has a letter
+    same = pairs.where((a == b) & (F.length(a) > 0) & (a.rlike("[a-z]") | a.rlike(r"(.)\1")))
+    near = each_struct(
+        pairs.where(E.one_edit_apart(a, b)), F.array(E.describe_edit(a, b)), "key", "term", "word"
+    )
+    return near.where("reachable").select("term", "word").unionByName(same)
 
 
 def last_pairs(lines: DataFrame) -> DataFrame:

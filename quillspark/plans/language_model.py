@@ -32,6 +32,16 @@ class LanguageModel:
     chars: bool
     grams: DataFrame
     terms: DataFrame
+    counted: tuple[int, int] | None = None
+
+    def sizes(self) -> tuple[Column, Column]:
+        """Number of distinct grams and of all grams: numbers of a kept model, else subqueries."""
+        if self.counted is not None:
+            return F.lit(self.counted[0]), F.lit(self.counted[1])
+        return (
+            self.grams.agg(F.count(F.lit(1))).scalar(),
+            self.grams.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar(),
+        )
 
     @property
     def sep(self) -> str:
@@ -56,23 +66,28 @@ def fit(
     counted = pairs.groupBy("ctx", "last").agg(F.count(F.lit(1)).alias("n"))
     gram = F.col("last") if n == 1 else F.concat("ctx", F.lit(sep), "last")
     grams = counted.select(gram.alias("gram"), "ctx", "last", "n")
+    counted = None
     if keep:
         grams = cut_lineage(grams)
-    return LanguageModel(n, chars, grams, N.clean_term_counts(docs, text))
+        row = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        counted = (row[0], row[1])
+    return LanguageModel(n, chars, grams, N.clean_term_counts(docs, text), counted)
 
 
 def _prefix_rows(lm: LanguageModel, k: Column) -> Column:
     """First ``k`` units of a gram as text."""
     if lm.chars:
         return F.substring("gram", F.lit(1), k)
-    return F.array_join(F.slice(F.split("gram", " "), F.lit(1), k), " ")
+    return F.call_function("substring_index", F.col("gram"), F.lit(" "), k)
 
 
-def prefix_counts(lm: LanguageModel, needed: DataFrame, match: str = "token") -> DataFrame:
+def prefix_counts(
+    lm: LanguageModel, needed: DataFrame, match: str = "token", longest: int | None = None
+) -> DataFrame:
     """Counts (prefix, last, n) of grams starting with each distinct ``needed.prefix``.
 
-    Token mode explodes a gram into its 1..order-1 token prefixes, string mode into
-    the character prefixes whose length occurs among the needed ones; both are then
+    Token mode explodes a gram into its prefixes of up to ``longest`` tokens, string mode
+    into its character prefixes no longer than the longest needed one; both are then
     equality joins.
     """
     wanted = needed.select("prefix").where(F.col("prefix") != "").distinct()
@@ -80,7 +95,10 @@ def prefix_counts(lm: LanguageModel, needed: DataFrame, match: str = "token") ->
         F.lit("").alias("prefix"), "last", "n"
     )
     if match == "token" or lm.chars:
-        sizes = F.sequence(F.lit(1), F.lit(lm.order))
+        longest = lm.order if longest is None else longest
+        if longest < 1:
+            return everything
+        sizes = F.sequence(F.lit(1), F.lit(longest))
         rows = lm.grams.select(F.explode(sizes).alias("_k"), "gram", "last", "n").select(
             _prefix_rows(lm, F.col("_k")).alias("prefix"), "last", "n"
         )
@@ -123,7 +141,7 @@ def score_windows(
     full = lm.grams.select("ctx", F.col("last").alias("next"), "n")
     if match == "token":
         short = rows.where(F.col("ctx_size") < lm.order - 1).select(F.col("ctx").alias("prefix"))
-        less = prefix_counts(lm, short).select(
+        less = prefix_counts(lm, short, longest=lm.order - 2).select(
             F.col("prefix").alias("ctx"), F.col("last").alias("next"), "n"
         )
         # prefixes shorter than a full context never equal one, so the union stays unique
@@ -135,21 +153,25 @@ def score_windows(
         pairs = prefix_counts(lm, asked, match).select(
             F.col("prefix").alias("ctx"), F.col("last").alias("next"), "n"
         )
+    # only the contexts that are asked for; a small set of them is broadcast at run time
+    asked = rows.select("ctx")
+    if parity:
+        asked = asked.unionByName(rows.select(_clipped("ctx").alias("ctx")))
+    pairs = pairs.join(asked.where(F.col("ctx").isNotNull()).distinct(), "ctx", "left_semi")
     totals = pairs.groupBy("ctx").agg(F.sum("n").alias("total"))
-    size = lm.grams.agg(F.count(F.lit(1)).alias("v")).scalar()
-    rows = lookup_join(
-        rows, pairs.withColumnRenamed("n", "hit"), ["ctx", "next"], ["hit"], "hit", spread
-    )
-    rows = lookup_join(rows, totals, ["ctx"], ["total"], "total", spread)
+    size, total = lm.sizes()
+    # every level of context sums to the same total, so the hot share stays bounded
+    hot = {"spread": spread, "total": total.cast("double")}
+    hits = pairs.withColumnRenamed("n", "hit")
+    rows = lookup_join(rows, hits, ["ctx", "next"], ["hit"], "hit", **hot)
+    rows = lookup_join(rows, totals, ["ctx"], ["total"], "total", **hot)
     seen = F.col("hit") / F.col("total")
     if parity:
         rows = rows.withColumnRenamed("ctx", "_ctx").withColumn("ctx", _clipped("_ctx"))
-        rows = lookup_join(
-            rows, pairs.withColumnRenamed("n", "hit2"), ["ctx", "next"], ["hit2"], "hit2", spread
-        )
-        rows = lookup_join(
-            rows, totals.withColumnRenamed("total", "total2"), ["ctx"], ["total2"], "total2", spread
-        )
+        hits = pairs.withColumnRenamed("n", "hit2")
+        rows = lookup_join(rows, hits, ["ctx", "next"], ["hit2"], "hit2", **hot)
+        totals = totals.withColumnRenamed("total", "total2")
+        rows = lookup_join(rows, totals, ["ctx"], ["total2"], "total2", **hot)
         rows = rows.drop("ctx").withColumnRenamed("_ctx", "ctx")
         unseen = (F.coalesce("hit2", F.lit(0)) + 1) / (F.coalesce("total2", F.lit(0)) + size)
     else:
@@ -184,11 +206,13 @@ def evaluate(
 
 def smooth(lm: LanguageModel, pairs: DataFrame) -> DataFrame:
     """Add-one probability of each (ctx, next) of ``pairs``."""
-    size = lm.grams.agg(F.count(F.lit(1)).alias("v")).scalar()
-    totals = lm.grams.groupBy("ctx").agg(F.sum("n").alias("total"))
-    hits = lm.grams.select("ctx", F.col("last").alias("next"), F.col("n").alias("hit"))
-    rows = lookup_join(pairs, hits, ["ctx", "next"], ["hit"], "hit", ["ctx", "next"])
-    rows = lookup_join(rows, totals, ["ctx"], ["total"], "total", ["ctx", "next"])
+    size, total = lm.sizes()
+    hot = {"spread": ["ctx", "next"], "total": total.cast("double")}
+    asked = lm.grams.join(pairs.select("ctx").distinct(), "ctx", "left_semi")
+    totals = asked.groupBy("ctx").agg(F.sum("n").alias("total"))
+    hits = asked.select("ctx", F.col("last").alias("next"), F.col("n").alias("hit"))
+    rows = lookup_join(pairs, hits, ["ctx", "next"], ["hit"], "hit", **hot)
+    rows = lookup_join(rows, totals, ["ctx"], ["total"], "total", **hot)
     p = (F.coalesce("hit", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + size)
     return rows.select(*pairs.columns, p.alias("p"))
 
@@ -222,7 +246,7 @@ def _estimate(lm: LanguageModel, rows: DataFrame, match: str, parity: bool) -> D
     counts = prefix_counts(lm, rows.select(F.col("_prefix").alias("prefix")), match)
     totals = counts.groupBy("prefix").agg(F.sum("n").alias("_total"))
     hits = counts.select("prefix", F.col("last").alias("_last"), F.col("n").alias("_hit"))
-    size = lm.grams.agg(F.count(F.lit(1)).alias("v")).scalar()
+    size, _ = lm.sizes()
     rows = rows.join(totals, rows["_prefix"] == totals["prefix"], "left").drop("prefix")
     rows = rows.join(
         hits, (rows["_prefix"] == hits["prefix"]) & (rows["next"] == hits["_last"]), "left"
@@ -282,8 +306,11 @@ def sampler(lm: LanguageModel, with_start: bool = False) -> Sampler:
     contexts = (
         lm.grams if not with_start else grams.select("gram", "ctx", "last", "n")
     ).groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_grams"))
-    counted = lm.grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    size, total = counted[0], counted[1]
+    counted = lm.counted
+    if counted is None:
+        row = lm.grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        counted = (row[0], row[1])
+    size, total = counted
     extra = F.floor(F.col("total") * 1000 / F.lit(max(total, 1)))
     contexts = contexts.select("ctx", "total", (F.col("_grams") + extra).cast("long").alias("bins"))
     # the guide meets its context row on ctx; a context's bins grow with its grams

@@ -14,6 +14,7 @@ from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
 from quillspark.operators.scale import lookup_join
 from quillspark.plans import language_model as L
+from quillspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -26,12 +27,14 @@ class SpellChecker:
     channel: DataFrame | None = None
 
 
-def from_text(docs: DataFrame, n: int = 3, text: str = "text", word_starts: bool = True) -> SpellChecker:
-    """Everything but the channel from a corpus."""
+def from_text(
+    docs: DataFrame, n: int = 3, text: str = "text", word_starts: bool = True, keep: bool = False
+) -> SpellChecker:
+    """Everything but the channel from a corpus; ``keep`` as in ``language_model.fit``."""
     clean = docs.withColumn(text, T.normalize_text(F.col(text)))
     vocabulary = N.word_counts(clean, text)
     return SpellChecker(
-        L.fit(clean, n, text=text), vocabulary, N.letter_counts(vocabulary, word_starts=word_starts)
+        L.fit(clean, n, text=text, keep=keep), vocabulary, N.letter_counts(vocabulary, word_starts=word_starts)
     )
 
 
@@ -120,6 +123,7 @@ def correct_sentences(
             ),
         ).alias("choices"),
     )
+    choices = cut_lineage(choices)  # read by several joins below
     spots = lookup_join(spots, choices, ["term"], ["choices"], "uses", [key, "sent", "_at"])
     own = F.array(F.struct(F.col("term").alias("word"), F.lit(None).cast("double").alias("share")))
     none = F.array().cast("array<struct<word:string,share:double>>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import draws
 from quillspark.functions import edits as E
 from quillspark.functions import text as T
+from quillspark.functions.let import let
 from quillspark.functions.rows import each, each_at, each_struct
 from quillspark.functions.stems import stem_counts
 from quillspark.operators import features as X
@@ -19,7 +21,7 @@ from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
 from quillspark.operators import splits as H
 from quillspark.operators import tfidf as D
-from quillspark.operators.scale import spread_scan
+from quillspark.operators.scale import spread_scan, spread_work
 from quillspark.plans import classification as C
 from quillspark.plans import language_model as L
 from quillspark.plans import spell_checker as P
@@ -446,16 +448,22 @@ def error_pairs(spark, sf):
     kind = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(4))
     at = (F.pmod(F.conv(F.substring(h, 9, 8), 16, 10).cast("long"), F.length("word") - 1) + 1).cast("int")
     letter = F.char(F.pmod(F.conv(F.substring(h, 17, 8), 16, 10).cast("long"), F.lit(26)) + 97)
-    rows = words.withColumns({"_kind": kind, "_at": at, "_letter": letter})
-    i, n = F.col("_at"), F.length("word")
-    head, rest = F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)
-    error = (
-        F.when(F.col("_kind") == 0, F.concat(head, rest))
-        .when(F.col("_kind") == 1, F.concat(head, E.char_at(w, i), F.substring(w, i, n)))
-        .when(F.col("_kind") == 2, F.concat(head, E.char_at(w, i + 1), E.char_at(w, i), F.substring(w, i + 2, n)))
-        .otherwise(F.concat(head, F.col("_letter"), rest))
-    )
-    pairs = rows.select(error.alias("error"), F.col("word").alias("correct"))
+    n = F.length("word")
+
+    def misspell(draw: Column) -> Column:
+        i = draw["at"]
+        head, rest = F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)
+        swapped = F.concat(E.char_at(w, i + 1), E.char_at(w, i), F.substring(w, i + 2, n))
+        return F.concat(
+            head,
+            F.when(draw["kind"] == 0, rest)
+            .when(draw["kind"] == 1, F.concat(E.char_at(w, i), F.substring(w, i, n)))
+            .when(draw["kind"] == 2, swapped)
+            .otherwise(F.concat(draw["letter"], rest)),
+        )
+
+    draw = F.struct(kind.alias("kind"), at.alias("at"), letter.alias("letter"))
+    pairs = each(spread_work(words, "word"), F.array(let(draw, misspell)), "error", F.col("word").alias("correct"))
     pairs = pairs.where(F.col("error") != F.col("correct"))
     return S.last_pairs(pairs.withColumn("line_no", F.col("correct")))
 
@@ -507,10 +515,7 @@ def spell_candidates(spark, sf):
 
 def spell_correct(spark, sf):
     docs = corpus(documents(spark, sf))
-    checker = P.from_text(docs)
-    checker = P.SpellChecker(
-        checker.lm, checker.vocabulary, checker.letters, cut_lineage(_channel(spark, sf))
-    )
+    checker = replace(P.from_text(docs, keep=True), channel=cut_lineage(_channel(spark, sf)))
     passages = corpus(table(spark, sf, "benchmark"))
     return P.correct_sentences(checker, passages, ALPHA, "item_id").select(
         "item_id", F.col("sent").cast("long").alias("sent"), "corrected", "term", "word"
