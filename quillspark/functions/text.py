@@ -139,6 +139,8 @@ def sentence_rules() -> list[tuple[str, str]]:
         ("[.](" + K.DOMAINS + ")", p + "$1"),
         ('([.?!])(["”])', "$2$1"),
         (r"([.?!])", "$1" + e),
+        # a text that ends in an abbreviation still ends there
+        ("(" + p + r") +\z", "$1" + e + " "),
     ]
 
 

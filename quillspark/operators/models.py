@@ -116,19 +116,19 @@ def scale_gamma(df: DataFrame, width: int) -> float:
     return 1.0 / (width * variance) if variance > 0 else 1.0
 
 
-def classifier(name: str, rows: int, width: int, seed: int = 0) -> Estimator:
+def classifier(name: str, rows: int, width: int, seed: int = 0, max_iter: int = 100) -> Estimator:
     """A fresh estimator; penalties correspond to C = 1 on ``rows`` rows."""
     reg = 1.0 / max(rows, 1)
     if name == "logreg":
         return LogisticRegression(
             labelCol="target", weightCol="weight", regParam=reg, elasticNetParam=0.0,
-            standardization=False, maxIter=100,
+            standardization=False, maxIter=max_iter,
         )
     if name in ("svm_linear", "svm_rbf"):
-        return LinearSVC(labelCol="target", regParam=reg, standardization=False, maxIter=100)
+        return LinearSVC(labelCol="target", regParam=reg, standardization=False, maxIter=max_iter)
     if name == "nn":
         return MultilayerPerceptronClassifier(
-            labelCol="target", layers=[width, 64, 64, 16, 2], maxIter=49, seed=seed
+            labelCol="target", layers=[width, 64, 64, 16, 2], maxIter=min(max_iter, 49), seed=seed
         )
     raise ValueError(f"unknown model {name}")
 
@@ -139,7 +139,7 @@ MODELS = ["svm_linear", "svm_rbf", "logreg", "nn"]
 
 
 def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, width: int, seed: int = 0
+    name: str, train: DataFrame, test: DataFrame, width: int, seed: int = 0, max_iter: int = 100
 ) -> tuple[DataFrame, Transformer]:
     """Predictions of a fresh model on ``test``; both inputs carry ``features`` and ``target``."""
     if name == "svm_rbf":
@@ -152,6 +152,6 @@ def fit_predict(
     if parts < train.rdd.getNumPartitions():
         train = train.repartition(parts, F.xxhash64("features"))
     train = train.select("features", "target", "weight").persist()
-    model = classifier(name, rows, width, seed).fit(train)
+    model = classifier(name, rows, width, seed, max_iter).fit(train)
     train.unpersist()
     return model.transform(test).withColumn("pred", F.col("prediction").cast("int")), model

@@ -14,6 +14,7 @@ from quillspark.functions import edits as E
 from quillspark.functions.between import strings_between
 from quillspark.functions.rows import each, each_struct
 from quillspark.operators.scale import small_side, spread_work
+from quillspark.session import cut_lineage
 
 # Up to this length a word meets its partners on shared deleted forms, whose number
 # grows with the square of the length; longer ones on shared segments instead.
@@ -203,4 +204,5 @@ def score_pairs(pairs: DataFrame, channel: DataFrame) -> DataFrame:
 
 def candidates(terms: DataFrame, vocabulary: DataFrame, channel: DataFrame) -> DataFrame:
     """(term, word, score) for every vocabulary word one or two possible errors away."""
-    return score_pairs(candidate_pairs(terms, vocabulary), channel)
+    # scored along two branches, and costlier to find again than to read back
+    return score_pairs(cut_lineage(candidate_pairs(terms, vocabulary)), channel)

@@ -28,6 +28,7 @@ class Task:
     mentions: Mapping[str, tuple[Sequence[str], str]] = field(default_factory=lambda: K.MENTIONS)
     min_df: int = 2
     max_features: int = 1 << 16
+    max_iter: int = 100
 
     @property
     def numeric(self) -> list[str]:
@@ -76,7 +77,7 @@ def train_models(
         width = models.width_of(features, task.numeric)
         train, test = features.transform(train), features.transform(test)
         for name in names:
-            predicted, _ = models.fit_predict(name, train, test, width, seed)
+            predicted, _ = models.fit_predict(name, train, test, width, seed, task.max_iter)
             parts.append(
                 predicted.select(
                     F.lit(name).alias("model"), F.lit(fold).alias("fold"), task.key,
@@ -102,7 +103,7 @@ def train_best_model(
     features = models.fit_features(rows, "terms", task.numeric, task.min_df, task.max_features)
     width = models.width_of(features, task.numeric)
     train = models.balanced_weights(features.transform(rows))
-    model = models.classifier(name, rows.count(), width, seed).fit(train)
+    model = models.classifier(name, rows.count(), width, seed, task.max_iter).fit(train)
     rows.unpersist()
     return PipelineModel([*features.stages, model]), width
 

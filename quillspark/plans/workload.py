@@ -558,7 +558,7 @@ def random_holdout(spark, sf):
 
 
 def _task():
-    return C.Task(stopwords=STOPWORDS, mentions=MENTIONS, max_features=4000)
+    return C.Task(stopwords=STOPWORDS, mentions=MENTIONS, max_features=4000, max_iter=30)
 
 
 def _training_posts(spark, sf):
@@ -568,7 +568,7 @@ def _training_posts(spark, sf):
 
 def _train_eval(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf):
-        predictions = C.train_models(_task(), _training_posts(spark, sf), [name], 5, SEED)
+        predictions = C.train_models(_task(), _training_posts(spark, sf), [name], 3, SEED)
         return C.evaluate_models(predictions)
 
     return run

@@ -74,9 +74,7 @@ def _timestamp(text: Column, time_format: str | None) -> Column:
 
 def read_corpus(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, text): every file below the paths as one row, newlines made spaces."""
-    rows = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(paths))
-    )
+    rows = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), newline_free(F.col("value")).alias("text"))
 
 
