@@ -51,6 +51,11 @@ def norm_text(text: Column) -> Column:
     return _sub(text, " {2,}", " ")
 
 
+def is_plain(token: Column) -> Column:
+    """True where ``norm_text`` would only lower the case."""
+    return ~token.rlike(SPACE + r"""|[,.;!?:)(/"&*=]""")
+
+
 def normalize_text(text: Column) -> Column:
     """Lower case, runs of two or more white-space characters made one space."""
     return F.lower(_sub(text, SPACE + "{2,}", " "))

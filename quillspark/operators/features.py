@@ -64,7 +64,10 @@ def content_features(
             kind.alias("kind"),
             body.alias("body"),
             F.when(has_lead, F.array(lead)).otherwise(none).alias("lead"),
-            F.when(kind == "url", none).otherwise(T.split_space(T.norm_text(body))).alias("pieces"),
+            F.when(kind == "url", none)
+            .when(T.is_plain(body), F.array(F.lower(body)))
+            .otherwise(T.split_space(T.norm_text(body)))
+            .alias("pieces"),
         )
 
     def of_kind(kind: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -65,9 +65,9 @@ def transform(tf: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
     raw = looked.where(F.col("idf").isNotNull()).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_raw")
     )
-    # one document's terms; grouped by the document so every later step reuses the partitioning
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("_raw") / F.col("_norm")).alias("weight"))
+    # a window holds one document's terms, which one row of text held before
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
 
 
 def fit_transform(

@@ -56,7 +56,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns dressed as posts: mention, hash tag, link, time and device."""
-    c = table(spark, sf, "conversations")
+    c = spread_scan(table(spark, sf, "conversations"), "conv_id")
     pages = table(spark, sf, "pages").select("page_id", "url")
     events = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("device"))
     n_pages = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -492,7 +492,7 @@ def confusion_learn(spark, sf):
 
 
 def _channel(spark, sf):
-    return P.learn_channel(error_pairs(spark, sf))
+    return P.learn_channel(cut_lineage(error_pairs(spark, sf)))
 
 
 def error_proba(spark, sf):
