@@ -54,4 +54,97 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES = {"op8_quality": QUALITY}
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), weighed AS (
+  SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, 3 * source_size AS cap FROM s
+), ordered AS (
+  SELECT *, coalesce(sum(cap) OVER before, 0) AS used, sum(w) OVER after AS share,
+         (SELECT sum(source_size) FROM s) AS total
+  FROM weighed
+  WINDOW before AS (ORDER BY cap::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         after AS (ORDER BY cap::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), level AS (
+  SELECT total - used AS rest, share FROM ordered
+  WHERE w * (total - used) <= cap * share ORDER BY used LIMIT 1
+), aims AS (
+  SELECT o.source, o.source_size,
+         CASE WHEN o.w * (o.total - o.used) > o.cap * o.share THEN o.cap::DOUBLE
+              ELSE l.rest::DOUBLE * o.w / l.share::DOUBLE END AS target
+  FROM ordered o LEFT JOIN level l ON true
+), spared AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS whole FROM aims
+), keyed AS (
+  SELECT doc_id, d.source, size, source_size, target, whole,
+         greatest(target - whole * source_size, 0) AS spare, md5(concat_ws('|', 'mix', doc_id)) AS m
+  FROM d JOIN spared s ON d.source IS NOT DISTINCT FROM s.source
+), placed AS (
+  SELECT *, CASE WHEN size * 100 <= spare THEN '1'
+                 WHEN ('0x' || m[1:8])::BIGINT * source_size::DOUBLE < spare * 4294967296.0 THEN '0'
+                 ELSE '2' END || m || lpad(size::VARCHAR, 15, '0') AS k
+  FROM keyed
+), run AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS running FROM placed
+), cuts AS (
+  SELECT source, max(k) AS cut FROM run WHERE 2 * running - size <= 2 * spare GROUP BY source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN k <= cut THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run LEFT JOIN cuts ON run.source IS NOT DISTINCT FROM cuts.source
+"""
+
+# kind, pattern, characters that the text of the group must have, that group
+SECRETS = (
+    (
+        "assign",
+        r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        6,
+        2,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 20, 0),
+    ("hex", "[0-9a-f]+", 24, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 0),
+)
+
+
+def _secrets() -> str:
+    found = []
+    for number, (kind, pattern, least, group) in enumerate(SECRETS):
+        p = "'" + pattern.replace("'", "''") + "'"
+        found.append(f"""
+          SELECT r, {number} AS number, '{kind}' AS kind, {least} AS least, unnest(range(len(hits))) + 1 AS i,
+                 unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(owns) AS own
+          FROM (SELECT r, regexp_split_to_array(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS hits,
+                       regexp_extract_all(t, {p}, {group}) AS owns
+                FROM d WHERE regexp_matches(t, {p}))""")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), hits AS ({" UNION ALL ".join(found)}
+), placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, number ORDER BY i) AS stop FROM hits
+), kept AS (
+  SELECT r, number, kind, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop
+  FROM placed WHERE length(own) >= least
+), joined AS (
+  SELECT r, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access,
+         count(*) FILTER (number = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) FILTER (number < 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number) AS spans
+  FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
+ORACLES = {"op8_quality": QUALITY, "op10_mixing": MIXING, "op7_secret_scan": _secrets()}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality, simhash
+from quillspark.llm import decontaminate, mixing, quality, secret_scan, simhash, token_files
+from quillspark.session import shared_folder
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -21,8 +25,47 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write(_read(spark, sf, "documents"), folder, vocabulary, end_id=2)
+    return token_files.read(spark, folder)
+
+
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.matches(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("item").alias("item_id"),
+        F.col("start").alias("start_word"),
+        "n_words",
+        "distance",
+        "similarity",
+    )
+
+
+def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.scan(_read(spark, sf, "documents"))
+    number = {r.kind: i for i, r in enumerate(secret_scan.RULES)}
+    base = F.filter("spans", lambda s: s["number"] < sum(r.base for r in secret_scan.RULES))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["number"] == number[kind])).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(k) for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(_read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op8_quality)}
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op4_decontaminate, op7_secret_scan, op8_quality, op10_mixing)}
