@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, mixing, quality, secret_scan, simhash, token_files
+from quillspark.llm import decontaminate, license_scan, mixing, passages, quality, secret_scan, simhash, token_files, url_filter, warc
 from quillspark.session import shared_folder
 
 
@@ -32,6 +32,10 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate.matches(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
     return found.select(
@@ -44,6 +48,26 @@ def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# The rules of the registered URL query.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _read(spark, sf, "pages")
+    model = url_filter.train(url_filter.label_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
 def op7_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     found = secret_scan.scan(_read(spark, sf, "documents"))
     number = {r.kind: i for i, r in enumerate(secret_scan.RULES)}
@@ -68,4 +92,16 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_files, op4_decontaminate, op7_secret_scan, op8_quality, op10_mixing)}
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_read(spark, sf, "pages"), folder)
+    return warc.read(spark, folder).drop("payload", "url")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_token_files, op3_license_scan, op4_decontaminate, op5_url_filter, op6_passages, op7_secret_scan, op8_quality, op9_warc,
+        op10_mixing,
+    )
+}
