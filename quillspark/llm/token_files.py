@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
-REMEMBERED = 600_000
+REMEMBERED = 500_000
+#: Marks that may follow a word, and the first letter that normalisation or lower-casing may join with others.
+MARKS = ".,;:!?)"
+LATIN_END = "\u0250"
 SAMPLE = 256
 
 SEGMENT = (
@@ -104,26 +107,60 @@ class EliasFano:
         return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level tokenizers write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Pieces:
-    """Token ids of whole texts from those of their blank-separated pieces."""
+    """Token ids of whole texts from those of their blank-separated pieces.
+
+    A piece of Latin letters with marks at its end is one word and one run of marks to the tokenizer, whose
+    model is asked for both directly; any other piece goes through the whole tokenizer. Both kinds of answers
+    are remembered, up to ``REMEMBERED`` each.
+    """
 
     def __init__(self, path: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype(f"<u{width}")
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            found = self.runs[run] = self._bytes([t.id for t in self.model.tokenize(coded)])
+        return found
+
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        word = text.rstrip(MARKS)
+        low = word.lower()
+        if low.isalpha() and max(word) < LATIN_END:  # lower-casing can split a mark off a letter
+            return self._run(low) + self._run(text[len(word) :])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.runs) > REMEMBERED:
+            self.runs = {"": b""}
         pieces = text.encode().split()
         found = list(map(self.known.get, pieces))
         if None in found:
-            new = list({p for p, ids in zip(pieces, found, strict=True) if ids is None})
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            self.known.update((p, np.array(c.ids, self.kind).tobytes()) for p, c in zip(new, coded, strict=True))
+            for piece in {p for p, ids in zip(pieces, found, strict=True) if ids is None}:
+                self.known[piece] = self._piece(piece)
             found = list(map(self.known.get, pieces))
         return b"".join(found)
 
