@@ -90,7 +90,7 @@ def plan(
         _order_key(F.col("id"), F.col("size"), F.col("spare"), F.col("source_size"), seed).alias("key"),
     )
     placed = running_total(
-        keyed, F.col("size"), [F.col("key")], F.substring("key", 1, 5), ["source"], "running"
+        keyed, F.col("size"), [F.col("key")], F.substring("key", 1, 4), ["source"], "running"
     )
     cuts = (
         placed.where(2 * F.col("running") - F.col("size") <= 2 * F.col("spare"))
