@@ -38,7 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = both.groupBy(F.col("a").alias("node")).agg(
             F.least(F.first("a"), F.min("b")).alias("to")
         )
-        hooks = cut_lineage(hooks)
         jump = hooks.select(F.col("node").alias("to"), F.col("to").alias("next"))
         hooks = cut_lineage(hooks.join(jump, "to").select("node", F.col("next").alias("to")))
         edges = cut_lineage(_renamed(edges, hooks))

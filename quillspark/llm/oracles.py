@@ -147,4 +147,23 @@ FROM d LEFT JOIN joined USING (r)
 """
 
 
-ORACLES = {"op8_quality": QUALITY, "op10_mixing": MIXING, "op7_secret_scan": _secrets()}
+WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), o AS (
+  SELECT *, count(*) OVER same AS n, max(page_id) OVER same AS original FROM p WINDOW same AS (PARTITION BY payload_digest)
+), r AS (
+  SELECT *, n > 1 AND payload_bytes >= 1000 AND original IS NOT NULL AND page_id IS DISTINCT FROM original AS again FROM o
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN original END AS refers_to
+FROM r
+"""
+
+ORACLES = {
+    "op7_secret_scan": _secrets(),
+    "op8_quality": QUALITY,
+    "op9_warc": WARC,
+    "op10_mixing": MIXING,
+}

@@ -8,8 +8,8 @@ paragraphs wherever it stands, and every passage of at least PARAGRAPH + ANCHORS
 1. Tasks hash the paragraphs of their documents, count equal ones per batch (a hot passage leaves a batch as
    one row), and emit one row per band of MinHashes. 4 bands of 2 find a pair of similarity 0.8 with
    probability 0.98 and equal paragraphs always.
-2. Rows of one band key meet by one shuffle. Paragraphs that occur twice, and keys shared by different
-   paragraphs, go on; most rows end here.
+2. Rows of one band key meet by one shuffle. Only band keys that more than one document has go on; most rows
+   end here, among them those that overlapping paragraphs of one text share.
 3. A bitmap of fixed size over those paragraphs lets a second pass over the texts emit their places and
    shingles.
 4. Different paragraphs of one band key are verified by the exact Jaccard similarity of their shingles. A
@@ -85,26 +85,29 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def band_rows(docs: DataFrame, text: str) -> DataFrame:
-    """(band, key, n): one row per band and distinct paragraph of an Arrow batch."""
+def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """(band, key, doc): one row per band and distinct paragraph of an Arrow batch. ``doc`` is a tag of the
+    document, 0 for several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for body in batch.column("text"):
+            for body, tag in zip(batch.column("text"), batch.column("doc").to_pylist(), strict=True):
                 _, keys, inside = paragraphs(body.as_py())
                 keys, first = np.unique(keys, return_index=True)  # once per document
-                found.append((keys, band_keys(inside[first])))
+                found.append((keys, band_keys(inside[first]), np.full(len(keys), tag, np.int32)))
             if not found:
                 continue
-            keys, first, n = np.unique(np.concatenate([k for k, _ in found]), return_index=True, return_counts=True)
-            bands = np.concatenate([b for _, b in found])[first]
+            keys, bands, tags = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+            tags = np.where(n > 1, np.int32(0), tags[first])
             yield pa.RecordBatch.from_arrays(
-                [_signed(bands.ravel()), _signed(np.repeat(keys, BANDS)), pa.array(np.repeat(n, BANDS).astype(np.int32))],
-                names=["band", "key", "n"],
+                [_signed(bands[first].ravel()), _signed(np.repeat(keys, BANDS)), pa.array(np.repeat(tags, BANDS))],
+                names=["band", "key", "doc"],
             )
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "band long, key long, n int")
+    tag = content_key(F.col(id), F.col(text)).bitwiseAND(F.lit(0x7FFFFFFE)).cast("int") + 1
+    return docs.select(F.col(text).alias("text"), tag.alias("doc")).mapInArrow(run, "band long, key long, doc int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str, pa.Array]]:
@@ -125,18 +128,15 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict[str,
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """(band, key): paragraphs that occur twice or share their band key with another one."""
+    """(band, key): paragraphs of band keys that more than one document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "band"):
-            band, key, n = (table.column(c).to_numpy() for c in ("band", "key", "n"))
-            new = np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
-            at = np.flatnonzero(new)
-            total = np.add.reduceat(n.astype(np.int64), at)
-            band, key = band[at], key[at]
-            same = band[1:] == band[:-1]
-            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            kept = shared | (total > 1)
+            band, key, doc = (table.column(c).to_numpy() for c in ("band", "key", "doc"))
+            at = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+            several = np.repeat((least != most) | (least == 0), np.diff(np.append(at, len(band))))
+            kept = several & np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
             yield pa.RecordBatch.from_arrays([pa.array(band[kept]), pa.array(key[kept])], names=["band", "key"])
 
     return rows.repartition("band").sortWithinPartitions("band", "key").mapInArrow(run, "band long, key long")
@@ -227,7 +227,7 @@ def repeated(
     ``start`` counts the words of the normalised text; ``cluster`` names the passage; ``removed`` is false at
     the one place that is kept.
     """
-    pairs = stored(collisions(band_rows(docs, text)), "bands")
+    pairs = stored(collisions(band_rows(docs, text, id)), "bands")
     shared = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     several = stored(pairs.join(shared, "band", "left_semi"), "several")
     found = stored(places(docs, text, id, pairs, several, bits), "places")

@@ -119,7 +119,7 @@ def shards(classes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     finer = []
     for i, m in enumerate(masks):
         free = _blocks(radius + 5, [b for b in range(64) if not m >> b & 1])
-        keys = [_keys(fp, i, m | s) for s in _masks(free, 5)]
+        keys = [_keys(fp, 1000 * (i + 1) + j, m | s) for j, s in enumerate(_masks(free, 5))]
         finer.append(F.when(F.col("mask") == i, F.array(*keys)))
     split = first.join(large, "key", "left_semi").select(F.explode(F.coalesce(*finer)).alias("key"), "fp")
     return first.join(large, "key", "left_anti").select("key", "fp").unionByName(split)
