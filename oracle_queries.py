@@ -87,14 +87,23 @@ def each(source: str, key: str, items: str, name: str) -> str:
     )
 
 
-def sentence_list(x: str) -> str:
-    x = f"(CASE WHEN ends_with({x}, '.') THEN {x} ELSE {x} || '.' END)"
-    x = f"(' ' || translate({x}, chr(10), ' ') || '  ')"
-    for pattern, replacement in T.sentence_rules():
-        x = sub(x, "(?i)" + pattern, replacement.replace("$", "\\"))
-    x = f"string_split({x}, {lit(T.SENTENCE_END)})"
-    trimmed = sub(f"translate(s, {lit(T.KEPT_PERIOD)}, '.')", f"^{T.SPACE}+|{T.SPACE}+$", "")
-    return f"list_transform(({x})[:-2], lambda s: {trimmed})"
+def sentence_rows(source: str, key: str, x: str) -> str:
+    """Rows (key, pos, sentence): tokens grouped up to each token that closes a sentence."""
+    whole = f"{x} || CASE WHEN {x} LIKE '%.' THEN '' WHEN {x} LIKE '%!' OR {x} LIKE '%?' THEN ' .' ELSE '.' END"
+    quoted = "lambda t: regexp_replace(t, '([.?!])([\"”])$', '\\2\\1')"
+    core = "regexp_replace(lower(ts[i]), '[)\\]'']+$', '')"
+    never = lits([f"{t}." for t in K.TITLES] + ["e.g.", "i.e."])
+    suffix = lits(f"{t}." for t in K.SUFFIXES)
+    closes = f"""CASE WHEN i = len(ts) OR right({core}, 1) IN ('!', '?') THEN true
+      WHEN right({core}, 1) <> '.' OR right({core}, 2) = '..' THEN false
+      WHEN {core} IN ({never}) OR regexp_full_match({core}, '[a-z]\\.') THEN false
+      WHEN {core} IN ({suffix}) OR regexp_full_match({core}, '([a-z]{{1,2}}\\.){{2,}}')
+        THEN lower(ts[i + 1]) IN ({lits(K.STARTERS)})
+      ELSE true END"""
+    return f"""SELECT {key}, unnest(range(len(e))) AS pos, unnest(list_transform(range(1, len(e) + 1),
+      lambda k: array_to_string(ts[(CASE WHEN k = 1 THEN 0 ELSE e[k - 1] END) + 1 : e[k]], ' '))) AS sentence
+    FROM (SELECT {key}, ts, list_filter(range(1, len(ts) + 1), lambda i: {closes}) AS e
+          FROM (SELECT {key}, list_transform({split_white(whole)}, {quoted}) AS ts FROM {source}))"""
 
 
 POSTS = """posts AS (
@@ -143,7 +152,7 @@ O["norm_text"] = f"SELECT doc_id, {norm('text')} AS norm FROM documents"
 O["normalize_text"] = f"SELECT doc_id, {normalize('text')} AS norm FROM documents"
 O["clean_terms"] = f"""SELECT doc_id, {cleaned('text')} AS cleaned,
 array_to_string({clean_tokens('text')}, '|') AS tokens FROM documents"""
-O["sentence_split"] = f"""WITH s AS ({each('documents', 'doc_id', sentence_list('text'), 'sentence')})
+O["sentence_split"] = f"""WITH s AS ({sentence_rows('documents', 'doc_id', 'text')})
 SELECT doc_id, pos AS sent, sentence FROM s"""
 O["tokens"] = f"""SELECT doc_id, len(string_split(text, ' ')) AS space_tokens,
 array_to_string({split_white('text')}, '|') AS white, array_to_string({words('text')}, '|') AS words,
@@ -478,7 +487,7 @@ def window_p(source: str, keys: str) -> str:
 
 
 O["spell_correct"] = f"""WITH {SPELL}, {TRI}, {PAIRS},
-bs AS ({each('benchmark', 'item_id', sentence_list(normalize(corpus('text'))), 'sentence')}),
+bs AS ({sentence_rows('benchmark', 'item_id', normalize(corpus('text')))}),
 sn AS (SELECT item_id, pos AS sent, sentence, {words('sentence')} AS ws, {split_each('sentence')} AS us FROM bs),
 bu AS (SELECT item_id, sent, unnest(range(len(us))) AS spot, unnest(us) AS a FROM sn),
 bw AS (SELECT item_id, sent, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS next FROM bu WINDOW w AS (PARTITION BY item_id, sent ORDER BY spot)),

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.let import let
 from quillspark.sources import constants as K
 
 SPACE = (
@@ -21,8 +22,6 @@ WORD = r"[\p{L}\p{N}_]+"
 LONG_WORD = r"[\p{L}\p{N}_]{2,}"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 BLANKED = r"""[\p{Nd}+/.,&!"?@$()_%^*\[\]}{#:;'-]"""
-KEPT_PERIOD = "\ue000"  # private-use marks, never part of a text
-SENTENCE_END = "\ue001"
 
 
 def _sub(text: Column, pattern: str, replacement: str) -> Column:
@@ -118,50 +117,55 @@ def clean_tokens(text: Column) -> Column:
     return F.filter(F.transform(kept, clean_format), lambda t: t != "")
 
 
-# (pattern, replacement) pairs applied in this order, case-insensitively. P keeps a
-# period inside its sentence, E ends the sentence.
-def sentence_rules() -> list[tuple[str, str]]:
-    p, e = KEPT_PERIOD, SENTENCE_END
-    edge = r"(^|[^\p{L}\p{N}_])"
-    return [
-        (r"[.][.]", p + p),
-        (p + r"[.]", p + p),
-        (edge + r"(e)[.](g)[.]", "$1$2" + p + "$3" + p),
-        (edge + r"(i)[.](e)[.]", "$1$2" + p + "$3" + p),
-        (edge + r"(ph)[.](d)", "$1$2" + p + "$3"),
-        (r"([0-9])[.]([0-9])", "$1" + p + "$2"),
-        (r"([0-9])[.]([0-9])", "$1" + p + "$2"),
-        (edge + "(" + K.TITLES + ")[.]", "$1$2" + p),
-        (
-            edge + r"([a-z][.][a-z][.](?:[a-z][.])?) (" + K.STARTERS + ")",
-            "$1$2" + e + " $3",
-        ),
-        (" (" + K.COMPANY_SUFFIXES + ")[.] (" + K.STARTERS + ")", " $1" + p + e + " $2"),
-        (edge + r"([a-z])[.]([a-z])[.]([a-z])[.]", "$1$2" + p + "$3" + p + "$4" + p),
-        (edge + r"([a-z])[.]([a-z])[.]", "$1$2" + p + "$3" + p),
-        (r" ([a-z])[.]", " $1" + p),
-        (" (" + K.COMPANY_SUFFIXES + ")[.]", " $1" + p),
-        ("[.](" + K.DOMAINS + ")", p + "$1"),
-        ('([.?!])(["”])', "$2$1"),
-        (r"([.?!])", "$1" + e),
-        # a text that ends in an abbreviation still ends there
-        ("(" + p + r") +\z", "$1" + e + " "),
-    ]
-
-
-def sentences(text: Column) -> Column:
-    """Trimmed sentences of ``text``; a missing final period is added, an unfinished tail dropped."""
-    text = F.when(F.endswith(text, F.lit(".")), text).otherwise(F.concat(text, F.lit(".")))
-    text = F.concat(F.lit(" "), F.translate(text, "\n", " "), F.lit("  "))
-    for pattern, replacement in sentence_rules():
-        text = _sub(text, "(?i)" + pattern, replacement)
-    parts = F.split(text, SENTENCE_END)
-    parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.transform(
-        parts, lambda s: _sub(F.translate(s, KEPT_PERIOD, "."), f"^{SPACE}+|{SPACE}+$", "")
+def _ends_sentence(
+    token: Column, following: Column, titles: Sequence[str], suffixes: Sequence[str], starters: Sequence[str]
+) -> Column:
+    """Whether a blank-separated token closes its sentence, judged by itself and the token after it."""
+    core = F.regexp_replace(F.lower(token), r"[)\]']+$", "")
+    before_starter = F.lower(following).isin(*starters)
+    return (
+        F.when(following.isNull() | core.endswith("!") | core.endswith("?"), True)
+        .when(~core.endswith(".") | core.endswith(".."), False)
+        .when(core.isin(*[f"{t}." for t in titles], "e.g.", "i.e.") | core.rlike("^[a-z][.]$"), False)
+        .when(core.isin(*[f"{s}." for s in suffixes]) | core.rlike("^([a-z]{1,2}[.]){2,}$"), before_starter)
+        .otherwise(True)
     )
 
 
+def sentences(
+    text: Column,
+    titles: Sequence[str] = K.TITLES,
+    suffixes: Sequence[str] = K.SUFFIXES,
+    starters: Sequence[str] = K.STARTERS,
+) -> Column:
+    """Sentences of ``text``, tokens joined by one space; a missing final period is added.
+
+    A token that ends in ``!``, ``?`` or a period closes its sentence, unless the period belongs to a title, a
+    single letter, an ellipsis, or to an acronym or company suffix that no sentence starter follows. Periods
+    inside a token (decimals, domains) never do. A closing quote goes before the mark. The last token always
+    closes.
+    """
+    final = F.when(text.endswith("."), "").when(text.rlike("[!?]$"), " .").otherwise(".")
+    tokens = F.transform(
+        split_white(F.concat(text, final)), lambda t: _sub(t, '([.?!])(["\u201d])$', "$2$1")
+    )
+
+    def closing(ts: Column) -> Column:
+        flags = F.transform(
+            ts, lambda t, i: F.when(_ends_sentence(t, F.get(ts, i + 1), titles, suffixes, starters), i)
+        )
+        return F.filter(flags, lambda i: i.isNotNull())
+
+    def grouped(ts: Column) -> Column:
+        return let(closing(ts), lambda e: F.transform(e, lambda at, k: _between(ts, F.get(e, k - 1), at)))
+
+    def _between(ts: Column, last: Column, at: Column) -> Column:
+        begin = F.coalesce(last, F.lit(-1)) + 1
+        return F.array_join(F.slice(ts, begin + 1, at - begin + 1), " ")
+
+    return F.when(text.isNotNull(), let(tokens, grouped))
+
+
 def join_sentences(parts: Column) -> Column:
     """One line per sentence, sentences that are only a punctuation word left out."""
     return F.array_join(F.filter(parts, lambda s: ~is_punct_word(s)), "\n")

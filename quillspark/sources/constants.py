@@ -35,11 +35,8 @@ COUNT_FEATURES = [
 # Error types of the spelling channel.
 ERROR_TYPES = ["deletion", "transposition", "substitution", "insertion"]
 
-# Abbreviations whose period does not end a sentence, words that start a
-# sentence after an abbreviation, and domains after an inner period.
-TITLES = "Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt"
-COMPANY_SUFFIXES = "Inc|Ltd|Jr|Sr|Co"
-STARTERS = (
-    r"Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever"
-)
-DOMAINS = "com|net|org|io|gov|me|edu"
+# Defaults of the sentence splitter: titles before a name, suffixes of companies and names, and words that
+# show that a sentence begins after an abbreviation.
+TITLES = ("mr", "mrs", "ms", "mx", "dr", "prof", "st", "mt", "rev", "hon", "gen", "sgt", "capt", "lt", "vs")
+SUFFIXES = ("inc", "ltd", "corp", "co", "llc", "plc", "jr", "sr", "etc")
+STARTERS = ("he", "she", "it", "they", "we", "i", "you", "the", "this", "that", "these", "but", "however", "our", "their")
