@@ -7,8 +7,8 @@ task's file is a plain WARC file in any store Spark writes to, committed as a wh
 Reading. The text reader splits the files at the magic line. Every piece is a candidate record: its offset is
 the running length of the pieces before it, and its Content-Length gives the offset of its successor. A
 page can hold the magic line too, so candidates are not trusted: pointer jumping from offset 0 of every file
-keeps only the candidates that the chain of lengths reaches, doubling the jump in each round. The pieces of a
-record whose payload holds the magic line are put together again. A file whose chain does not
+keeps only the candidates that the chain of lengths reaches, doubling the jump in each round. It runs per file
+on offsets alone (two numbers a record; a file is what one task wrote). The pieces of a record whose payload holds the magic line are put together again. A file whose chain does not
 end at its last byte is reported as an error.
 
 Defined results: a null page is an empty payload; null ids and URLs leave out their header; a null id is
@@ -18,11 +18,12 @@ an empty table gives no records. Line breaks in a URL are percent-encoded.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import plain, small, stored
-from quillspark.session import cut_lineage
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -108,20 +109,38 @@ def candidates(pieces: DataFrame) -> DataFrame:
     return placed.select("file", "at", begin.alias("offset"), (F.col("stop") - F.col("n") + F.col("size")).alias("next"), "stop")
 
 
-def reachable(found: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates on the chain from offset 0, by pointer jumping."""
-    jump = cut_lineage(found.where("offset >= 0").select("file", "offset", F.col("next").alias("to")))
-    known = jump.select("file", "offset")
-    chain = cut_lineage(known.where("offset = 0"))
+def on_chain(offsets: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Which of the rising ``offsets`` are reached from offset 0 along ``following``, by pointer jumping.
+
+    Each round doubles the length of all jumps, so the rounds are logarithmic in the number of records.
+    """
+    n = len(offsets)
+    jump = np.searchsorted(offsets, following)
+    known = jump < n
+    known[known] = offsets[jump[known]] == following[known]
+    jump = np.append(np.where(known, jump, n), n)  # n: no candidate there
+    reached = np.append(offsets == 0, False)
     while True:
-        hops = jump.where(F.col("to").isNotNull())
-        ahead = chain.join(hops, ["file", "offset"]).select("file", F.col("to").alias("offset"))
-        grown = chain.union(ahead.join(known, ["file", "offset"], "left_semi"))
-        step = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("then"))
-        jump = cut_lineage(hops.join(step, ["file", "to"]).select("file", "offset", F.col("then").alias("to")))
-        chain = cut_lineage(grown)
-        if jump.isEmpty():
-            return chain
+        reached[jump[reached]] = True
+        if (jump == n).all():
+            return reached[:n]
+        jump = jump[jump]
+
+
+def reachable(found: DataFrame) -> DataFrame:
+    """(file, at, owner, inner, next, stop): the piece ``owner`` begins the record that a piece belongs to, and
+    ``inner`` says that the piece does not begin a record itself. One file's offsets go to one task."""
+
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("offset", ignore_index=True)
+        real = on_chain(pieces["offset"].to_numpy(), pieces["next"].fillna(-1).to_numpy(np.int64))
+        owner = pieces["at"].where(real).ffill()
+        return pieces[["file", "at", "next", "stop"]].assign(owner=owner, inner=~real)
+
+    rows = found.where("offset >= 0")
+    return rows.groupBy("file").applyInPandas(
+        run, "file string, at long, next long, stop long, owner long, inner boolean"
+    )
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
@@ -152,20 +171,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record on the chains: page_id, url, record_type, payload_bytes, payload_digest, refers_to
     and the payload (null for a revisit)."""
     pieces = _pieces(spark, folder)
-    found = cut_lineage(candidates(pieces))
-    chain = reachable(found).withColumn("real", F.lit(True))
-    marked = cut_lineage(found.join(chain, ["file", "offset"], "left"))
+    marked = stored(reachable(candidates(pieces)), "chains")
     ends = marked.groupBy("file").agg(
-        F.max("stop").alias("size"), F.max(F.when(F.col("real"), F.col("next"))).alias("end")
+        F.max("stop").alias("size"), F.max(F.when(~F.col("inner"), F.col("next"))).alias("end")
     )
-    broken = ends.where(~F.col("size").eqNullSafe(F.col("end"))).where("size > 0").limit(5).collect()
+    broken = ends.where(~F.col("size").eqNullSafe(F.col("end"))).limit(5).collect()
     if broken:
         raise ValueError(f"broken record chains: {[(r['file'], r['end'], r['size']) for r in broken]}")
-    order = Window.partitionBy("file").orderBy("at")
-    owner = F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(order)
-    split = marked.where("offset >= 0").select("at", F.col("real").isNull().alias("inner"), owner.alias("owner"))
-    parts = split.groupBy("owner").agg(F.max("inner").alias("any")).where("any").select("owner")
-    torn = small(stored(split.join(parts, "owner").select(F.col("at").alias("piece"), "owner"), "torn"))
+    parts = marked.where("inner").select(F.col("owner").alias("of")).distinct()
+    split = marked.select("at", "owner").join(parts, F.col("owner") == F.col("of"), "left_semi")
+    torn = small(stored(split.select(F.col("at").alias("piece"), "owner"), "torn"))
     rows = pieces.where(F.col("value") != "").join(torn, F.col("at") == F.col("piece"), "left")
     whole = rows.where(F.col("owner").isNull()).select("value")
     ordered = F.sort_array(F.collect_list(F.struct("at", "value")))
