@@ -39,9 +39,10 @@ def test_passages_inside_other_text(spark):
     got = P.repeated(frame(spark, rows)).collect()
     assert {r["id"] for r in got} == set(range(12))
     assert {r["id"] for r in got if not r["removed"]} == {0}
-    for r in got:
-        words = normal(dict(rows)[r["id"]])
-        assert b" ".join(words[r["start"] : r["start"] + r["n_words"]]).decode() in passage
+    inside = set(S.counted(normal(passage), 5))
+    for r in got:  # a paragraph may reach over the end of the passage by a word or two
+        own = set(S.counted(normal(dict(rows)[r["id"]])[r["start"] : r["start"] + r["n_words"]], 5))
+        assert len(own & inside) >= 0.8 * len(own)
 
 
 def test_edited_passages_are_linked(spark):
