@@ -340,7 +340,7 @@ def fold_expr(key: str, k: int, by: str = "") -> str:
 
 
 PREDS = f"""ld AS (SELECT doc_id, quality AS y, length(text) AS len, len({words('text')}) AS words,
- {fold_expr('doc_id', 5)} AS fold FROM documents JOIN labels USING (doc_id)),
+ {fold_expr('doc_id', 10)} AS fold FROM documents JOIN labels USING (doc_id)),
 preds AS (SELECT 'length' AS model, fold, y, (len > (SELECT avg(len) FROM ld))::INT AS pred FROM ld
  UNION ALL SELECT 'parity', fold, y, (words % 2)::INT FROM ld)"""
 METRICS = f"""{PREDS}, cf AS (SELECT model, fold::VARCHAR AS fold, count(*) FILTER (y = 1 AND pred = 1) AS tp,

@@ -29,14 +29,18 @@ from pyspark.sql import types as T
 from quillspark.operators.features import fit_minmax
 
 
+ALL_TERMS = (1 << 31) - 1  # Spark ML's largest vocabulary
+
+
 def fit_features(
-    train: DataFrame, terms: str, numeric: Sequence[str], min_df: int = 2, max_features: int = 1 << 16
+    train: DataFrame, terms: str, numeric: Sequence[str], min_df: int = 2, max_features: int | None = None
 ) -> PipelineModel:
     """Sparse TF-IDF of the term array next to min-max scaled numbers, in column ``features``.
 
     Weights are tf * (ln((1 + documents) / (1 + df)) + 1), L2-normalised. The vocabulary
-    lives on the driver, so its size is a parameter.
+    is whole unless the caller names a cap; Spark ML keeps it on the driver.
     """
+    max_features = ALL_TERMS if max_features is None else max_features
     counter = CountVectorizer(
         inputCol=terms, outputCol="_counts", minDF=float(min_df), vocabSize=max_features
     ).fit(train)
@@ -116,8 +120,10 @@ def scale_gamma(df: DataFrame, width: int) -> float:
     return 1.0 / (width * variance) if variance > 0 else 1.0
 
 
-def classifier(name: str, rows: int, width: int, seed: int = 0, max_iter: int = 100) -> Estimator:
-    """A fresh estimator; penalties correspond to C = 1 on ``rows`` rows."""
+def classifier(name: str, rows: int, width: int, seed: int = 0, max_iter: int | None = None) -> Estimator:
+    """A fresh estimator; penalties correspond to C = 1 on ``rows`` rows. By default the feed-forward net
+    takes 49 iterations and the others 100."""
+    max_iter = max_iter or (49 if name == "nn" else 100)
     reg = 1.0 / max(rows, 1)
     if name == "logreg":
         return LogisticRegression(
@@ -128,7 +134,7 @@ def classifier(name: str, rows: int, width: int, seed: int = 0, max_iter: int =
         return LinearSVC(labelCol="target", regParam=reg, standardization=False, maxIter=max_iter)
     if name == "nn":
         return MultilayerPerceptronClassifier(
-            labelCol="target", layers=[width, 64, 64, 16, 2], maxIter=min(max_iter, 49), seed=seed
+            labelCol="target", layers=[width, 64, 64, 16, 2], maxIter=max_iter, seed=seed
         )
     raise ValueError(f"unknown model {name}")
 
@@ -139,7 +145,7 @@ MODELS = ["svm_linear", "svm_rbf", "logreg", "nn"]
 
 
 def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, width: int, seed: int = 0, max_iter: int = 100
+    name: str, train: DataFrame, test: DataFrame, width: int, seed: int = 0, max_iter: int | None = None
 ) -> tuple[DataFrame, Transformer]:
     """Predictions of a fresh model on ``test``; both inputs carry ``features`` and ``target``."""
     if name == "svm_rbf":

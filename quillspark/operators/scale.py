@@ -138,9 +138,9 @@ def lookup_join(
     """Left-join ``values`` of ``lookup`` (unique on string ``keys``) without a hot partition.
 
     Keys that carry more than ``share`` of the total ``weight`` are at most
-    ``1/share`` rows, so that part is broadcast. Rows answered by it are spread
-    over the partitions of the second join by a hash of their ``spread`` columns
-    instead of meeting on their key. ``total`` may be given where it is known.
+    ``1/share`` rows, so that part is broadcast. Rows answered by it, and rows with
+    a null key, are spread over the partitions of the second join by a hash of their
+    ``spread`` columns instead of meeting on their key. ``total`` may be given where it is known.
     """
     keys, values = list(keys), list(values)
     if total is None:
@@ -156,7 +156,12 @@ def lookup_join(
     marked = left.join(F.broadcast(hot), cond, "left")
     aside = F.concat(F.lit("\uffff"), F.pmod(F.xxhash64(*spread), F.lit(65536)).cast("string"))
     first = keys[0]
-    marked = marked.withColumn("_key", F.when(F.col("_hot"), aside).otherwise(F.col(first)))
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
+    marked = marked.withColumn(
+        "_key", F.when(F.coalesce(F.col("_hot"), F.lit(False)) | empty, aside).otherwise(F.col(first))
+    )
     rest = lookup.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_cv_{v}") for v in values]
     )

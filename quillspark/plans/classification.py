@@ -27,8 +27,8 @@ class Task:
     stopwords: Sequence[str] = ()
     mentions: Mapping[str, tuple[Sequence[str], str]] = field(default_factory=lambda: K.MENTIONS)
     min_df: int = 2
-    max_features: int = 1 << 16
-    max_iter: int = 100
+    max_features: int | None = None
+    max_iter: int | None = None
 
     @property
     def numeric(self) -> list[str]:

@@ -348,12 +348,14 @@ def draw_next(
     drawn = drawn.withColumn(
         "_draw", draws.draw_below(F.col("total"), seed, F.col(key), F.lit(step))
     ).withColumn("_bin", F.floor(F.col("_draw") * F.col("bins") / F.col("total")).cast("long"))
+    # each row asks one of the two tables; in the join with the other it gets a key of its own that is not there
+    none = -1 - F.pmod(F.xxhash64(key), F.lit(65536))
     drawn = drawn.withColumn(
         "_pick",
         F.when(
             F.col("total").isNull(), draws.draw_below(size, seed, F.col(key), F.lit(step)) + 1
-        ),
-    )
+        ).otherwise(none),
+    ).withColumn("_bin", F.coalesce("_bin", none))
     guide = s.guide.select(
         F.col("ctx").alias("_g_ctx"), F.col("bin").alias("_g_bin"), "lo", "hi",
         F.col("gram").alias("_g_gram"), F.col("last").alias("_g_last"),

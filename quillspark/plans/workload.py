@@ -358,7 +358,7 @@ def _predictions(spark, sf):
         "doc_id", F.col("quality").alias("y"), F.length("text").alias("len"),
         F.size(T.words(F.col("text"))).alias("words"),
     )
-    d = H.kfold(d, "doc_id", 5, SEED)
+    d = H.kfold(d, "doc_id", 10, SEED)
     mean = d.agg(F.avg("len").alias("m")).scalar()
     by_len = d.select(F.lit("length").alias("model"), "fold", "y", F.when(F.col("len") > mean, 1).otherwise(0).alias("pred"))
     by_words = d.select(F.lit("parity").alias("model"), "fold", "y", (F.col("words") % 2).alias("pred"))
@@ -414,12 +414,12 @@ def lm_generate_step(spark, sf):
 
 
 def lm_generate(spark, sf):
-    """Each turn's first three words extended to eight."""
+    """Each turn's first three words extended to twenty."""
     lm = L.fit(corpus(documents(spark, sf)), 3, keep=True)
     seeds = corpus(turns(spark, sf)).select(
         "post_id", F.array_join(F.slice(T.split_white(F.col("text")), 1, 3), " ").alias("context")
     )
-    return L.generate(lm, seeds, 8, SEED, "post_id")
+    return L.generate(lm, seeds, 20, SEED, "post_id")
 
 
 def lm_next_topk(spark, sf):
@@ -558,7 +558,7 @@ def random_holdout(spark, sf):
 
 
 def _task():
-    return C.Task(stopwords=STOPWORDS, mentions=MENTIONS, max_features=4000, max_iter=30)
+    return C.Task(stopwords=STOPWORDS, mentions=MENTIONS)
 
 
 def _training_posts(spark, sf):
@@ -568,7 +568,7 @@ def _training_posts(spark, sf):
 
 def _train_eval(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf):
-        predictions = C.train_models(_task(), _training_posts(spark, sf), [name], 3, SEED)
+        predictions = C.train_models(_task(), _training_posts(spark, sf), [name], 10, SEED)
         return C.evaluate_models(predictions)
 
     return run

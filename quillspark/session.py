@@ -12,12 +12,13 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
-def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "20g") -> SparkSession:
+def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A single-machine session for tests and benches; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("quillspark")
     for key, value in SESSION_CONF.items():

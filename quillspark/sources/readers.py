@@ -30,18 +30,25 @@ def _string_schema(columns: Sequence[str], extra: Sequence[str] = ()) -> T.Struc
 
 def load_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Tab-separated posts without a header, all columns text. Lines with too many fields are left
-    out, short ones padded with nulls."""
+    out, short ones padded with nulls. A quoted field may hold line breaks, so a file is read by one task:
+    give large inputs as many files."""
     columns = list(columns or post_columns(path))
     raw = (
         spark.read.schema(_string_schema(columns, ["_bad"]))
         .option("sep", "\t")
         .option("header", False)
+        .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad")
         .csv(path)
     )
-    fields = F.size(F.split("_bad", "\t"))
-    return raw.where(F.col("_bad").isNull() | (fields <= len(columns))).select(*columns)
+    return _without_long(raw, len(columns), quoted=True).select(*columns)
+
+
+def _without_long(raw: DataFrame, width: int, quoted: bool) -> DataFrame:
+    """Rows of at most ``width`` fields; tabs between quotes do not count."""
+    line = F.regexp_replace("_bad", '"[^"]*"', "") if quoted else F.col("_bad")
+    return raw.where(F.col("_bad").isNull() | (F.size(F.split(line, "\t")) <= width))
 
 
 def load_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -56,15 +63,18 @@ def read_posts(
     time_column: str = "time_stamp",
     time_format: str | None = None,
 ) -> DataFrame:
-    """Tab-separated posts without header or quoting, one column parsed as a timestamp."""
+    """Tab-separated posts without header or quoting, one column parsed as a timestamp. Lines with too many
+    fields are left out as in ``load_text``."""
     columns = list(columns or post_columns(path))
     raw = (
-        spark.read.schema(_string_schema(columns))
+        spark.read.schema(_string_schema(columns, ["_bad"]))
         .option("sep", "\t")
         .option("quote", "")
         .option("header", False)
+        .option("columnNameOfCorruptRecord", "_bad")
         .csv(path)
     )
+    raw = _without_long(raw, len(columns), quoted=False).select(*columns)
     return raw.withColumn(time_column, _timestamp(F.col(time_column), time_format))
 
 

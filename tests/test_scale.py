@@ -53,3 +53,21 @@ def test_small_side_hints_only_below_the_limit(spark):
     df = spark.range(10)
     assert "broadcast" in S.small_side(df, 10)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in S.small_side(df, 9)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_null_keys_do_not_meet(spark):
+    """Half of the rows have no key; without adaptive plans and broadcasts they still spread."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(8000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN NULL ELSE concat('k', id % 500) END AS k")
+        table = spark.range(500).selectExpr("concat('k', id) AS k", "id AS v", "1L AS n")
+        out = S.lookup_join(rows, table, ["k"], ["v"], "n", ["id"], share=0.5)
+        sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 8000 / len(sizes) and len(sizes) > 4
+        assert out.where("v IS NULL").count() == 4000 and out.where("k = concat('k', v)").count() == 4000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -28,6 +28,11 @@ def test_posts(spark, tmp_path):
     extra = write(tmp_path, "x_test.tsv", "ann\thi\t2016-08-01 10:00:00\nbob\tshort\nc\td\te\tf\tg\n")
     got = {r.user_handle: r.time_stamp for r in R.load_text(spark, extra).collect()}
     assert got == {"ann": "2016-08-01 10:00:00", "bob": None}
+    quoted = write(tmp_path, "q_test.tsv", 'ann\t"two\nlines\tand tabs"\t2016\nbob\tx\t2017\td\neve\t"a\tb"\n')
+    got = {r.user_handle: r.tweet_text for r in R.load_text(spark, quoted).collect()}
+    assert got == {"ann": "two\nlines\tand tabs", "eve": "a\tb"}
+    long = write(tmp_path, "l_test.tsv", "ann\thi\t2016-08-01 10:00:00\nc\td\t2016-08-01 10:00:00\tf\tg\nbob\tx\n")
+    assert sorted(r.user_handle for r in R.read_posts(spark, long).collect()) == ["ann", "bob"]
     assert R.load_dataset(spark, extra).columns == ["user_handle", "tweet_text"]
     with pytest.raises(ValueError):
         R.post_columns("posts.tsv")
