@@ -11,7 +11,7 @@ broadcast after a count; longer lists are joined by a shuffle.
 A collision says where the template would begin. The words there, with a margin, are checked for the share
 of the template's shingles they hold.
 
-Defined results: null texts match nothing; copies of a text are checked once and each row gets its results;
+Defined results: null texts match nothing; an empty list of templates finds nothing; copies of a text are checked once and each row gets its results;
 templates without words are left out; equal templates both match; of several places in one document the
 best and then first is returned; an empty table gives an empty result. Only the id and text are read.
 """
@@ -121,8 +121,12 @@ def _single(h: Column) -> Column:
 
 def templates(spark: SparkSession, texts: Sequence[tuple[str, str]]) -> DataFrame:
     """(template, license, words, hashes) of the templates that have words."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(texts)]
-    frame = spark.createDataFrame(rows, "template int, license string, text string")
+    rows = [
+        F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).cast("string").alias("text"))
+        for i, (name, text) in enumerate(texts)
+    ]
+    listed = F.array(*rows).cast("array<struct<template:int,license:string,text:string>>")
+    frame = spark.range(1).select(F.inline(listed))
     frame = frame.select("template", "license", words(F.col("text")).alias("words"))
     return frame.select("*", _hashes(F.col("words")).alias("hashes")).where(F.size("words") > 0)
 
