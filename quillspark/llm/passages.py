@@ -44,7 +44,8 @@ ROWS = 2
 SIMILARITY = 0.8
 BITMAP_BITS = 25
 
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_SLOTS = S.mixed(np.arange(1, PARAGRAPH - SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
@@ -52,26 +53,25 @@ def _windows(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start words, keys and shingle hashes (one row each) of the paragraphs of one text."""
+    """First words, keys and shingle hashes (one row each) of the distinct paragraphs of one text."""
     per = PARAGRAPH - SHINGLE + 1
     data = (text or "").lower().encode()
     hashes = S.shingle_hashes(S.word_hashes(data, *S.word_spans(data)), SHINGLE)
     count = len(hashes) - per + 1
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, per), np.uint64)
-    # the last places of a short text are anchors of what windows there are
-    size = min(ANCHORS, count)
-    places = _windows(hashes[:count], size)
-    starts = np.unique(places.argmin(axis=1) + np.arange(len(places)))
-    inside = _windows(hashes, per)[starts]
-    slots = S.mixed(np.arange(1, per + 1, dtype=np.uint64))
-    keys = S.mixed((inside * (slots | np.uint64(1))).sum(axis=1, dtype=np.uint64))
-    return starts, keys, inside
+    size = min(ANCHORS, count)  # a short text has fewer places to choose from
+    starts = np.unique(_windows(hashes[:count], size).argmin(axis=1) + np.arange(count - size + 1))
+    keys = np.zeros(len(starts), np.uint64)
+    for k, slot in enumerate(_SLOTS):
+        keys += hashes[starts + k] * slot
+    keys, first = np.unique(S.mixed(keys), return_index=True)
+    return starts[first], keys, _windows(hashes, per)[starts[first]]
 
 
 def band_keys(inside: np.ndarray) -> np.ndarray:
     """Keys (paragraphs x bands) from the MinHashes of the shingles of each paragraph."""
-    least = np.stack([S.mixed(inside ^ s).min(axis=1) for s in _SEEDS], axis=1)
+    least = np.stack([(inside * s).min(axis=1) for s in _SEEDS], axis=1)
     out = np.empty((len(inside), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(inside), b + 1, np.uint64)
@@ -94,8 +94,7 @@ def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
             found = []
             for body, tag in zip(batch.column("text"), batch.column("doc").to_pylist(), strict=True):
                 _, keys, inside = paragraphs(body.as_py())
-                keys, first = np.unique(keys, return_index=True)  # once per document
-                found.append((keys, band_keys(inside[first]), np.full(len(keys), tag, np.int32)))
+                found.append((keys, band_keys(inside), np.full(len(keys), tag, np.int32)))
             if not found:
                 continue
             keys, bands, tags = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -143,8 +142,8 @@ def collisions(rows: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: DataFrame, bits: int) -> DataFrame:
-    """(id, content, start, key, shingles) of the paragraphs whose key may be in ``wanted``; the shingles are
-    there if the key may be in ``several``."""
+    """(id, content, start, key, shingles) of the paragraphs whose key may be in ``wanted``; the shingles, as
+    32-bit hashes, are there if the key may be in ``several``."""
     tables = docs.sparkSession.sparkContext.broadcast(
         tuple(S.bitmap(x.select(F.col("key").alias("hash")), bits) for x in (wanted, several))
     )
@@ -160,7 +159,7 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
                 at.append(np.full(len(hit), i))
                 start.append(starts[hit])
                 key.append(keys[hit])
-                inside.append(hashes[hit[with_set]].ravel())
+                inside.append((hashes[hit[with_set]].ravel() >> np.uint64(32)).astype(np.uint32))
                 sizes.append(with_set * hashes.shape[1])
             if not at:
                 continue
@@ -170,7 +169,7 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
                 [
                     batch.column("id").take(at), batch.column("content").take(at),
                     pa.array(np.concatenate(start).astype(np.int32)), _signed(np.concatenate(key)),
-                    pa.ListArray.from_arrays(offsets, _signed(np.concatenate(inside))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(inside).view(np.int32))),
                 ],
                 names=["id", "content", "start", "key", "shingles"],
             )
@@ -178,7 +177,7 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
     rows = docs.select(
         F.col(id).cast("long").alias("id"), content_key(F.col(text)).alias("content"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(run, "id long, content long, start int, key long, shingles array<long>")
+    return rows.mapInArrow(run, "id long, content long, start int, key long, shingles array<int>")
 
 
 def _groups(sets: list[frozenset[int]], least: float) -> list[tuple[int, int]]:
@@ -222,10 +221,10 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def repeated(
     docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY, bits: int = BITMAP_BITS
 ) -> DataFrame:
-    """(id, start, n_words, cluster, n_docs, removed): one row per place of a repeated passage.
+    """(id, start, n_words, cluster, n_docs, removed): one row per document and repeated paragraph.
 
-    ``start`` counts the words of the normalised text; ``cluster`` names the passage; ``removed`` is false at
-    the one place that is kept.
+    ``start`` is its first place in the words of the normalised text; ``cluster`` names the passage;
+    ``removed`` is false at the one place that is kept.
     """
     pairs = stored(collisions(band_rows(docs, text, id)), "bands")
     shared = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
-_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE = np.where(_IN_WORD, np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64), np.uint64(0))
 _PLACE = np.random.default_rng(8).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
 _SLOT = np.random.default_rng(9).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _CHUNK = 1 << 20
@@ -42,8 +42,7 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         piece = raw[begin:stop]
         own = starts[first:last] - begin
         place = np.arange(len(piece)) - np.repeat(own, np.diff(np.append(own, len(piece))))
-        values = mixed(_BYTE[piece] * _PLACE[place & (len(_PLACE) - 1)] + place.astype(np.uint64))
-        values[~_IN_WORD[piece]] = 0
+        values = _BYTE[piece] * _PLACE[place & (len(_PLACE) - 1)]  # 0 between words
         out.append(mixed(np.add.reduceat(values, own)))
         first = last
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -48,6 +48,10 @@ SEGMENT = (
 )
 
 
+KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+LAYOUT = pa.schema([(name, KINDS[kind]) for name, kind in (field.split() for field in SEGMENT.split(", "))])
+
+
 class EliasFano:
     """Non-decreasing integers: low bits packed, high parts in unary, and a sampled select."""
 
@@ -191,11 +195,7 @@ def segments(
     segment_tokens: int = SEGMENT_TOKENS,
 ) -> DataFrame:
     """The segment rows of ``docs`` in ascending id order. ``width`` 2 fits vocabularies up to 65,536."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     end = np.array([end_id], f"<u{width}").tobytes()
-    layout = to_arrow_schema(_parse_datatype_string(SEGMENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, shard, number = _pieces(tokenizer, width), TaskContext.get().partitionId(), 0
@@ -209,10 +209,10 @@ def segments(
                 parts.append(code)
                 size += len(code)
                 if size >= segment_tokens * width or len(ids) >= SEGMENT_DOCS:
-                    yield pa.RecordBatch.from_pylist([_segment(shard, number, width, ids, parts)], layout)
+                    yield pa.RecordBatch.from_pylist([_segment(shard, number, width, ids, parts)], LAYOUT)
                     ids, parts, size, number = [], [], 0, number + 1
         if ids:
-            yield pa.RecordBatch.from_pylist([_segment(shard, number, width, ids, parts)], layout)
+            yield pa.RecordBatch.from_pylist([_segment(shard, number, width, ids, parts)], LAYOUT)
 
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))

@@ -8,8 +8,8 @@ Reading. The text reader splits the files at the magic line. Every piece is a ca
 the running length of the pieces before it, and its Content-Length gives the offset of its successor. A
 page can hold the magic line too, so candidates are not trusted: pointer jumping from offset 0 of every file
 keeps only the candidates that the chain of lengths reaches, doubling the jump in each round. It runs per file
-on offsets alone (two numbers a record; a file is what one task wrote). The pieces of a record whose payload holds the magic line are put together again. A file whose chain does not
-end at its last byte is reported as an error.
+on offsets alone (two numbers a record; a file is what one task wrote). The pieces of a record whose payload
+holds the magic line are put together again. A file whose chain does not end at its last byte is an error.
 
 Defined results: a null page is an empty payload; null ids and URLs leave out their header; a null id is
 never the original of other rows with an id; rows that share the largest id of a payload are all responses;
