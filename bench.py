@@ -14,7 +14,7 @@ from quillspark.session import local_session  # noqa: E402
 
 HEADLINE = [
     "word_ngrams", "char_ngrams", "tfidf_uni", "lm_loglik", "content_features", "vocab_index",
-    "clean_term_freq", "trigram_continuations", "known_edits", "spell_candidates",
+    "clean_term_freq", "trigram_continuations", "known_edits", "spell_candidates", "feature_table", "lm_generate",
 ]
 
 

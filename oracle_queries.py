@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 
-from quillspark.functions import text as T
 from quillspark.plans import workload as W
 from quillspark.sources import constants as K
 
 
+# Patterns, written out here from the intended behaviour and not taken from the engine.
+BLANKS = r"\t\n\x0B\f\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BLANK = f"[{BLANKS}]"
+LETTERS_DIGITS = r"\p{L}\p{N}_"
+PUNCT_MARKS = r"""[ "\\,*_`:./;'\[\](){}<>~^?&!=+#-]"""
+TO_BLANK = r"""[\p{Nd}!"#$%&'()*+,./:;?@\[\]^_{}-]"""
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -27,7 +34,7 @@ LETTERS = "[" + lits("abcdefghijklmnopqrstuvwxyz") + "]"
 
 
 def norm(x: str) -> str:
-    x = sub(f"lower({x})", T.SPACE + "+", " ")
+    x = sub(f"lower({x})", BLANK + "+", " ")
     x = sub(x, "([,.;!?:)])", r" \1")
     x = sub(x, "([(])", r"\1 ")
     x = sub(x, '([/"&*=])', r" \1 ")
@@ -37,13 +44,13 @@ def norm(x: str) -> str:
 def plain(x: str) -> str:
     for anchor, name in K.CLIENT_ANCHORS:
         x = f"replace({x}, {lit(anchor)}, {lit(name)})"
-    x = sub(f"lower({x})", T.BLANKED, " ")
+    x = sub(f"lower({x})", TO_BLANK, " ")
     x = f"replace(replace({x}, '=', ' = '), 'https', '')"
-    return f"trim({sub(x, T.SPACE + '+', ' ')})"
+    return f"trim({sub(x, BLANK + '+', ' ')})"
 
 
 def normalize(x: str) -> str:
-    return f"lower({sub(x, T.SPACE + '{2,}', ' ')})"
+    return f"lower({sub(x, BLANK + '{2,}', ' ')})"
 
 
 def corpus(x: str) -> str:
@@ -51,23 +58,23 @@ def corpus(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"regexp_extract_all({x}, {lit(T.WORD)})"
+    return f"regexp_extract_all({x}, {lit(f'[{LETTERS_DIGITS}]+')})"
 
 
 def long_words(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), {lit(T.LONG_WORD)})"
+    return f"regexp_extract_all(lower({x}), {lit(f'[{LETTERS_DIGITS}]{{2,}}')})"
 
 
 def marks(x: str) -> str:
-    return f"regexp_extract_all({x}, {lit(T.WORD_OR_MARK)})"
+    return f"regexp_extract_all({x}, {lit(f'[{LETTERS_DIGITS}]+|[^{LETTERS_DIGITS}{BLANKS}]')})"
 
 
 def cleaned(x: str) -> str:
-    return sub(x, T.punct_class(), "")
+    return sub(x, PUNCT_MARKS, "")
 
 
 def split_white(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, {lit(T.SPACE + '+')}), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array({x}, {lit(BLANK + '+')}), lambda t: t <> '')"
 
 
 def clean_tokens(x: str) -> str:
@@ -76,7 +83,7 @@ def clean_tokens(x: str) -> str:
 
 
 def split_each(x: str) -> str:
-    return f"regexp_split_to_array({x}, {lit(T.ASCII_SPACE)})"
+    return f"regexp_split_to_array({x}, {lit('[ \\t\\n\\x0B\\f\\r]')})"
 
 
 def each(source: str, key: str, items: str, name: str) -> str:
