@@ -63,3 +63,4 @@ def test_awkward_rows(spark):
     got = sorted((r["doc_id"], r["license"]) for r in L.scan(frame(spark, rows), texts=texts).collect())
     assert got == [(3, "Y"), (3, "Y2"), (4, "Y"), (4, "Y2"), (60, "X")]
     assert L.scan(frame(spark, [])).count() == 0
+    assert L.scan(frame(spark, rows), texts=[]).count() == 0
