@@ -17,7 +17,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    found = simhash.near_duplicates(_read(spark, sf, "documents"))
+    found = simhash.within_bits(_read(spark, sf, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

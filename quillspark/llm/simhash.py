@@ -1,4 +1,7 @@
-"""SimHash near-duplicates with sharded BK-trees.
+"""Near-duplicates: copies of a shingle similarity, and SimHash with sharded BK-trees.
+
+``near_duplicates`` and ``keep_one`` link copies by the exact similarity of their 5-word shingles (``near_copies``).
+``within_bits`` links fingerprints that differ in a few bits, which finds only the closest copies:
 
 1. Every text gets a 64-bit fingerprint of its word shingles (Arrow batches, numpy). Equal fingerprints are
    one class from here on, so copies never meet each other as pairs.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import content_key, small, stored
 from quillspark.llm.components import components
+from quillspark.llm.near_copies import SIMILARITY, near_copies
 
 SHINGLE = 3
 RADIUS = 3
@@ -214,7 +218,7 @@ def links(classes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(
+def within_bits(
     docs: DataFrame,
     text: str = "text",
     id: str = "doc_id",
@@ -234,6 +238,11 @@ def near_duplicates(
     return rows.join(named, F.col("fp") == F.col("of")).select("id", "content", "fp", "component_id", "root")
 
 
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """(id, content, fp, component_id, root) for every row; the copies reach the exact similarity ``least``."""
+    return near_copies(docs, text, id, least)
+
+
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id", **params) -> DataFrame:
     """One row of ``docs`` per component: that with the smallest id (ties: smallest text key, then any)."""
     found = near_duplicates(docs, text, id, **params)
