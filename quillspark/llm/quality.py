@@ -5,9 +5,9 @@ are two aggregations over 64-bit line keys.
 
 Line rule. A line is normalised (lower case, blanks collapsed, trimmed) and hashed with its host. A line
 that stands in more than ``max(least_docs, share * documents of the host)`` distinct texts of that host is
-removed from all of them except the text with the smallest id, as only the repetition is of no use. A text
-that loses more than ``loss`` of its words is depleted and rejected. Exact copies of a text count once and
-get the same verdict.
+frequent: it goes from all of them except the text with the smallest id, as only the repetition is of no use. A
+text that loses more than ``loss`` of its words is depleted and rejected; ``clean`` takes the frequent lines out of
+the others. Exact copies of a text count once and get the same verdict.
 
 Defined results: a null text is an empty one (base_failed); a null host is a host of its own; a null id
 counts as the largest; texts that share the smallest id all keep the line; repeated rows are each judged;
@@ -27,6 +27,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 LEAST_DOCS = 10
 SHARE = 0.05
 LOSS = 0.5
+#: The lines of at most so many texts are sent to every task.
+GONE_ROWS = 100_000
 
 
 def _repeated(w: Column) -> Column:
@@ -91,7 +93,11 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), BLANK, " "))
 
 
-def depleted(
+def _line(host: Column, line: Column) -> Column:
+    return F.xxhash64(host, host.isNull(), normalised(line))
+
+
+def losses(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
@@ -100,11 +106,12 @@ def depleted(
     share: float = SHARE,
     loss: float = LOSS,
 ) -> DataFrame:
-    """``content`` keys (of host and text) of the texts that frequent lines make up for the most part."""
+    """(content, gone, depleted): the keys of the frequent lines that a text loses, and whether they make up the
+    text for the most part. ``content`` is a key of host and text; texts that lose nothing have no row."""
     lines = F.transform(
         F.filter(F.split(plain(F.col(text)), "\n"), lambda x: ~x.rlike(NO_WORD)),
         lambda x: F.struct(
-            F.xxhash64(F.col(host), F.col(host).isNull(), normalised(x)).alias("line"),
+            _line(F.col(host), x).alias("line"),
             F.size(words(x)).alias("n"),
         ),
     )
@@ -140,25 +147,23 @@ def depleted(
         uses.join(frequent, "line")
         .where(F.col("id") != F.col("first"))
         .groupBy("content")
-        .agg(F.sum("n").alias("lost"))
+        .agg(F.sum("n").alias("lost"), F.collect_list("line").alias("gone"))
     )
     return (
         contents.select("content", total.alias("total"))
         .join(lost, "content")
-        .where(F.col("lost") > loss * F.col("total"))
-        .select("content")
+        .select("content", "gone", (F.col("lost") > loss * F.col("total")).alias("depleted"))
     )
 
 
-def _judged(docs: DataFrame, keep: list[Column], text: str, host: str, id: str, **limits) -> DataFrame:
-    gone = small(stored(depleted(docs, text, host, id, **limits), "depleted"))
+def _judged(docs: DataFrame, keep: list[Column], lost: DataFrame, text: str, host: str) -> DataFrame:
+    gone = small(stored(lost.where("depleted").select(F.col("content").alias("__gone")), "depleted"))
     rows = docs.select(
         *keep,
         signals(F.col(text)).alias("__signals"),
         content_key(F.col(host), F.col(text)).alias("__content"),
     )
-    mark = gone.select(F.col("content").alias("__gone"))
-    return rows.join(mark, F.col("__content") == F.col("__gone"), "left").withColumn(
+    return rows.join(gone, F.col("__content") == F.col("__gone"), "left").withColumn(
         "__kept", ~F.col("__signals.base_failed") & F.col("__gone").isNull()
     )
 
@@ -167,7 +172,7 @@ def judge(
     docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", **limits
 ) -> DataFrame:
     """One row per document: id, the statistics, base_failed and kept."""
-    rows = _judged(docs, [F.col(id).alias("__id")], text, host, id, **limits)
+    rows = _judged(docs, [F.col(id).alias("__id")], losses(docs, text, host, id, **limits), text, host)
     return rows.select(F.col("__id").alias(id), "__signals.*", F.col("__kept").alias("kept"))
 
 
@@ -175,5 +180,21 @@ def keep_good(
     docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", **limits
 ) -> DataFrame:
     """The rows of ``docs`` that pass, whole and unchanged."""
-    rows = _judged(docs, [F.struct("*").alias("__row")], text, host, id, **limits)
+    rows = _judged(docs, [F.struct("*").alias("__row")], losses(docs, text, host, id, **limits), text, host)
     return rows.where("__kept").select("__row.*")
+
+
+def clean(docs: DataFrame, text: str = "text", host: str = "source", id: str = "doc_id", **limits) -> DataFrame:
+    """The rows of ``docs`` that pass, their texts without the frequent lines; the other lines stay as they are.
+    Further columns are not recomputed."""
+    lost = stored(losses(docs, text, host, id, **limits), "losses")
+    keep = [F.struct("*").alias("__row"), F.col(host).alias("__host"), F.col(text).alias("__text")]
+    rows = _judged(docs, keep, lost, text, host).where("__kept")
+    lines = small(lost.where("not depleted").select(F.col("content").alias("__of"), "gone"), GONE_ROWS)
+    rows = rows.join(lines.withColumnRenamed("gone", "__lines"), F.col("__content") == F.col("__of"), "left")
+    left = F.filter(
+        F.split(F.col("__text"), "\n"),
+        lambda x: x.rlike(NO_WORD) | ~F.array_contains(F.col("__lines"), _line(F.col("__host"), x)),
+    )
+    cut = F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
+    return rows.select(F.col("__row").withField(f"`{text}`", cut).alias("__row")).select("__row.*")

@@ -1,5 +1,6 @@
 """Quality rules against SQL, line limits and awkward rows."""
 
+import corpus_pipeline
 import duckdb
 import pytest
 from cases import AWKWARD, SF, frame, ordered, prose, tables
@@ -36,6 +37,19 @@ def test_frequent_lines_reject_all_but_the_first(spark):
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == kept
 
 
+def test_clean_texts_lose_exactly_the_frequent_lines(spark):
+    menu, rare = prose("menu", 20), prose("rare", 5)
+    text = lambda i: f"{prose(i, 40)}\n\n  {menu.upper()} \n{rare if i < 5 else prose((i, 1), 5)}\n{menu}\n{prose((i, 2), 30)}\n"
+    rows = [(i, text(i), "hot") for i in range(30)] + [(0, text(3), "hot"), (40, text(3), "other"), (41, f"{menu}\n{menu}\n{prose(9, 20)}", "hot")]
+    got = quality.clean(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    cut = lambda t: "\n".join(x for x in t.split("\n") if x.strip().lower() != menu)
+    first = {text(0), text(3)}  # texts that share the smallest id keep the line
+    want = [(d, t if h == "other" or t in first else cut(t), h) for d, t, h in rows[:-1]]
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == sorted(want)
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, frame(spark, rows), SF).where(f"text like '%{menu}%'").collect()} == {0, 3, 40}
+
+
 def test_lines_below_the_limit_stay(spark):
     assert all(r["kept"] for r in quality.judge(frame(spark, boilerplate(9))).collect())
 
