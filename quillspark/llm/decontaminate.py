@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 1. Every benchmark item gets a 64-bit SimHash of its word shingles, weighted by how often each occurs.
-2. Every document is read window by window, a window being as many words as some item has. A window can
-   only reach the similarity if that share of its shingles occurs in items of its length; two bitmaps of
+2. Every document is read window by window, a window being as many words as some item has. A document of fewer
+   words than an item, but enough to reach the similarity, is one window for it as a whole. A window can only reach the similarity if that share of its shingles occurs in items of its length; two bitmaps of
    fixed size over the items' shingles pass every such window on and few others. Only these are hashed.
 3. Distinct (length, fingerprint) pairs meet the items on radius + 1 blocks of bits: two fingerprints that
    differ in at most ``radius`` bits agree on a block, so no pair within the radius is missed.
@@ -27,11 +27,11 @@ from quillspark.llm.common import content_key, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
+RADIUS = 20
 BITMAP_BITS = 23
 
 _ITEM = "item long, text string, n_words int, fp long, hashes array<long>"
-_WINDOW = "id long, content long, start int, n_words int, fp long, text string"
+_WINDOW = "id long, content long, start int, n_words int, held int, fp long, text string"
 
 
 def simhash(hashes: np.ndarray) -> int:
@@ -69,7 +69,7 @@ def items(benchmark: DataFrame, text: str, id: str, shingle: int) -> DataFrame:
 
 
 def _found(data: bytes, lengths: list[int], known: np.ndarray, sized: np.ndarray, shingle: int, least: float):
-    """(first word, words, fingerprint, text) of the windows of one text that may match an item."""
+    """(first word, words of the item, words, fingerprint, text) of the windows that may match an item."""
     starts, ends = S.word_spans(data)
     words = S.word_hashes(data, starts, ends)
     whole = S.shingle_hashes(words, shingle)
@@ -81,6 +81,10 @@ def _found(data: bytes, lengths: list[int], known: np.ndarray, sized: np.ndarray
         per = n - size + 1
         need = int(np.ceil(least * per - 1e-9))
         if len(words) < n:
+            # all shingles of both are at most so many that the common ones make up the similarity
+            need = int(np.ceil(least * (len(whole) + per) / (1 + least) - 1e-9))
+            if size == shingle and near[-1] >= need and np.count_nonzero(S.holds(sized, _of_length(whole, n))) >= need:
+                yield 0, n, len(words), simhash(whole), data[starts[0] : ends[-1]].decode()
             continue
         if size == shingle:
             at = np.flatnonzero(near[per:] - near[:-per] >= need)
@@ -91,7 +95,7 @@ def _found(data: bytes, lengths: list[int], known: np.ndarray, sized: np.ndarray
         for a in at.tolist():
             own = hashes[a : a + per]
             if np.count_nonzero(S.holds(sized, _of_length(own, n))) >= need:
-                yield a, n, simhash(own), data[starts[a] : ends[a + n - 1]].decode()
+                yield a, n, n, simhash(own), data[starts[a] : ends[a + n - 1]].decode()
 
 
 def windows(
@@ -119,14 +123,14 @@ def windows(
             for i, body in enumerate(batch.column("text")):
                 data = (body.as_py() or "").lower().encode()
                 rows += [(i, *w) for w in _found(data, lengths, known, sized, shingle, least)]
-            place, start, n, fp, part = list(zip(*rows, strict=True)) or [()] * 5
+            place, start, n, held, fp, part = list(zip(*rows, strict=True)) or [()] * 6
             place = pa.array(place, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(place), batch.column("content").take(place), pa.array(start, pa.int32()),
-                    pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(part, pa.string()),
+                    pa.array(n, pa.int32()), pa.array(held, pa.int32()), pa.array(fp, pa.int64()), pa.array(part, pa.string()),
                 ],
-                names=["id", "content", "start", "n_words", "fp", "text"],
+                names=["id", "content", "start", "n_words", "held", "fp", "text"],
             )
 
     rows = docs.select(
@@ -198,6 +202,7 @@ def matches(
     pairs = within_radius(rows.select("n_words", "fp").distinct(), bench, radius)
     known = small(bench.select("item", "n_words", F.col("text").alias("item_text"), F.col("fp").alias("item_fp")))
     joined = rows.join(pairs, ["n_words", "fp"]).join(known, ["n_words", "item_fp"])
+    joined = joined.drop("n_words").withColumnRenamed("held", "n_words")
     schema = "id long, content long, item long, start int, n_words int, distance int, similarity double"
     best = F.max(F.struct("similarity", (-F.col("start")).alias("rank"), "n_words", "distance")).alias("best")
     return (

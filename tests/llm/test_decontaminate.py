@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 from cases import AWKWARD, SF, frame, prose, tables
 
 from quillspark.llm import decontaminate as D
@@ -55,6 +56,35 @@ def test_all_similar_windows_are_found(spark):
     assert all(got[k] == want[k] for k in exact)
 
 
+def test_documents_shorter_than_an_item(spark):
+    items = [(i, prose(("item", i), 60 + 20 * i)) for i in range(6)]
+    docs, want = [], {}
+    for i, text in items:
+        words = text.split()
+        for k, cut in enumerate((1, 5, 10, 12, 20, 40)):
+            for own in (words[cut:], words[: len(words) - cut]):
+                d = len(docs)
+                docs.append((d, " ".join(own)))
+                found = S.weighted_similarity(S.counted(own, 5), S.counted(words, 5))
+                if found >= 0.8:
+                    want[d, i] = (0, len(own), round(found, 9))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = D.matches(frame(spark, docs), bench).collect()
+    assert {(r["id"], r["item"]): (r["start"], r["n_words"], round(r["similarity"], 9)) for r in found} == want
+    kept = {r["doc_id"] for r in D.keep_clean(frame(spark, docs), bench).collect()}
+    assert kept == set(range(len(docs))) - {d for d, _ in want} and kept and want
+
+
+def test_the_radius_reaches_the_similarity():
+    rng = np.random.default_rng(2)
+    found = 0
+    for _ in range(4000):
+        own = rng.integers(0, 1 << 63, 180, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 180, dtype=np.uint64)
+        a, b = D.simhash(own[:162]), D.simhash(own[18:])  # 144 of 180 shingles are common: 0.8
+        found += ((a ^ b) & (1 << 64) - 1).bit_count() <= D.RADIUS
+    assert found >= 0.998 * 4000
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(5)
     left = [(n, rng.getrandbits(63)) for n in (7, 9) for _ in range(60)]
