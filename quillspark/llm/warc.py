@@ -170,7 +170,7 @@ def _parsed(rows: DataFrame) -> DataFrame:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record on the chains: page_id, url, record_type, payload_bytes, payload_digest, refers_to
     and the payload (null for a revisit)."""
-    pieces = _pieces(spark, folder)
+    pieces = stored(_pieces(spark, folder), "pieces")  # another scan may number them differently
     marked = stored(reachable(candidates(pieces)), "chains")
     ends = marked.groupBy("file").agg(
         F.max("stop").alias("size"), F.max(F.when(~F.col("inner"), F.col("next"))).alias("end")

@@ -55,6 +55,29 @@ def test_round_trip(spark, compression):
     assert {(r["page_id"], r["payload"]) for r in df.where("record_type = 'response'").collect()} <= want
 
 
+def test_files_may_be_packed_anew_while_reading(spark, monkeypatch):
+    folder = tempfile.mkdtemp(prefix="warc-") + "/w"
+    warc.write(pages(spark, ROWS).repartition(5), folder)
+    key, store = "spark.sql.files.maxPartitionBytes", warc.stored
+
+    def packed_otherwise(df, name):
+        out = store(df, name)
+        if name == "chains":
+            spark.conf.set(key, "1k")
+        return out
+
+    old = spark.conf.get(key)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    monkeypatch.setattr(warc, "stored", packed_otherwise)
+    try:
+        assert result(warc.read(spark, folder)) == expected(ROWS)
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_split_files_read_the_same(spark):
     folder = tempfile.mkdtemp(prefix="warc-") + "/w"
     rows = [(i, "u", f"{i} " * 400 + (warc.MAGIC if i % 3 else "")) for i in range(200)]
