@@ -16,7 +16,9 @@ paragraphs wherever it stands, and every passage of at least PARAGRAPH + ANCHORS
    key's members are grouped by search from member to member, so that a link is tested unless it is already
    implied, and the links of a key are at most its members less one.
 5. Components are the clusters. A cluster that stands in two documents or more is a repeated passage; the
-   place with the smallest id and position is kept, all others are removals.
+   place with the smallest id and position is kept; all that do not overlap it are removals, also in its text.
+6. The places carry the 20 words on either side. An exact passage of 50 words or more begins and ends within them,
+   so a removal that goes on as far as they equal those of the first equal paragraph covers the passage word by word.
 
 Defined results: null texts and texts shorter than a paragraph have no passages; a null id is its own
 document and comes last; passages that repeat inside one document only are not reported; repeated rows
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
@@ -39,6 +41,7 @@ from quillspark.llm.components import components
 SHINGLE = 5
 PARAGRAPH = 30
 ANCHORS = 21
+EDGE = ANCHORS - 1
 BANDS = 4
 ROWS = 2
 SIMILARITY = 0.8
@@ -52,21 +55,29 @@ def _windows(x: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, keys and shingle hashes (one row each) of the distinct paragraphs of one text."""
+def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First words, keys and shingle hashes (one row each) of the paragraphs of one text; hashes of its words."""
     per = PARAGRAPH - SHINGLE + 1
     data = (text or "").lower().encode()
-    hashes = S.shingle_hashes(S.word_hashes(data, *S.word_spans(data)), SHINGLE)
+    words = S.word_hashes(data, *S.word_spans(data))
+    hashes = S.shingle_hashes(words, SHINGLE)
     count = len(hashes) - per + 1
     if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, per), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, per), np.uint64), words
     size = min(ANCHORS, count)  # a short text has fewer places to choose from
     starts = np.unique(_windows(hashes[:count], size).argmin(axis=1) + np.arange(count - size + 1))
     keys = np.zeros(len(starts), np.uint64)
     for k, slot in enumerate(_SLOTS):
         keys += hashes[starts + k] * slot
-    keys, first = np.unique(S.mixed(keys), return_index=True)
-    return starts[first], keys, _windows(hashes, per)[starts[first]]
+    return starts, S.mixed(keys), _windows(hashes, per)[starts], words
+
+
+def around(words: np.ndarray, starts: np.ndarray, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the up to EDGE words before or after each paragraph, the nearest first, and their numbers."""
+    step = np.arange(EDGE)
+    at = starts[:, None] + (PARAGRAPH + step if ahead else -1 - step)
+    inside = (at >= 0) & (at < len(words))
+    return (words[at[inside]] >> np.uint64(32)).astype(np.uint32), inside.sum(axis=1)
 
 
 def band_keys(inside: np.ndarray) -> np.ndarray:
@@ -85,6 +96,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    """One list of 32-bit hashes per row."""
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values).view(np.int32)))
+
+
 def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
     """(band, key, doc): one row per band and distinct paragraph of an Arrow batch. ``doc`` is a tag of the
     document, 0 for several."""
@@ -93,8 +110,9 @@ def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
         for batch in batches:
             found = []
             for body, tag in zip(batch.column("text"), batch.column("doc").to_pylist(), strict=True):
-                _, keys, inside = paragraphs(body.as_py())
-                found.append((keys, band_keys(inside), np.full(len(keys), tag, np.int32)))
+                _, keys, inside, _ = paragraphs(body.as_py())
+                keys, first = np.unique(keys, return_index=True)  # once per document
+                found.append((keys, band_keys(inside[first]), np.full(len(keys), tag, np.int32)))
             if not found:
                 continue
             keys, bands, tags = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -142,8 +160,8 @@ def collisions(rows: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: DataFrame, bits: int) -> DataFrame:
-    """(id, content, start, key, shingles) of the paragraphs whose key may be in ``wanted``; the shingles, as
-    32-bit hashes, are there if the key may be in ``several``."""
+    """(id, content, start, key, before, after, shingles) of every place of the paragraphs whose key may be in
+    ``wanted``; the shingles, as 32-bit hashes, are at the first place in a text if the key may be in ``several``."""
     tables = docs.sparkSession.sparkContext.broadcast(
         tuple(S.bitmap(x.select(F.col("key").alias("hash")), bits) for x in (wanted, several))
     )
@@ -151,33 +169,37 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, compared = tables.value
         for batch in batches:
-            at, start, key, inside, sizes = [], [], [], [], []
+            at, start, key, inside, sizes, edges = [], [], [], [], [], ([], [])
             for i, body in enumerate(batch.column("text")):
-                starts, keys, hashes = paragraphs(body.as_py())
+                starts, keys, hashes, words = paragraphs(body.as_py())
                 hit = np.flatnonzero(S.holds(known, keys))
-                with_set = S.holds(compared, keys[hit])
+                with_set = np.zeros(len(hit), bool)
+                with_set[np.unique(keys[hit], return_index=True)[1]] = True
+                with_set &= S.holds(compared, keys[hit])
                 at.append(np.full(len(hit), i))
                 start.append(starts[hit])
                 key.append(keys[hit])
                 inside.append((hashes[hit[with_set]].ravel() >> np.uint64(32)).astype(np.uint32))
                 sizes.append(with_set * hashes.shape[1])
+                for ahead, found in enumerate(edges):
+                    found.append(around(words, starts[hit], bool(ahead)))
             if not at:
                 continue
             at = pa.array(np.concatenate(at))
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            before, after = (_lists(*zip(*found, strict=True)) for found in edges)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(at), batch.column("content").take(at),
                     pa.array(np.concatenate(start).astype(np.int32)), _signed(np.concatenate(key)),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(inside).view(np.int32))),
+                    before, after, _lists(inside, sizes),
                 ],
-                names=["id", "content", "start", "key", "shingles"],
+                names=["id", "content", "start", "key", "before", "after", "shingles"],
             )
 
     rows = docs.select(
         F.col(id).cast("long").alias("id"), content_key(F.col(text)).alias("content"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(run, "id long, content long, start int, key long, shingles array<int>")
+    return rows.mapInArrow(run, "id long, content long, start int, key long, before array<int>, after array<int>, shingles array<int>")
 
 
 def _groups(sets: list[frozenset[int]], least: float) -> list[tuple[int, int]]:
@@ -218,13 +240,26 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _same_text(place: str) -> Column:
+    return (F.col("id_") == F.col(f"{place}.id_")) & (F.col("content") == F.col(f"{place}.content"))
+
+
+def _agreeing(edge: str) -> Column:
+    """How many words next to a place equal those next to its model."""
+    equal = F.zip_with(F.col(edge), F.col(f"model.{edge}"), lambda x, y: x.eqNullSafe(y))
+    at = F.array_position(equal, F.lit(False)).cast("int")
+    return F.when(at == 0, F.size(edge)).otherwise(at - 1)
+
+
 def repeated(
     docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY, bits: int = BITMAP_BITS
 ) -> DataFrame:
-    """(id, start, n_words, cluster, n_docs, removed): one row per document and repeated paragraph.
+    """(id, start, n_words, cluster, n_docs, removed): one row per place of a repeated paragraph.
 
-    ``start`` is its first place in the words of the normalised text; ``cluster`` names the passage;
-    ``removed`` is false at the one place that is kept.
+    ``start`` counts the words of the normalised text; ``cluster`` names the passage; ``removed`` is false at the
+    place that is kept and at those that overlap it. A removal goes on over the words next to the paragraph as far
+    as they equal those next to the first equal paragraph (the kept place if there is none), which reaches the ends
+    of a passage; it leaves out the words of that place itself.
     """
     pairs = stored(collisions(band_rows(docs, text, id)), "bands")
     shared = pairs.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
@@ -233,19 +268,38 @@ def repeated(
     sets = found.where(F.size("shingles") > 0).groupBy("key").agg(F.first("shingles").alias("shingles"))
     roots = components(verified(several, sets, least))
     spots = (
-        found.select("id", "content", "start", "key")
+        found.drop("shingles")
         .distinct()
         .join(roots, F.col("key") == F.col("node"), "left")
-        .select("id", "content", "start", F.coalesce("root", "key").alias("cluster"))
+        .select("id", "content", "start", "before", "after", "key", F.coalesce("root", "key").alias("cluster"))
     )
-    spots = stored(spots, "spots")
-    place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "content", "start")
-    per_doc = spots.groupBy("cluster", "id", "content").agg(F.min(place).alias("first"))
+    spots = stored(spots, "spots").withColumn("id_", F.coalesce("id", F.lit(LAST)))
+    place = F.struct("id_", "content", "start", "before", "after")
+    per_doc = spots.groupBy("cluster", "id", "content").agg(F.min(place).alias("kept"))
     clusters = (
         per_doc.groupBy(F.col("cluster").alias("of"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.min("kept").alias("kept"))
         .where("n_docs > 1")
     )
-    return spots.join(clusters, F.col("cluster") == F.col("of")).select(
-        "id", "start", F.lit(PARAGRAPH).alias("n_words"), "cluster", "n_docs", (place != F.col("first")).alias("removed")
+    firsts = spots.groupBy(F.col("key").alias("same_key"), "cluster").agg(F.min(place).alias("first"))
+    known = firsts.join(clusters, F.col("cluster") == F.col("of")).select("same_key", "n_docs", "kept", "first")
+    rows = spots.join(known, F.col("key") == F.col("same_key"))
+    is_first = _same_text("first") & (F.col("start") == F.col("first.start"))
+    rows = rows.withColumns(
+        {
+            "model": F.when(is_first, F.col("kept")).otherwise(F.col("first")),
+            "removed": ~(_same_text("kept") & (F.col("start") < F.col("kept.start") + PARAGRAPH)),
+        }
+    )
+    least = [F.when(_same_text(x), F.col(f"{x}.start") + PARAGRAPH).otherwise(0) for x in ("kept", "model")]
+    begin = F.greatest(F.col("start") - _agreeing("before"), *least)
+    return rows.select(
+        "id",
+        F.when(F.col("removed"), begin).otherwise(F.col("start")).alias("start"),
+        F.when(F.col("removed"), F.col("start") + PARAGRAPH + _agreeing("after") - begin)
+        .otherwise(PARAGRAPH)
+        .alias("n_words"),
+        "cluster",
+        "n_docs",
+        "removed",
     )

@@ -45,6 +45,25 @@ def test_passages_inside_other_text(spark):
         assert len(own & inside) >= 0.8 * len(own)
 
 
+def test_removals_cover_every_place_to_its_ends(spark):
+    passage, rows, held = prose("again", 130).split(), [], {}
+    for i in range(5):
+        words, at = [], []
+        for k in range(3):
+            words += [*prose((i, k), 25).split(), f"left{i}x{k}"]
+            at.append(range(len(words), len(words) + len(passage)))
+            words += [*passage, f"right{i}x{k}"]
+        rows.append((i, " ".join(words)))
+        held[i] = {w for r in (at if i else at[1:]) for w in r}
+    got = {i: set() for i in held}
+    for r in P.repeated(frame(spark, rows)).collect():
+        if r["removed"]:
+            got[r["id"]] |= set(range(r["start"], r["start"] + r["n_words"]))
+    for i, words in held.items():  # a similar paragraph may reach over an end of the passage by a word or two
+        assert words <= got[i], (i, sorted(words - got[i]))
+        assert all({w - 2, w - 1, w + 1, w + 2} & words for w in got[i] - words), (i, sorted(got[i] - words))
+
+
 def test_edited_passages_are_linked(spark):
     hit = 0
     for seed in range(4):
