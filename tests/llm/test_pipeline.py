@@ -48,5 +48,5 @@ def test_stages_take_awkward_and_empty_tables(spark):
 
 def test_registry():
     names = set(entry_module.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")}
     assert "pipeline" in names and set(entry_module.oracle_sql()) <= names
