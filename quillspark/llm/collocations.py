@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
-from quillspark.llm.common import plain, stored
+from quillspark.llm.common import parts, plain, stored
 from quillspark.operators.scale import lookup_join
 
 LEAST = 10
 LONGEST = 3
 TOP = 2000
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 MAX_BITS = 28
 PARTS = 64
 
@@ -143,31 +143,31 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
     """Blocks of whole texts with the language key and the tag of each text."""
-    parts: list[bytes] = []
+    held: list[bytes] = []
     langs: list[int] = []
     tags: list[int] = []
     size = 0
 
     def block() -> tuple[Block, np.ndarray, np.ndarray]:
-        ends = np.cumsum([len(p) + 1 for p in parts])
+        ends = np.cumsum([len(p) + 1 for p in held])
         return (
-            Block(b"\n".join(parts) + b"\n", ends),
+            Block(b"\n".join(held) + b"\n", ends),
             np.array(langs, np.int64).view(np.uint64),
             np.array(tags, np.uint64),
         )
 
-    for batch in batches:
+    for batch in parts(batches, most=most):
         rows = zip(batch.column("text"), batch.column("lang_key").to_pylist(), batch.column("tag").to_pylist(), strict=True)
         for text, lang, tag in rows:
             for part in _cut(text.as_py().encode(), most):
-                parts.append(part)
+                held.append(part)
                 langs.append(lang)
                 tags.append(tag)
                 size += len(part) + 1
                 if size >= most:
                     yield block()
-                    parts, langs, tags, size = [], [], [], 0
-    if parts:
+                    held, langs, tags, size = [], [], [], 0
+    if held:
         yield block()
 
 
@@ -216,8 +216,10 @@ def _counting(sizes: tuple[int, ...], totals: bool, mask: np.uint64, halves, blo
 
 
 def _summed(rows: DataFrame, least: int) -> DataFrame:
+    # the blocks have summed already: another sum before the shuffle would only hold memory
     return (
-        rows.groupBy("key")
+        rows.repartition("key")
+        .groupBy("key")
         .agg(F.sum("n").alias("n"), F.min("ptr").alias("lo"), F.max("ptr").alias("hi"))
         .where((F.col("n") >= least) | (F.col("key").bitwiseAND(F.lit(3)) == 0))
     )
@@ -237,7 +239,7 @@ def _named(mask: np.uint64):
     """Task function: the phrases of the wanted keys of a document, one per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = []
             columns = [batch.column(c).to_pylist() for c in ("lang", "lang_key")]
             for body, wanted, name, lang in zip(batch.column("text"), batch.column("wanted"), *columns, strict=True):
@@ -350,7 +352,7 @@ def collocations(
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of every language."""
     counts, totals = phrase_counts(docs, text, lang, id, least, **params)
-    parts = counts.select("lang", F.col("phrase").alias("part"), "f")
+    known_parts = counts.select("lang", F.col("phrase").alias("part"), "f")
     phrases = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     own = F.split("phrase", " ")
     cuts = phrases.select("*", own.alias("own"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
@@ -360,7 +362,7 @@ def collocations(
     )
     total = F.lit(float(totals.agg(F.sum("n")).first()[0] or 0))
     for side, name in (("part", "l"), ("rest", "r")):
-        known = parts.select("lang", F.col("part").alias(side), F.col("f").alias(name))
+        known = known_parts.select("lang", F.col("part").alias(side), F.col("f").alias(name))
         cuts = lookup_join(cuts, known.withColumn("w", F.col(name)), ["lang", side], [name], "w", ["phrase", "k"], total=total)
 
     ratio = F.expr(
