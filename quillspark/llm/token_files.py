@@ -25,8 +25,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Marks that may follow a word, and the first letter that normalisation or lower-casing may join with others.
 MARKS = ".,;:!?)"
 LATIN_END = "\u0250"
@@ -118,12 +119,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Remembered(dict):
+    """Answers to ``ask`` in two generations: what was used since the last turn is kept when the younger one is full."""
+
+    def __init__(self, ask: Callable[[Any], bytes], most: int) -> None:
+        self.ask, self.most, self.old = ask, most // 2, {}
+
+    def __missing__(self, key: Any) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.ask(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Pieces:
     """Token ids of whole texts from those of their blank-separated pieces.
 
     A piece of Latin letters with marks at its end is one word and one run of marks to the tokenizer, whose
     model is asked for both directly; any other piece goes through the whole tokenizer. Both kinds of answers
-    are remembered, up to ``REMEMBERED`` each.
+    are remembered, up to ``REMEMBERED`` pieces and half as many words.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -134,39 +152,27 @@ class Pieces:
         self.model = self.tokenizer.model
         self.kind = np.dtype(f"<u{width}")
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.known = _Remembered(self._piece, REMEMBERED)
+        self.runs = _Remembered(self._run, REMEMBERED // 2)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            found = self.runs[run] = self._bytes([t.id for t in self.model.tokenize(coded)])
-        return found
+        coded = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(coded)]) if run else b""
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
         word = text.rstrip(MARKS)
         low = word.lower()
-        if low.isalpha() and max(word) < LATIN_END:  # lower-casing can split a mark off a letter
-            return self._run(low) + self._run(text[len(word) :])
+        if low.isalpha() and (word.isascii() or max(word) < LATIN_END):  # lower-casing can split a mark off a letter
+            ids = self.runs[low]
+            return ids + self.runs[text[len(word) :]] if len(word) < len(text) else ids
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.runs) > REMEMBERED:
-            self.runs = {"": b""}
-        pieces = text.encode().split()
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            for piece in {p for p, ids in zip(pieces, found, strict=True) if ids is None}:
-                self.known[piece] = self._piece(piece)
-            found = list(map(self.known.get, pieces))
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, text.encode().split()))
 
 
 @lru_cache(maxsize=2)
