@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +51,21 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored table of keys, with a broadcast hint if a count shows that it is small."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about ``most`` bytes of one string column; empty ones are left out. Freed memory goes
+    back to the system at the end, since Spark keeps its Python workers for later stages."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            done = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
-from quillspark.llm.common import content_key, small, stored
+from quillspark.llm.common import content_key, parts, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -118,7 +118,7 @@ def windows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sized = tables.value
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for i, body in enumerate(batch.column("text")):
                 data = (body.as_py() or "").lower().encode()
@@ -136,7 +136,9 @@ def windows(
     rows = docs.select(
         F.col(id).cast("long").alias("id"), content_key(F.col(text)).alias("content"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(run, _WINDOW)
+    found = stored(rows.mapInArrow(run, _WINDOW), "windows")
+    tables.destroy()
+    return found
 
 
 def _block_keys(radius: int) -> F.Column:
@@ -198,7 +200,7 @@ def matches(
 ) -> DataFrame:
     """(id, content, item, start, n_words, distance, similarity): the best window of each document and item."""
     bench = stored(items(benchmark, item_text, item_id, shingle), "items")
-    rows = stored(windows(docs, bench, text, id, shingle, least, bits), "windows")
+    rows = windows(docs, bench, text, id, shingle, least, bits)
     pairs = within_radius(rows.select("n_words", "fp").distinct(), bench, radius)
     known = small(bench.select("item", "n_words", F.col("text").alias("item_text"), F.col("fp").alias("item_fp")))
     joined = rows.join(pairs, ["n_words", "fp"]).join(known, ["n_words", "item_fp"])

@@ -1,14 +1,16 @@
 """Near copies by the exact similarity of their word shingles.
 
-The fingerprints of ``simhash`` cannot serve a similarity of 0.8: two such texts differ in about 10 of 64 bits,
-often in more than 15, and fingerprints that may differ in so many bits agree on no block that would divide a corpus.
-So the shards here are bands of MinHashes, and no pair is linked without its exact similarity.
+Two texts of similarity 0.8 differ in about 10 of the 64 bits of their SimHash, and fingerprints that may differ in so
+many bits agree on no block that would divide a corpus. So the shards here are bands of MinHashes; inside a shard a
+BK-tree of the SimHash fingerprints finds the partners, and no pair is linked without its exact similarity.
 
-1. Tasks hash every text to its set of 5-word shingles. Texts of equal sets are one class from here on.
+1. Tasks hash every text to its set of 5-word shingles and its SimHash. Texts of equal sets are one class from here on.
 2. 25 bands of 5 MinHashes: a pair of similarity 0.8 shares one with probability 0.99995.
 3. Bands that hold the same classes are verified once. The classes of a band meet by one shuffle.
-4. A band is searched from member to member by the exact Jaccard similarity of the sets, so that a link is tested
-   unless it is already implied, and the links of a band are at most its members less one.
+4. Each band grows a BK-tree of its members' fingerprints. A member follows only edges within ``RADIUS`` bits (pairs of
+   0.8 lie about 5 standard deviations inside) and is compared with what it meets by the exact Jaccard similarity of
+   the sets, unless the link is already implied. Sets of fewer than ``FEW`` shingles have no steady fingerprint; a band
+   that holds one compares at any distance.
 5. Links become components by contraction (``components``).
 
 Words are those of ``shingles`` (lower case, without ASCII punctuation). Sets are compared by 32-bit hashes.
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
-from quillspark.llm.common import content_key, stored
+from quillspark.llm.bk_tree import VerifiedTree
+from quillspark.llm.common import content_key, parts, stored
 from quillspark.llm.components import components
 from quillspark.llm.decontaminate import simhash
 from quillspark.llm.passages import _runs
@@ -37,6 +40,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+RADIUS = 24
+FEW = 32
 
 _SEEDS = np.random.default_rng(13).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ROW = "id long, content long, class long, fp long, bands array<long>, shingles array<int>"
@@ -61,9 +66,7 @@ def sets(docs: DataFrame, text: str, id: str) -> DataFrame:
     """(id, content, class, fp, bands, shingles) for every row; ``fp`` is the SimHash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in parts(batches):
             found = [shingle_set(t.as_py()) for t in batch.column("text")]
             kinds = np.array([S.mixed(h + np.uint64(len(h))).sum(dtype=np.uint64) for h in found], np.uint64)
             bands = np.concatenate([band_keys(h) for h in found])
@@ -87,27 +90,21 @@ def sets(docs: DataFrame, text: str, id: str) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
-def _groups(flat: np.ndarray, ends: np.ndarray, least: float) -> list[tuple[int, int]]:
+def _groups(flat: np.ndarray, ends: np.ndarray, prints: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links (member, earlier member) that join all sets whose Jaccard similarity reaches ``least``; set i is
     ``flat[ends[i]:ends[i + 1]]``."""
     size = np.diff(ends)
-    left, links = np.arange(len(size)), []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            own = queue.pop()
-            members = flat[ends[own] : ends[own + 1]]
-            fits = np.minimum(size[left], size[own]) >= least * np.maximum(size[left], size[own])
-            near = np.zeros(len(left), bool)
-            for k in np.flatnonzero(fits).tolist():
-                other = flat[ends[left[k]] : ends[left[k] + 1]]
-                common = len(np.intersect1d(members, other, assume_unique=True))
-                near[k] = common >= least * (len(members) + len(other) - common) - 1e-9
-            found = left[near].tolist()
-            links += [(i, own) for i in found]
-            queue += found
-            left = left[~near]
-    return links
+
+    def similar(i: int, j: int) -> bool:
+        if min(size[i], size[j]) < least * max(size[i], size[j]):
+            return False
+        common = len(np.intersect1d(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], assume_unique=True))
+        return common >= least * (size[i] + size[j] - common) - 1e-9
+
+    tree = VerifiedTree(RADIUS if size.min() >= FEW else 64, similar)
+    for value in prints.view(np.uint64).tolist():
+        tree.add(value)
+    return tree.links
 
 
 def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -115,14 +112,14 @@ def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "band"):
-            band, kind = table.column("band").to_numpy(), table.column("class").to_numpy()
+            band, kind, fp = (table.column(c).to_numpy() for c in ("band", "class", "fp"))
             lists = table.column("shingles").combine_chunks()
             edges = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
             found = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 part = lists.slice(a, b - a)
                 ends = np.concatenate(([0], np.cumsum(part.value_lengths().to_numpy())))
-                found += [(kind[a + i], kind[a + j]) for i, j in _groups(part.flatten().to_numpy(), ends, least)]
+                found += [(kind[a + i], kind[a + j]) for i, j in _groups(part.flatten().to_numpy(), ends, fp[a:b], least)]
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -134,14 +131,14 @@ def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
     once = members.groupBy("n", "who", "least").agg(F.min("band").alias("band")).select("band")
     wanted = stored(dealt.join(stored(once, "shards"), "band"), "members")
-    rows = wanted.join(classes.select("class", "shingles"), "class").select("band", "class", "shingles")
+    rows = wanted.join(classes.select("class", "fp", "shingles"), "class").select("band", "class", "fp", "shingles")
     return rows.repartition("band").sortWithinPartitions("band", "class").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """(id, content, fp, component_id, root) for every row; component_id is the smallest id of its component."""
     rows = stored(sets(docs, text, id), "sets")
-    kinds = rows.groupBy("class").agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    kinds = rows.groupBy("class").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     classes = stored(kinds, "classes")
     found = components(links(classes, least))
     rooted = classes.join(found, F.col("class") == F.col("node"), "left").select(
