@@ -17,6 +17,11 @@ from quillspark.plans import language_model as L
 from quillspark.session import cut_lineage
 
 
+#: Choices of a term that are scored at every spot, and postings of a window up to which they are looked up.
+FIRST = 4
+WIDE = 256
+
+
 @dataclass(frozen=True)
 class SpellChecker:
     """Language model, vocabulary (word, n), letter counts (chars, n), channel (error_type, key, n, p)."""
@@ -94,57 +99,146 @@ def _window_rows(words: Column, at: Column, choice: Column, n: int, sep: str) ->
     return F.filter(F.array(*[one(o) for o in range(n)]), lambda r: r.isNotNull())
 
 
+def _postings(lm: L.LanguageModel) -> DataFrame:
+    """(key, word): every gram once per position, ``key`` naming the position and the other words."""
+    n, tokens = lm.order, F.split("gram", " ")
+    hole = [
+        F.struct(_hole([F.get(tokens, F.lit(i)) for i in range(n)], j).alias("key"), F.get(tokens, F.lit(j)).alias("word"))
+        for j in range(n)
+    ]
+    return lm.grams.select(F.inline(F.array(*hole)))
+
+
+def _hole(units: list[Column], at: int) -> Column:
+    return F.concat_ws(" ", F.lit(str(at)), *[u for i, u in enumerate(units) if i != at])
+
+
+def _spot_keys(words: Column, at: Column, n: int) -> Column:
+    """The posting key of every window that covers position ``at`` (1-based); null where a punctuation word shortens
+    the context, so that the model answers by other counts."""
+    size = F.size(words)
+
+    def one(offset: int) -> Column:
+        start = at - F.lit(offset)
+        units = [F.get(words, start + F.lit(j - 1)) for j in range(n)]
+        short = F.lit(False)
+        for j in range(n - 1):
+            if j != offset:
+                short = short | T.is_punct_word(units[j])
+        key = F.when(~short, _hole(units, offset))
+        return F.when((start >= 1) & (start + F.lit(n - 1) <= size), F.struct(key.alias("key")))
+
+    return F.filter(F.array(*[one(o) for o in range(n)]), lambda r: r.isNotNull())
+
+
+def _choices(scored: DataFrame, terms: DataFrame, alpha: float) -> DataFrame:
+    """(term, uses, choices): the words two edits from a term, likeliest first; bounded by its length and the alphabet."""
+    choices = scored.groupBy("term").agg(
+        F.sum("score").alias("_z"), F.collect_list(F.struct("word", "score")).alias("_c")
+    )
+    shares = F.transform(
+        "_c",
+        lambda c: F.struct(
+            (F.log(c["score"]) - F.log("_z") + F.lit(math.log(1 - alpha))).alias("share"), c["word"].alias("word")
+        ),
+    )
+    return choices.join(terms, "term").select("term", "uses", F.sort_array(shares, asc=False).alias("choices"))
+
+
+def _scored_words(lm: L.LanguageModel, rows: DataFrame) -> DataFrame:
+    """(spot, word, share, s): the log probability of the windows that a word at a spot changes."""
+    wins = rows.select(
+        "spot", "word", "share",
+        F.explode_outer(_window_rows(F.col("near"), F.col("at"), F.col("word"), lm.order, lm.sep)).alias("_w"),
+    ).select("spot", "word", "share", "_w.ctx", "_w.ctx_size", "_w.next")
+    wins = L.score_windows(lm, wins, ["spot", "word"])
+    return wins.groupBy("spot", "word", "share").agg(F.coalesce(F.sum(F.log("p")), F.lit(0.0)).alias("s"))
+
+
+def best_words(
+    lm: L.LanguageModel, spots: DataFrame, choices: DataFrame, first: int = FIRST, wide: int = WIDE
+) -> tuple[DataFrame, int]:
+    """(spot, _old, _best) for every distinct spot (spot, near, at, term, uses), and how many words were scored.
+
+    A bounded ranking join, model first. Only words that the model has seen in one of a spot's windows can gain more
+    than their channel share, and the postings of the windows name them. Any other word scores at most its share plus
+    the add-one estimate of unseen windows, so these are taken in the order of their shares, ``first`` at a time and
+    ever more, until the next one cannot reach the best so far. Where a window has more than ``wide`` postings, or its
+    context a punctuation word, all choices of the term are scored instead; choices that are punctuation always are.
+    """
+    spots = cut_lineage(
+        lookup_join(spots, choices, ["term"], ["choices"], "uses", ["spot"]).withColumn(
+            "keys", _spot_keys(F.col("near"), F.col("at"), lm.order)
+        )
+    )
+    keyed = spots.where(F.col("choices").isNotNull()).select("spot", "term", F.explode("keys").alias("_k")).select("spot", "term", "_k.key")
+    asked = keyed.where(F.col("key").isNotNull()).select("key").distinct()
+    postings = cut_lineage(_postings(lm).join(asked, "key", "left_semi"))
+    many = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide).select(F.col("key").alias("many"))
+    many = cut_lineage(many)
+    keyed = keyed.join(many, F.col("key") == F.col("many"), "left")
+    everything = F.col("key").isNull() | F.col("many").isNotNull()
+    full = keyed.where(everything).select("spot").distinct().withColumn("full", F.lit(True))
+    seen = keyed.where(~everything).join(postings, "key").select("spot", "word").distinct()
+    seen = seen.groupBy("spot").agg(F.collect_set("word").alias("seen"))  # at most ``wide`` a window
+    spots = spots.join(full, "spot", "left").join(seen, "spot", "left")
+    likely = F.filter(
+        "choices",
+        lambda c, i: F.coalesce("full", F.lit(False)) | (i < first) | T.is_punct_word(c["word"]) | F.coalesce(F.array_contains("seen", c["word"]), F.lit(False)),
+    )
+    spots = cut_lineage(spots.select("spot", "near", "at", "term", "choices", "full", likely.alias("likely"), F.size("keys").alias("_n")))
+    own = F.array(F.struct(F.lit(None).cast("double").alias("share"), F.col("term").alias("word")))
+    none = F.array().cast("array<struct<share:double,word:string>>")
+    rows = each_struct(spots, F.concat(own, F.coalesce("likely", none)), "word", "spot", "near", "at")
+    found = cut_lineage(_scored_words(lm, rows))
+    scored = found.count()
+    value = F.round(F.col("share") + F.col("s"), 9)
+    best = F.max(F.when(F.col("share").isNotNull(), F.struct(value.alias("v"), F.col("word").alias("word"))))
+    size = lm.sizes()[0].cast("double")
+    limit = F.round(F.col("next.share") - F.col("_n") * F.log(size), 9)
+    result = cut_lineage(found.groupBy("spot").agg(F.max(F.when(F.col("share").isNull(), F.col("s"))).alias("_old"), best.alias("_best")))
+    done = first
+    while True:
+        state = result.select(F.col("spot").alias("_spot"), F.col("_best.v").alias("_v"))
+        left = spots.where(F.col("full").isNull() & (F.size("choices") > done)).join(state, F.col("spot") == F.col("_spot"))
+        left = left.withColumn("next", F.get("choices", F.lit(done))).where(F.col("_v").isNull() | (limit >= F.col("_v")))
+        more = each_struct(left, F.slice("choices", done + 1, 7 * done), "word", "spot", "near", "at")
+        more = cut_lineage(_scored_words(lm, more))
+        if more.isEmpty():
+            return result, scored
+        scored, done = scored + more.count(), 8 * done
+        better = more.groupBy(F.col("spot").alias("_spot")).agg(best.alias("_more"))
+        # null is the least struct
+        result = cut_lineage(
+            result.join(better, F.col("spot") == F.col("_spot"), "left").select("spot", "_old", F.greatest("_best", "_more").alias("_best"))
+        )
+
+
 def correct_sentences(
     checker: SpellChecker, texts: DataFrame, alpha: float = 0.95, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Best version of every sentence: at most one word changed, and only for a better score.
 
-    Replacing a word changes only the windows that cover it, so candidates are scored
-    by those windows alone.
+    Replacing a word changes only the windows that cover it, so a spot is its word with the ``order - 1`` words on
+    either side. Equal spots are scored once, by ``best_words``.
     """
     lm, n = checker.lm, checker.lm.order
     sents = split_sentences(texts, key, text)
-    spots = each_at(sents, F.col("words"), "_at", "term", key, "sent", "words")
-    spots = spots.withColumn("_at", F.col("_at") + 1)
-    terms = spots.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
-    scored = S.candidates(terms, checker.vocabulary, checker.channel)
-    # the words two edits from one term: bounded by its length and the alphabet
-    choices = scored.groupBy("term").agg(
-        F.sum("score").alias("_z"), F.collect_list(F.struct("word", "score")).alias("_c")
-    )
-    choices = choices.join(terms, "term").select(
-        "term",
-        "uses",
-        F.transform(
-            "_c",
-            lambda c: F.struct(
-                c["word"].alias("word"),
-                (F.log(c["score"]) - F.log("_z") + F.lit(math.log(1 - alpha))).alias("share"),
-            ),
-        ).alias("choices"),
-    )
-    choices = cut_lineage(choices)  # read by several joins below
-    spots = lookup_join(spots, choices, ["term"], ["choices"], "uses", [key, "sent", "_at"])
-    own = F.array(F.struct(F.col("term").alias("word"), F.lit(None).cast("double").alias("share")))
-    none = F.array().cast("array<struct<word:string,share:double>>")
-    options = F.concat(own, F.coalesce("choices", none))
-    spots = each_struct(spots, options, "word", key, "sent", "words", "_at")
-    wins = spots.select(
-        key, "sent", "_at", "word", "share",
-        F.explode_outer(
-            _window_rows(F.col("words"), F.col("_at"), F.col("word"), n, lm.sep)
-        ).alias("_w"),
-    ).select(key, "sent", "_at", "word", "share", "_w.ctx", "_w.ctx_size", "_w.next")
-    wins = L.score_windows(lm, wins, [key, "sent", "_at", "word"])
-    per_choice = wins.groupBy(key, "sent", "_at", "word", "share").agg(
-        F.coalesce(F.sum(F.log("p")), F.lit(0.0)).alias("_s")
-    )
-    is_own = F.col("share").isNull()
-    value = F.round(F.col("share") + F.col("_s"), 9)
-    per_spot = per_choice.groupBy(key, "sent", "_at").agg(
-        F.max(F.when(is_own, F.col("_s"))).alias("_old"),
-        F.max(F.when(~is_own, F.struct(value.alias("v"), F.col("word").alias("word")))).alias("_best"),
+    places = each_at(sents, F.col("words"), "_at", "term", key, "sent", "words")
+    places = places.withColumn("_at", F.col("_at") + 1)
+    near = F.slice("words", F.greatest(F.col("_at") - F.lit(n - 1), F.lit(1)), F.least(F.col("_at"), F.lit(n)) + F.lit(n - 1))
+    places = places.select(key, "sent", "_at", "term", near.alias("near"), F.least("_at", F.lit(n)).alias("at"))
+    places = places.withColumn("spot", F.concat_ws("\u0001", F.col("at").cast("string"), F.array_join("near", "\u0001")))
+    places = cut_lineage(places)
+    spots = places.groupBy("spot").agg(
+        F.first("near").alias("near"), F.first("at").alias("at"), F.first("term").alias("term"), F.count(F.lit(1)).alias("uses")
     )
+    terms = places.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    scored = S.candidates(terms.select("term"), checker.vocabulary, checker.channel)
+    choices = cut_lineage(_choices(scored, terms, alpha))  # read by several joins below
+    answers, _ = best_words(lm, cut_lineage(spots.drop("uses")), choices)
+    answers = answers.join(spots.select(F.col("spot").alias("_spot"), "uses"), F.col("spot") == F.col("_spot")).drop("_spot")
+    per_spot = lookup_join(places.drop("near", "at", "term"), answers, ["spot"], ["_old", "_best"], "uses", [key, "sent", "_at"])
     per_sent = per_spot.groupBy(key, "sent").agg(
         (F.sum("_old") / n).alias("_all"),
         F.max(
