@@ -457,8 +457,9 @@ SELECT error_type, key, cl.n, round(cl.n / coalesce(lc.n, (SELECT count(*) FROM
 FROM cl LEFT JOIN lc ON lc.chars = key"""
 # Edges of one error from every term to a possible intended string (te), and into every word from
 # a possible misspelling (we); a run's last position names an edit, so each string appears once.
-SPELL = f"""{CHANNEL}, chl AS (SELECT error_type AS et, substr(key, 1, 1) AS a, substr(key, 2, 1) AS b, p FROM ch WHERE p > 0),
-st AS (SELECT DISTINCT unnest({words(corpus('text'))}) AS s FROM benchmark),
+def spell(source: str) -> str:
+    return f"""{CHANNEL}, chl AS (SELECT error_type AS et, substr(key, 1, 1) AS a, substr(key, 2, 1) AS b, p FROM ch WHERE p > 0),
+st AS (SELECT DISTINCT unnest({words(corpus('text'))}) AS s FROM {source}),
 sx AS (SELECT s, unnest(range(1, length(s) + 2)) AS i FROM st),
 sp AS (SELECT s, i::INT AS i, CASE WHEN i > 1 THEN substr(s, i - 1, 1) ELSE '#' END AS b, substr(s, i, 1) AS c, substr(s, i + 1, 1) AS f FROM sx),
 te AS (SELECT s AS term, left(s, i - 1) || chl.b || substr(s, i) AS mid, p FROM sp JOIN chl ON et = 'deletion' AND a = sp.b
@@ -480,7 +481,12 @@ we AS (SELECT s AS word, left(s, i - 1) || substr(s, i + 1) AS mid, p FROM wp JO
 sc0 AS (SELECT term, mid AS word, p FROM te SEMI JOIN dw ON dw.word = te.mid
  UNION ALL SELECT term, we.word, te.p * we.p FROM te JOIN we USING (mid) WHERE mid <> '' AND we.word <> term),
 cand AS (SELECT term, word, sum(p) AS score FROM sc0 GROUP BY 1, 2)"""
-O["spell_candidates"] = f"WITH {SPELL} SELECT term, word, round(ln(score), 6) AS log_score FROM cand"
+
+
+TURNS = "cv AS (SELECT conv_id * 1000 + turn AS post_id, text FROM conversations), "
+PICK = "SELECT term, word, round(ln(score), 6) AS log_score FROM cand"
+O["spell_candidates"] = f"WITH {spell('benchmark')} {PICK}"
+O["spell_candidates_turns"] = f"WITH {TURNS}{spell('cv')} {PICK}"
 
 KEEP, CHANGE = math.log(W.ALPHA), math.log(1 - W.ALPHA)
 
@@ -493,36 +499,41 @@ def window_p(source: str, keys: str) -> str:
  LEFT JOIN lp ON lp.ctx = x.wctx AND lp.last = x.next LEFT JOIN lt ON lt.ctx = x.wctx"""
 
 
-O["spell_correct"] = f"""WITH {SPELL}, {TRI}, {PAIRS},
-bs AS ({sentence_rows('benchmark', 'item_id', normalize(corpus('text')))}),
-sn AS (SELECT item_id, pos AS sent, sentence, {words('sentence')} AS ws, {split_each('sentence')} AS us FROM bs),
-bu AS (SELECT item_id, sent, unnest(range(len(us))) AS spot, unnest(us) AS a FROM sn),
-bw AS (SELECT item_id, sent, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS next FROM bu WINDOW w AS (PARTITION BY item_id, sent ORDER BY spot)),
+def corrected(source: str, key: str, first: str = "") -> str:
+    return f"""WITH {first}{spell(source)}, {TRI}, {PAIRS},
+bs AS ({sentence_rows(source, key, normalize(corpus('text')))}),
+sn AS (SELECT {key}, pos AS sent, sentence, {words('sentence')} AS ws, {split_each('sentence')} AS us FROM bs),
+bu AS (SELECT {key}, sent, unnest(range(len(us))) AS spot, unnest(us) AS a FROM sn),
+bw AS (SELECT {key}, sent, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS next FROM bu WINDOW w AS (PARTITION BY {key}, sent ORDER BY spot)),
 bx AS (SELECT * FROM bw WHERE next IS NOT NULL),
-base AS (SELECT item_id, sent, sum(lnp) AS ll FROM ({window_p('bx', 'item_id, sent')}) GROUP BY 1, 2),
-spots AS (SELECT item_id, sent, ws, unnest(range(1, len(ws) + 1)) AS spot, unnest(ws) AS term FROM sn),
+base AS (SELECT {key}, sent, sum(lnp) AS ll FROM ({window_p('bx', f'{key}, sent')}) GROUP BY 1, 2),
+spots AS (SELECT {key}, sent, ws, unnest(range(1, len(ws) + 1)) AS spot, unnest(ws) AS term FROM sn),
 z AS (SELECT term, sum(score) AS z FROM cand GROUP BY 1),
-opt AS (SELECT item_id, sent, ws, spot, term AS word, NULL::DOUBLE AS share FROM spots
- UNION ALL SELECT item_id, sent, ws, spot, cand.word, ln(score) - ln(z) + ({CHANGE!r}) FROM spots JOIN cand USING (term) JOIN z USING (term)),
+opt AS (SELECT {key}, sent, ws, spot, term AS word, NULL::DOUBLE AS share FROM spots
+ UNION ALL SELECT {key}, sent, ws, spot, cand.word, ln(score) - ln(z) + ({CHANGE!r}) FROM spots JOIN cand USING (term) JOIN z USING (term)),
 ow AS (SELECT *, unnest([spot - 2, spot - 1, spot]) AS st FROM opt),
-ox AS (SELECT item_id, sent, spot, word, share, CASE WHEN st = spot THEN word ELSE ws[st] END AS a,
+ox AS (SELECT {key}, sent, spot, word, share, CASE WHEN st = spot THEN word ELSE ws[st] END AS a,
  CASE WHEN st + 1 = spot THEN word ELSE ws[st + 1] END AS b, CASE WHEN st + 2 = spot THEN word ELSE ws[st + 2] END AS next
  FROM ow WHERE st >= 1 AND st + 2 <= len(ws)),
-os AS (SELECT item_id, sent, spot, word, share, sum(lnp) AS s FROM ({window_p('ox', 'item_id, sent, spot, word, share')}) GROUP BY ALL),
-oa AS (SELECT o.item_id, o.sent, o.spot, o.word, o.share, coalesce(s, 0) AS s FROM opt o LEFT JOIN os ON o.item_id = os.item_id
+os AS (SELECT {key}, sent, spot, word, share, sum(lnp) AS s FROM ({window_p('ox', f'{key}, sent, spot, word, share')}) GROUP BY ALL),
+oa AS (SELECT o.{key}, o.sent, o.spot, o.word, o.share, coalesce(s, 0) AS s FROM opt o LEFT JOIN os ON o.{key} = os.{key}
  AND o.sent = os.sent AND o.spot = os.spot AND o.word = os.word AND o.share IS NOT DISTINCT FROM os.share),
-old AS (SELECT item_id, sent, spot, s FROM oa WHERE share IS NULL),
-alls AS (SELECT item_id, sent, sum(s) / 3 AS a FROM old GROUP BY 1, 2),
-bp AS (SELECT item_id, sent, spot, word, round(share + s, 9) AS v FROM oa WHERE share IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY item_id, sent, spot ORDER BY round(share + s, 9) DESC, word DESC) = 1),
-best AS (SELECT bp.item_id, bp.sent, bp.spot, bp.word, round(v - old.s, 9) AS v FROM bp JOIN old USING (item_id, sent, spot)
- QUALIFY row_number() OVER (PARTITION BY item_id, sent ORDER BY round(v - old.s, 9) DESC, bp.spot, bp.word DESC) = 1),
-fin AS (SELECT sn.item_id, sn.sent, sentence, ws, spot, word,
+old AS (SELECT {key}, sent, spot, s FROM oa WHERE share IS NULL),
+alls AS (SELECT {key}, sent, sum(s) / 3 AS a FROM old GROUP BY 1, 2),
+bp AS (SELECT {key}, sent, spot, word, round(share + s, 9) AS v FROM oa WHERE share IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY {key}, sent, spot ORDER BY round(share + s, 9) DESC, word DESC) = 1),
+best AS (SELECT bp.{key}, bp.sent, bp.spot, bp.word, round(v - old.s, 9) AS v FROM bp JOIN old USING ({key}, sent, spot)
+ QUALIFY row_number() OVER (PARTITION BY {key}, sent ORDER BY round(v - old.s, 9) DESC, bp.spot, bp.word DESC) = 1),
+fin AS (SELECT sn.{key}, sn.sent, sentence, ws, spot, word,
  coalesce(round(best.v + a + ({CHANGE!r}), 9) > round(coalesce(ll, 0) + ({KEEP!r}), 9), false) AS better
- FROM sn LEFT JOIN base USING (item_id, sent) LEFT JOIN alls USING (item_id, sent) LEFT JOIN best USING (item_id, sent))
-SELECT item_id, sent, CASE WHEN better THEN array_to_string(list_concat(list_concat(ws[:spot - 1], [word]), ws[spot + 1:]), ' ') || ' .'
+ FROM sn LEFT JOIN base USING ({key}, sent) LEFT JOIN alls USING ({key}, sent) LEFT JOIN best USING ({key}, sent))
+SELECT {key}, sent, CASE WHEN better THEN array_to_string(list_concat(list_concat(ws[:spot - 1], [word]), ws[spot + 1:]), ' ') || ' .'
  ELSE sentence END AS corrected, CASE WHEN better THEN ws[spot] END AS term, CASE WHEN better THEN word END AS word FROM fin"""
 
+
+O["spell_correct"] = corrected("benchmark", "item_id")
+O["spell_correct_turns"] = corrected("cv", "post_id", TURNS)
+
 # --- splits
 
 O["shuffle_order"] = f"""SELECT doc_id, row_number() OVER (ORDER BY md5({SEED} || '|' || doc_id), doc_id) AS rank FROM documents"""

@@ -76,10 +76,6 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(F.filter(at, lambda i: char_at(a, i) != char_at(b, i)), F.lit(0)), n + 1)
 
 
-def same_letters(a: Column, b: Column) -> Column:
-    return F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, ""))
-
-
 def describe_edit(error: Column, correct: Column) -> Column:
     """Struct (error_type, key, reachable) of the edit that turns ``correct`` into ``error``; only
     meaningful for strings one edit apart.
@@ -182,16 +178,6 @@ def up_to_one_deleted(term: Column) -> Column:
     return F.array_distinct(F.concat(F.array(term), one_deleted(term)))
 
 
-def up_to_two_deleted(term: Column) -> Column:
-    """The term itself and every string with one or two of its characters removed."""
-    return let(
-        F.array_distinct(one_deleted(term)),
-        lambda once: F.array_distinct(
-            F.concat(F.array(term), once, F.flatten(F.transform(once, one_deleted)))
-        ),
-    )
-
-
 def one_edit_apart(a: Column, b: Column) -> Column:
     """True when ``a`` and ``b`` differ by one deletion, insertion, substitution or swap."""
     swap = let(

@@ -1,8 +1,8 @@
 """Spelling channel and correction candidates.
 
-Candidates within two edits come from an equality join on shared deleted forms,
-never from enumerating two edit layers; the exact channel score is then the sum
-over the strings that lie one edit from both ends of a surviving pair.
+Candidates within two errors come from an equality join on the string between them:
+one error before the term, one error after the word, each made from the channel's own
+entries, so that the score of a pair is the sum over its joined rows.
 """
 
 from __future__ import annotations
@@ -11,15 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import edits as E
-from quillspark.functions.between import strings_between
 from quillspark.functions.rows import each, each_struct
 from quillspark.operators.scale import small_side, spread_work
-from quillspark.session import cut_lineage
-
-# Up to this length a word meets its partners on shared deleted forms, whose number
-# grows with the square of the length; longer ones on shared segments instead.
-DELETE_FORM_LENGTH = 64
-
 
 def known_edits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, word): vocabulary words one edit from each distinct term, the term itself included.
@@ -99,110 +92,96 @@ def confusion_maps(table: DataFrame, value: str = "n") -> DataFrame:
     )
 
 
-def _segments(word: Column) -> Column:
-    """Five near-equal (part, start, size) cuts of a word's length."""
-    n = F.length(word)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(4)),
-        lambda k: F.struct(
-            k.alias("part"),
-            (F.floor(k * n / 5) + 1).cast("int").alias("start"),
-            (F.floor((k + 1) * n / 5) - F.floor(k * n / 5)).cast("int").alias("size"),
-        ),
-    )
-
+def _places(words: DataFrame, name: str) -> DataFrame:
+    """One row per character of a word and one for its end: what stands before, at and after the place."""
+    w = F.col(name)
+    at = F.explode(F.sequence(F.lit(1), F.length(w) + 1)).alias("i")
+    rows = spread_work(words.select(name).distinct(), name).select(name, at)
+    return rows.select(
+        name, F.substring(w, F.lit(1), F.col("i") - 1).alias("head"), F.substring(w, F.col("i") + 1, F.length(w)).alias("tail"),
+        F.when(F.col("i") > 1, E.char_at(w, F.col("i") - 1)).otherwise("#").alias("before"),
+        E.char_at(w, F.col("i")).alias("c"), E.char_at(w, F.col("i") + 1).alias("d"),
+    )
 
-def candidate_pairs(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, word) pairs that two edits can connect, plus some that they cannot.
 
-    Two edits leave at least one of five segments of a long word untouched, and a
-    short pair shares a form with at most two characters removed from either side.
-    The forms travel as hashes; a collision only adds a pair that scores nothing.
-    """
-    t = spread_work(terms.select("term").distinct(), "term")
-    v = spread_work(vocabulary.select("word").distinct(), "word")
-    size, limit = F.length, DELETE_FORM_LENGTH
-    t_forms = each(
-        t.where(size("term") <= limit), E.up_to_two_deleted(F.col("term")), "_form", "term"
-    )
-    v_forms = each(
-        v.where(size("word") <= limit + 2), E.up_to_two_deleted(F.col("word")), "_form", "word"
-    )
-    near = (
-        t_forms.select("term", F.xxhash64("_form").alias("_form"))
-        .join(v_forms.select("word", F.xxhash64("_form").alias("_form")), "_form")
-        .select("term", "word")
-    )
-    long_t = t.where(size("term") > limit)
-    long_v = v.where(size("word") > limit - 2)
-    cut = long_v.select("word", size("word").alias("_n"), F.inline(_segments(F.col("word"))))
-    cut = cut.select(
-        "word", "_n", "part", F.substring(F.col("word"), F.col("start"), F.col("size")).alias("_text")
-    )
-    probes = long_t.select(
-        "term",
-        F.explode(
-            F.sequence(size("term") - 2, size("term") + 2)
-        ).alias("_n"),
-    ).select("term", "_n", F.inline(_segments(F.repeat(F.lit("x"), F.col("_n")))))
-    probes = probes.select(
-        "term", "_n", "part", F.explode(F.sequence(F.col("start") - 2, F.col("start") + 2)).alias("_at"), "size"
-    ).where(F.col("_at") >= 1).select(
-        "term", "_n", "part", F.substring(F.col("term"), F.col("_at"), F.col("size")).alias("_text")
-    )
-    far = probes.join(cut, ["_n", "part", "_text"]).select("term", "word")
-    both = near.unionByName(far).where(_plausible("term", "word"))
-    return spread_work(both, "term", "word").distinct()
-
-
-def _plausible(a: str, b: str) -> Column:
-    """Cheap necessary condition: a swap costs two Levenshtein steps and keeps the letters."""
-    distance = F.levenshtein(F.col(a), F.col(b), 4)
-    gap = F.abs(F.length(a) - F.length(b))
-    return (F.col(a) != F.col(b)) & (gap <= 2) & (
-        distance.between(0, 2)
-        | ((distance == 3) & (gap <= 1))
-        | ((distance == 4) & E.same_letters(F.col(a), F.col(b)))
+def _ways(rates: DataFrame) -> dict[str, DataFrame]:
+    """The channel by error type, its keys cut into their two characters; broadcast when it is small."""
+    known = rates.where(F.col("p") > 0).select(
+        "error_type", F.substring("key", 1, 1).alias("x"), F.substring("key", 2, 1).alias("y"), "p"
     )
+    kinds = ("deletion", "insertion", "substitution", "transposition")
+    return {k: small_side(known.where(F.col("error_type") == k).drop("error_type")) for k in kinds}
 
 
-def _between(pairs: DataFrame) -> DataFrame:
-    """(term, word, mid): strings one edit from both ends of every pair.
-
-    Spark finds, shuffles and filters the pairs; only the strings of one pair are made in
-    Python, in Arrow batches, where slicing costs a fraction of nested array functions.
-    """
-    t, w = F.col("term"), F.col("word")
-    return each(pairs, strings_between(t, w, E.one_edit_apart(t, w)), "mid", "term", "word")
+def _moves(rows: DataFrame, name: str, moves: list[tuple[DataFrame, Column, Column]]) -> DataFrame:
+    found = [rows.join(rates, on).select(name, mid.alias("mid"), "p") for rates, on, mid in moves]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def score_pairs(pairs: DataFrame, channel: DataFrame) -> DataFrame:
-    """(term, word, score): channel probability of ``term`` given ``word`` by one edit, plus that of
-    every two-edit way. Pairs without a possible way drop out.
+def intended(terms: DataFrame, channel: DataFrame) -> DataFrame:
+    """(term, mid, p): the strings that one possible error turns into ``term``. Corrections add nothing but a-z.
 
-    The channel has one row per error type and character pair; it is broadcast when
-    counting confirms that it is small.
-    """
-    t, w, m = F.col("term"), F.col("word"), F.col("mid")
-    rates = small_side(channel.where(F.col("p") > 0).select("error_type", "key", "p"))
-    direct = each_struct(
-        pairs.where(E.one_edit_apart(t, w)), F.array(E.describe_edit(t, w)), "key", "term", "word"
+    A change inside a run of equal characters counts at the end of the run, so every string appears once."""
+    ways, rows = _ways(channel), _places(terms, "term")
+    c, d, x, y, head, tail = (F.col(k) for k in ("c", "d", "x", "y", "head", "tail"))
+    letter, here = y.between("a", "z"), c != ""
+    return _moves(
+        rows,
+        "term",
+        [
+            (ways["deletion"], (x == F.col("before")) & (y != c) & letter, F.concat(head, y, c, tail)),
+            (ways["insertion"], (x == F.col("before")) & (y == c) & here & (c != d), F.concat(head, tail)),
+            (ways["substitution"], (x == c) & (y != c) & here & letter, F.concat(head, y, tail)),
+            (
+                ways["transposition"],
+                (x == d) & (y == c) & (d != "") & (c != d),
+                F.concat(head, d, c, F.substring(tail, F.lit(2), F.length(tail))),
+            ),
+        ],
     )
-    direct = direct.where("reachable").join(rates, ["error_type", "key"])
-    direct = direct.select("term", "word", F.col("p").alias("_way"))
-    ways = each_struct(
-        _between(pairs), F.array(E.describe_edit(m, w)), "key", "term", "word", "mid"
+
+
+def misspelt(vocabulary: DataFrame, channel: DataFrame) -> DataFrame:
+    """(word, mid, p): the strings that one possible error makes of ``word``."""
+    ways, rows = _ways(channel), _places(vocabulary, "word")
+    c, d, x, y, head, tail = (F.col(k) for k in ("c", "d", "x", "y", "head", "tail"))
+    letter = c.between("a", "z")
+    return _moves(
+        rows,
+        "word",
+        [
+            (ways["deletion"], (x == F.col("before")) & (y == c) & letter & (c != d), F.concat(head, tail)),
+            (ways["insertion"], (x == F.col("before")) & (y != c), F.concat(head, y, c, tail)),
+            (ways["substitution"], (y == c) & (x != c) & letter, F.concat(head, x, tail)),
+            (
+                ways["transposition"],
+                (x == c) & (y == d) & (d != "") & (c != d),
+                F.concat(head, d, c, F.substring(tail, F.lit(2), F.length(tail))),
+            ),
+        ],
     )
-    ways = ways.where("reachable").join(rates, ["error_type", "key"])
-    ways = each_struct(
-        ways.withColumnRenamed("p", "_p2").drop("error_type", "key", "reachable"),
-        F.array(E.describe_edit(t, m)), "key", "term", "word", "_p2",
-    ).join(rates, ["error_type", "key"])
-    ways = ways.select("term", "word", (F.col("p") * F.col("_p2")).alias("_way"))
-    return direct.unionByName(ways).groupBy("term", "word").agg(F.sum("_way").alias("score"))
 
 
 def candidates(terms: DataFrame, vocabulary: DataFrame, channel: DataFrame) -> DataFrame:
-    """(term, word, score) for every vocabulary word one or two possible errors away."""
-    # scored along two branches, and costlier to find again than to read back
-    return score_pairs(cut_lineage(candidate_pairs(terms, vocabulary)), channel)
+    """(term, word, score) for every vocabulary word one or two possible errors away: the channel probability of the
+    error plus that of every pair of errors.
+
+    Two edits meet in the middle: the strings one possible error before a term, and those one possible error after a
+    word, are joined on the string between. The rules of the channel act while the strings are made, so no pair is
+    formed that two possible errors do not connect.
+    """
+    first = intended(terms, channel)
+    last = misspelt(vocabulary, channel)
+    one = first.join(vocabulary.select("word").distinct(), F.col("mid") == F.col("word")).select("term", "word", F.col("p").alias("_way"))
+    # a long key sorts faster than the strings, which are compared after it
+    middle = first.where(F.col("mid") != "").select("term", F.col("mid").alias("_mid"), F.col("p").alias("_p"), F.xxhash64("mid").alias("_k"))
+    last = last.select("word", "mid", "p", F.xxhash64("mid").alias("k"))
+    two = (
+        middle.join(last, (F.col("_k") == F.col("k")) & (F.col("_mid") == F.col("mid")))
+        .where(F.col("term") != F.col("word"))
+        .select("term", "word", (F.col("_p") * F.col("p")).alias("_way"))
+    )
+    return one.unionByName(two).groupBy("term", "word").agg(F.sum("_way").alias("score"))

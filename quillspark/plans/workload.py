@@ -505,23 +505,39 @@ def char_error_proba(spark, sf):
     return S.char_error_rates(table, letters).select("error_type", "key", "n", F.round("p", 9).alias("p"))
 
 
-def spell_candidates(spark, sf):
-    channel = cut_lineage(_channel(spark, sf))
-    passages = corpus(table(spark, sf, "benchmark"))
-    terms = N.word_counts(passages).select(F.col("word").alias("term"))
-    out = S.candidates(terms, _vocabulary(spark, sf), channel)
+def _candidates(spark, sf, terms):
+    out = S.candidates(terms, _vocabulary(spark, sf), cut_lineage(_channel(spark, sf)))
     return out.select("term", "word", F.round(F.log("score"), 6).alias("log_score"))
 
 
-def spell_correct(spark, sf):
+def _corrected(spark, sf, texts, key):
+    """Texts corrected by the model and the channel of the documents."""
     docs = corpus(documents(spark, sf))
     checker = replace(P.from_text(docs, keep=True), channel=cut_lineage(_channel(spark, sf)))
-    passages = corpus(table(spark, sf, "benchmark"))
-    return P.correct_sentences(checker, passages, ALPHA, "item_id").select(
-        "item_id", F.col("sent").cast("long").alias("sent"), "corrected", "term", "word"
+    return P.correct_sentences(checker, corpus(texts), ALPHA, key).select(
+        key, F.col("sent").cast("long").alias("sent"), "corrected", "term", "word"
     )
 
 
+def spell_candidates(spark, sf):
+    words = N.word_counts(corpus(table(spark, sf, "benchmark")))
+    return _candidates(spark, sf, words.select(F.col("word").alias("term")))
+
+
+def spell_candidates_turns(spark, sf):
+    """Candidates of every word of the conversations."""
+    return _candidates(spark, sf, _turn_terms(spark, sf))
+
+
+def spell_correct(spark, sf):
+    return _corrected(spark, sf, table(spark, sf, "benchmark"), "item_id")
+
+
+def spell_correct_turns(spark, sf):
+    """Every conversation turn corrected."""
+    return _corrected(spark, sf, turns(spark, sf), "post_id")
+
+
 # --- splits
 
 
@@ -600,7 +616,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         trigram_continuations, confusion_learn, metrics_by_fold, best_model, pred_totals,
         singleton_terms, lm_model, lm_prefix_tf, lm_loglik, lm_smooth, lm_generate_step, lm_generate,
         lm_next_topk, lm_mle, edits1, known_edits, error_types, error_proba, char_error_proba,
-        spell_candidates, spell_correct, shuffle_order, tail_split, fold_sets, kfold,
+        spell_candidates, spell_correct, spell_candidates_turns, spell_correct_turns, shuffle_order, tail_split, fold_sets, kfold,
         stratified_kfold, random_holdout, predict_posts, stem_vocab,
     )
 }

@@ -110,10 +110,7 @@ def brute_scores(terms, words, rates):
     return out
 
 
-@pytest.mark.parametrize("form_length", [64, 5])
-def test_candidates_match_brute_force(spark, monkeypatch, form_length):
-    """Also with the long-word path taking over above five characters."""
-    monkeypatch.setattr(S, "DELETE_FORM_LENGTH", form_length)
+def test_candidates_match_brute_force(spark):
     terms, words = random_words(3, 60, 10), random_words(4, 150, 10)
     rows, channel = dense_channel(spark)
     got = S.candidates(frame(spark, terms, "term"), frame(spark, words, "word"), channel).collect()
@@ -124,6 +121,17 @@ def test_candidates_match_brute_force(spark, monkeypatch, form_length):
         assert found[k] == pytest.approx(v)
 
 
+def test_candidates_of_letters_that_no_correction_adds(spark):
+    """One-character words outside a-z reach each other by no two corrections; the plan stays in the JVM."""
+    words = [chr(0x4E00 + i) for i in range(400)]
+    kinds = ["deletion", "insertion", "substitution"]
+    rows = [(k, a + b, 0.5) for k in kinds for a in ["#", *words[:20]] for b in words[:20] if k != "substitution" or a != "#"]
+    channel = spark.createDataFrame(rows, "error_type string, key string, p double")
+    found = S.candidates(frame(spark, words, "term"), frame(spark, words, "word"), channel)
+    assert found.count() == 0
+    assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
+
+
 CORPUS = "the cat sat on the mat. the cat ate the rat. the rat sat on the cat. a cat sat on a mat."
 
 
@@ -171,3 +179,35 @@ def test_given_error_tables(spark, checker):
     assert got["ca"] == pytest.approx(6 / letters["ca"]) and got["#x"] == pytest.approx(4 / len(letters))
     lm_only = P.from_language_model(checker.lm)
     assert lm_only.vocabulary.count() > 5
+
+
+def spot_rows(spark, rng, n):
+    words = "the cat sat on mat rat ate a . cot ct , ! hat".split()
+    rows = []
+    for _ in range(n):
+        at = rng.randint(1, 3)
+        near = [rng.choice(words) for _ in range(at - 1 + rng.randint(1, 3))]
+        rows.append((f"{at}|" + " ".join(near), near, at, near[at - 1]))
+    return spark.createDataFrame(list({r[0]: r for r in rows}.values()), "spot string, near array<string>, at int, term string")
+
+
+@pytest.mark.parametrize("wide", [256, 1, 0])
+def test_model_first_equals_full_scoring(spark, checker, wide):
+    """The ranking join finds what scoring every choice at every spot finds, from fewer rows."""
+    spots = spot_rows(spark, random.Random(5), 150)
+    terms = spots.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    # every word is a choice of every term, with shares that seldom decide
+    rows = [(t.term, w.word, 1 + (hash_of(t.term + w.word) % 7) / 10) for t in terms.collect() for w in checker.vocabulary.collect() if t.term != w.word]
+    scored = spark.createDataFrame(rows, "term string, word string, score double")
+    choices = P._choices(scored, terms, 0.6).cache()
+    full, all_rows = P.best_words(checker.lm, spots, choices, first=10**6)
+    some, few_rows = P.best_words(checker.lm, spots, choices, first=1, wide=wide)
+    want = {r.spot: (round(r._old, 9), r._best) for r in full.collect()}
+    assert {r.spot: (round(r._old, 9), r._best) for r in some.collect()} == want
+    per_spot = [round(n / len(want), 1) for n in (few_rows, all_rows)]
+    print(f"rows scored per word, wide={wide}: {per_spot[0]} instead of {per_spot[1]}")
+    assert few_rows < all_rows if wide else few_rows <= all_rows
+
+
+def hash_of(text):
+    return sum(ord(c) * (i + 3) for i, c in enumerate(text))
