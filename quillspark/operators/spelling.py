@@ -14,6 +14,10 @@ from quillspark.functions import edits as E
 from quillspark.functions.rows import each, each_struct
 from quillspark.operators.scale import small_side, spread_work
 
+#: Up to so many terms, some hundred strings each, are a hash table that is dealt out by the shuffle.
+FEW_TERMS = 20_000
+
+
 def known_edits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, word): vocabulary words one edit from each distinct term, the term itself included.
 
@@ -173,14 +177,16 @@ def candidates(terms: DataFrame, vocabulary: DataFrame, channel: DataFrame) -> D
     word, are joined on the string between. The rules of the channel act while the strings are made, so no pair is
     formed that two possible errors do not connect.
     """
+    terms = terms.select("term").distinct()
     first = intended(terms, channel)
     last = misspelt(vocabulary, channel)
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
     one = first.join(vocabulary.select("word").distinct(), F.col("mid") == F.col("word")).select("term", "word", F.col("p").alias("_way"))
-    # a long key sorts faster than the strings, which are compared after it
     middle = first.where(F.col("mid") != "").select("term", F.col("mid").alias("_mid"), F.col("p").alias("_p"), F.xxhash64("mid").alias("_k"))
     last = last.select("word", "mid", "p", F.xxhash64("mid").alias("k"))
+    # the rows of a few terms fit a task's hash table, which spares sorting the far more rows of the vocabulary
     two = (
-        middle.join(last, (F.col("_k") == F.col("k")) & (F.col("_mid") == F.col("mid")))
+        (middle.hint("shuffle_hash") if few else middle).join(last, (F.col("_k") == F.col("k")) & (F.col("_mid") == F.col("mid")))
         .where(F.col("term") != F.col("word"))
         .select("term", "word", (F.col("_p") * F.col("p")).alias("_way"))
     )
