@@ -5,11 +5,12 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.session import shared_folder
@@ -40,11 +41,24 @@ def content_key(*parts: Column) -> Column:
     return F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def arrow_batches(spark: SparkSession, most: str) -> Iterator[None]:
+    """Arrow batches of at most ``most`` bytes for the jobs run inside: a batch of whole texts is held on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def stored(df: DataFrame, name: str = "stage", batch: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back, so that a lost executor costs a re-read."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    with arrow_batches(spark, batch) if batch else nullcontext():
+        df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -64,6 +78,11 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4
             end = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

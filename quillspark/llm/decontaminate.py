@@ -136,7 +136,7 @@ def windows(
     rows = docs.select(
         F.col(id).cast("long").alias("id"), content_key(F.col(text)).alias("content"), F.col(text).alias("text")
     )
-    found = stored(rows.mapInArrow(run, _WINDOW), "windows")
+    found = stored(rows.mapInArrow(run, _WINDOW), "windows", batch="8m")
     tables.destroy()
     return found
 

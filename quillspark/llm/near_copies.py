@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
 from quillspark.llm.bk_tree import VerifiedTree
-from quillspark.llm.common import content_key, parts, stored
+from quillspark.llm.common import content_key, parts, release, stored
 from quillspark.llm.components import components
 from quillspark.llm.decontaminate import simhash
 from quillspark.llm.passages import _runs
@@ -122,6 +122,7 @@ def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 found += [(kind[a + i], kind[a + j]) for i, j in _groups(part.flatten().to_numpy(), ends, fp[a:b], least)]
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        release()
 
     dealt = classes.select("class", F.explode("bands").alias("band"))
     members = (
@@ -137,7 +138,7 @@ def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """(id, content, fp, component_id, root) for every row; component_id is the smallest id of its component."""
-    rows = stored(sets(docs, text, id), "sets")
+    rows = stored(sets(docs, text, id), "sets", batch="8m")
     kinds = rows.groupBy("class").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     classes = stored(kinds, "classes")
     found = components(links(classes, least))

@@ -35,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import arrow_batches
+
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Marks that may follow a word, and the first letter that normalisation or lower-casing may join with others.
 MARKS = ".,;:!?)"
 LATIN_END = "\u0250"
@@ -226,7 +228,8 @@ def segments(
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, **params) -> None:
-    segments(docs, tokenizer, end_id, **params).write.parquet(folder)
+    with arrow_batches(docs.sparkSession, "8m"):
+        segments(docs, tokenizer, end_id, **params).write.parquet(folder)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
