@@ -29,7 +29,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    # the workers keep memory of the stages before, so fewer pieces are remembered here than in a job of its own
+    token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remembered=300_000)
     return token_files.read(spark, folder)
 
 

@@ -143,10 +143,10 @@ class Pieces:
 
     A piece of Latin letters with marks at its end is one word and one run of marks to the tokenizer, whose
     model is asked for both directly; any other piece goes through the whole tokenizer. Both kinds of answers
-    are remembered, up to ``REMEMBERED`` pieces and half as many words.
+    are remembered, up to ``remembered`` pieces and half as many words (about 150 bytes each).
     """
 
-    def __init__(self, path: str, width: int) -> None:
+    def __init__(self, path: str, width: int, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker per core
         from tokenizers import Tokenizer
 
@@ -154,8 +154,8 @@ class Pieces:
         self.model = self.tokenizer.model
         self.kind = np.dtype(f"<u{width}")
         self.letters = _byte_letters()
-        self.known = _Remembered(self._piece, REMEMBERED)
-        self.runs = _Remembered(self._run, REMEMBERED // 2)
+        self.known = _Remembered(self._piece, remembered)
+        self.runs = _Remembered(self._run, remembered // 2)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -178,8 +178,8 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str, width: int) -> Pieces:
-    return Pieces(path, width)
+def _pieces(path: str, width: int, remembered: int) -> Pieces:
+    return Pieces(path, width, remembered)
 
 
 def _segment(shard: int, number: int, width: int, ids: list[int | None], parts: list[bytes]) -> dict:
@@ -201,12 +201,14 @@ def segments(
     id: str = "doc_id",
     width: int = 2,
     segment_tokens: int = SEGMENT_TOKENS,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
-    """The segment rows of ``docs`` in ascending id order. ``width`` 2 fits vocabularies up to 65,536."""
+    """The segment rows of ``docs`` in ascending id order. ``width`` 2 fits vocabularies up to 65,536. Fewer
+    ``remembered`` pieces take less memory and more time; the ids are the same."""
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, shard, number = _pieces(tokenizer, width), TaskContext.get().partitionId(), 0
+        pieces, shard, number = _pieces(tokenizer, width, remembered), TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         parts: list[bytes] = []
         size = 0
