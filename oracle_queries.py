@@ -402,6 +402,22 @@ LEFT JOIN cum a ON a.ctx = d.ctx AND d.r >= a.hi - a.n AND d.r < a.hi
 LEFT JOIN cum b ON d.total IS NULL AND b.pick = d.r + 1"""
 O["lm_next_topk"] = f"""WITH {CONT} SELECT w1, w2, w3, n, rank FROM (SELECT *,
  row_number() OVER (PARTITION BY w1, w2 ORDER BY n DESC, w3) AS rank FROM pc) WHERE rank <= 3"""
+def first_arrival(step: str) -> str:
+    """The next word of every pair that wins the exponential race of a step."""
+    key = f"{SEED} || '|' || ({step} // 4)::VARCHAR || '|' || w1 || '|' || w2 || '|' || w3"
+    bits = f"('0x' || substr(md5({key}), (8 * ({step} % 4) + 1)::INT, 8))::BIGINT"
+    return f"list(w3 ORDER BY -ln(({bits} + 0.5::DOUBLE) / 4294967296::DOUBLE) / n, w3)[1]"
+
+
+O["lm_next_draw"] = f"WITH {CONT} SELECT w1, w2, {first_arrival('0')} AS w3 FROM pc GROUP BY 1, 2"
+O["lm_continue"] = f"""WITH RECURSIVE {CONT}, st AS (SELECT unnest(range(19)) AS s),
+d AS MATERIALIZED (SELECT w1, w2, s, {first_arrival('s')} AS next FROM pc, st GROUP BY 1, 2, 3),
+a AS (SELECT DISTINCT l[1] AS w1, l[2] AS w2 FROM (SELECT list_filter({marks('lower(text)')}, lambda t: t <> '.') AS l
+ FROM conversations) WHERE len(l) >= 2),
+walk AS (SELECT w1, w2, w1 AS p1, w2 AS p2, []::VARCHAR[] AS said, 0 AS s FROM a
+ UNION ALL SELECT k.w1, k.w2, k.p2, d.next, list_append(k.said, d.next), k.s + 1
+ FROM walk k JOIN d ON d.w1 = k.p1 AND d.w2 = k.p2 AND d.s = k.s)
+SELECT w1, w2, array_to_string(arg_max(said, s), ' ') AS continuation, max(s)::BIGINT AS n_words FROM walk GROUP BY 1, 2"""
 O["lm_mle"] = f"""WITH {TURNS}, u AS (SELECT post_id, list_concat(['<s>', '<s>'], list_concat({marks('lower(text)')}, ['</s>', '</s>'])) AS l FROM turns),
 t AS (SELECT post_id, unnest(range(len(l))) AS pos, unnest(l) AS t FROM u),
 w AS (SELECT t AS w1, lead(t) OVER w AS w2, lead(t, 2) OVER w AS w3 FROM t WINDOW w AS (PARTITION BY post_id ORDER BY pos)),

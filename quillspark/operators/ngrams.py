@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import draws as R
 from quillspark.functions import text as T
 from quillspark.functions.let import let
 from quillspark.functions.rows import each, each_struct
+from quillspark.session import cut_lineage
 
 
 def window_starts(size: Column, n: int) -> Column:
@@ -167,6 +169,44 @@ def top_successors(continuations: DataFrame, k: int) -> DataFrame:
     return continuations.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _arrival(seed: int, step: int) -> Column:
+    """Arrival time of a next word in the race of ``step``: exponential at the rate of its count."""
+    digest = R.seeded_key(seed, F.lit(step // 4), F.col("w1"), F.col("w2"), F.col("w3"))
+    bits = F.conv(F.substring(digest, step % 4 * 8 + 1, 8), 16, 10).cast("long")  # an md5 holds four draws
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 32))) / F.col("n")
+
+
+def drawn_successors(continuations: DataFrame, seed: int, steps: int = 1) -> DataFrame:
+    """(w1, w2, drawn): ``steps`` independent next words per pair, each with the probability of its count.
+
+    The word that arrives first in an exponential race wins, which is a minimum: it combines map-side, and a pair with
+    very many next words sends one row per task. Equal arrivals go to the smaller word."""
+    firsts = [F.min(F.struct(_arrival(seed, s).alias("at"), F.col("w3").alias("w"))).alias(f"_{s}") for s in range(steps)]
+    won = continuations.groupBy("w1", "w2").agg(*firsts)
+    return won.select("w1", "w2", F.array(*[F.col(f"_{s}.w") for s in range(steps)]).alias("drawn"))
+
+
+def continued(pairs: DataFrame, continuations: DataFrame, seed: int, steps: int = 19) -> DataFrame:
+    """(w1, w2, words): every distinct pair of ``pairs`` and the up to ``steps`` words drawn after it.
+
+    The words of all steps are drawn once per known pair; a step is then an equality join. Each walk has the
+    distribution of separate draws, and walks that meet at the same pair in the same step go on alike. A walk ends at a
+    pair without a next word, so an unknown pair has an empty list; a pair with a null word is left out."""
+    drawn = cut_lineage(drawn_successors(continuations, seed, steps))
+    walks = pairs.select("w1", "w2").dropna().distinct()
+    walks = walks.withColumns({"p1": F.col("w1"), "p2": F.col("w2"), "words": F.array().cast("array<string>")})
+    for s in range(steps):
+        known = drawn.select(F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.get("drawn", F.lit(s)).alias("next"))
+        walks = walks.join(known, ["p1", "p2"], "left").select(
+            "w1",
+            "w2",
+            F.when(F.col("next").isNull(), F.col("p1")).otherwise(F.col("p2")).alias("p1"),  # an ended walk stays
+            F.coalesce("next", "p2").alias("p2"),
+            F.concat("words", F.array_compact(F.array("next"))).alias("words"),
+        )
+    return walks.select("w1", "w2", "words")
+
+
 def words_of_grams(grams: DataFrame, gram: str = "gram", n: str = "n") -> DataFrame:
     """Word counts back from n-gram counts: first word of every gram, plus the tail of the last
     gram in ascending order."""

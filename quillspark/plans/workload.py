@@ -426,6 +426,20 @@ def lm_next_topk(spark, sf):
     return N.top_successors(N.trigram_continuations(documents(spark, sf)), 3)
 
 
+def lm_next_draw(spark, sf):
+    """One weighted next word for every pair of words."""
+    drawn = N.drawn_successors(N.trigram_continuations(documents(spark, sf)), SEED)
+    return drawn.select("w1", "w2", F.get("drawn", F.lit(0)).alias("w3"))
+
+
+def lm_continue(spark, sf):
+    """The first two words of every turn, continued by up to nineteen."""
+    said = F.filter(T.words_and_marks(F.lower("text")), lambda t: t != ".")
+    pairs = turns(spark, sf).select(F.get(said, F.lit(0)).alias("w1"), F.get(said, F.lit(1)).alias("w2"))
+    walks = N.continued(pairs, N.trigram_continuations(documents(spark, sf)), SEED)
+    return walks.select("w1", "w2", F.array_join("words", " ").alias("continuation"), F.size("words").cast("long").alias("n_words"))
+
+
 def lm_mle(spark, sf):
     out = L.mle(turns(spark, sf), 3)
     return out.select("k", "ctx", "word", "n", F.round("p", 9).alias("p"))
@@ -615,7 +629,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         word_ngrams, char_ngrams, clean_term_freq, letter_counts, padded_ngrams,
         trigram_continuations, confusion_learn, metrics_by_fold, best_model, pred_totals,
         singleton_terms, lm_model, lm_prefix_tf, lm_loglik, lm_smooth, lm_generate_step, lm_generate,
-        lm_next_topk, lm_mle, edits1, known_edits, error_types, error_proba, char_error_proba,
+        lm_next_topk, lm_next_draw, lm_continue, lm_mle, edits1, known_edits, error_types, error_proba, char_error_proba,
         spell_candidates, spell_correct, spell_candidates_turns, spell_correct_turns, shuffle_order, tail_split, fold_sets, kfold,
         stratified_kfold, random_holdout, predict_posts, stem_vocab,
     )

@@ -148,3 +148,29 @@ def test_padded_and_continuations(spark):
     assert tuple(N.term_repetition(terms).first()) == (2, 1)
     letters = {r.chars: r.n for r in N.letter_counts(N.word_counts(more), word_starts=True).collect()}
     assert letters["#"] == 9 and letters["#a"] == 3 and letters["c"] == 2
+
+
+def test_drawn_successors_follow_the_counts(spark):
+    rows = [(str(i), "b", w, n) for i in range(3000) for w, n in (("x", 6), ("y", 3), ("z", 1))]
+    table = spark.createDataFrame(rows, "w1 string, w2 string, w3 string, n long")
+    drawn = N.drawn_successors(table, 3, 6)
+    got = [w for r in drawn.collect() for w in r.drawn]
+    share = {w: got.count(w) / len(got) for w in "xyz"}
+    assert len(got) == 18000 and abs(share["x"] - 0.6) < 0.02 and abs(share["y"] - 0.3) < 0.02
+    again = {r.w1: r.drawn for r in N.drawn_successors(table.repartition(7), 3, 6).collect()}
+    assert again == {r.w1: r.drawn for r in drawn.collect()}
+    assert len({tuple(d) for d in again.values()}) > 100  # the steps are drawn apart
+
+
+def test_continued_walks_and_their_ends(spark):
+    table = spark.createDataFrame(
+        [("a", "b", "c", 2), ("b", "c", "d", 1), ("x", "y", "x", 1), ("y", "x", "y", 5)],
+        "w1 string, w2 string, w3 string, n long",
+    )
+    pairs = spark.createDataFrame(
+        [("a", "b"), ("a", "b"), ("c", "d"), ("x", "y"), ("", ""), (None, "b"), ("a", None)], "w1 string, w2 string"
+    )
+    got = {(r.w1, r.w2): r.words for r in N.continued(pairs, table, 1, 5).collect()}
+    assert got == {("a", "b"): ["c", "d"], ("c", "d"): [], ("x", "y"): ["x", "y"] * 2 + ["x"], ("", ""): []}
+    empty = {(r.w1, r.w2): r.words for r in N.continued(pairs, table.limit(0), 1, 2).collect()}
+    assert set(empty) == set(got) and not any(empty.values())

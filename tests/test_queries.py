@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = [
     "label_encode", "filter_text", "sentence_split", "tokens", "content_features", "tfidf_bigram_capped",
     "encode_sequences", "word_ngrams", "padded_ngrams", "metrics_by_fold", "lm_loglik",
-    "lm_generate_step", "known_edits", "error_proba", "stratified_kfold",
+    "lm_generate_step", "lm_next_draw", "lm_continue", "known_edits", "error_proba", "stratified_kfold",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
