@@ -12,13 +12,15 @@ paragraphs wherever it stands, and every passage of at least PARAGRAPH + ANCHORS
    end here, among them those that overlapping paragraphs of one text share.
 3. A bitmap of fixed size over those paragraphs lets a second pass over the texts emit their places and
    shingles.
-4. Different paragraphs of one band key are verified by the exact Jaccard similarity of their shingles. A
-   key's members are grouped by search from member to member, so that a link is tested unless it is already
-   implied, and the links of a key are at most its members less one.
+4. Different paragraphs of one band key are verified by the exact Jaccard similarity of their shingles (32-bit
+   hashes). A key's members are grouped by search from member to member, all keys of a batch at once, so that a link
+   is tested unless it is already implied, and the links of a key are at most its members less one.
 5. Components are the clusters. A cluster that stands in two documents or more is a repeated passage; the
    place with the smallest id and position is kept; all that do not overlap it are removals, also in its text.
-6. The places carry the 20 words on either side. An exact passage of 50 words or more begins and ends within them,
-   so a removal that goes on as far as they equal those of the first equal paragraph covers the passage word by word.
+6. The places carry one hash of the 20 words on either side. An exact passage of 50 words or more begins and ends
+   within them, so a removal that goes on as far as they equal those of the first equal paragraph covers the passage
+   word by word. Equal hashes mean all of them; only for the others, at the ends of passages, does a third pass over
+   the texts that have them look up the words themselves.
 
 Defined results: null texts and texts shorter than a paragraph have no passages; a null id is its own
 document and comes last; passages that repeat inside one document only are not reported; repeated rows
@@ -47,6 +49,7 @@ ROWS = 2
 SIMILARITY = 0.8
 BITMAP_BITS = 25
 
+_EDGE_SLOTS = S.mixed(np.arange(101, EDGE + 101, dtype=np.uint64)) | np.uint64(1)
 _SLOTS = S.mixed(np.arange(1, PARAGRAPH - SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -55,6 +58,22 @@ def _windows(x: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)
 
 
+def anchors(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places of the smallest hash, the first of equal ones, of every ``size`` places in a row."""
+    held = np.uint64((1 << 24) - 1)
+    if len(hashes) > held:
+        found = _windows(hashes, size).argmin(axis=1) + np.arange(len(hashes) - size + 1)
+    else:
+        least, width = (hashes & ~held) | np.arange(len(hashes), dtype=np.uint64), 1  # equal in 40 bits: the first
+        while 2 * width <= size:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < size:
+            least = np.minimum(least[: len(least) - (size - width)], least[size - width :])
+        found = (least & held).astype(np.int64)
+    return found[np.concatenate(([True], found[1:] != found[:-1]))]  # they never go back
+
+
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First words, keys and shingle hashes (one row each) of the paragraphs of one text; hashes of its words."""
     per = PARAGRAPH - SHINGLE + 1
@@ -64,20 +83,18 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     count = len(hashes) - per + 1
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, per), np.uint64), words
-    size = min(ANCHORS, count)  # a short text has fewer places to choose from
-    starts = np.unique(_windows(hashes[:count], size).argmin(axis=1) + np.arange(count - size + 1))
-    keys = np.zeros(len(starts), np.uint64)
-    for k, slot in enumerate(_SLOTS):
-        keys += hashes[starts + k] * slot
-    return starts, S.mixed(keys), _windows(hashes, per)[starts], words
+    starts = anchors(hashes[:count], min(ANCHORS, count))  # a short text has fewer places to choose from
+    inside = _windows(hashes, per)[starts]
+    return starts, S.mixed((inside * _SLOTS).sum(axis=1)), inside, words
 
 
-def around(words: np.ndarray, starts: np.ndarray, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the up to EDGE words before or after each paragraph, the nearest first, and their numbers."""
-    step = np.arange(EDGE)
-    at = starts[:, None] + (PARAGRAPH + step if ahead else -1 - step)
-    inside = (at >= 0) & (at < len(words))
-    return (words[at[inside]] >> np.uint64(32)).astype(np.uint32), inside.sum(axis=1)
+def around(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the up to EDGE words before and after each paragraph (2 x paragraphs x EDGE), the nearest first, zero
+    beyond the text; one key for each side of a paragraph (2 x paragraphs)."""
+    none, step = np.zeros(EDGE, np.uint64), np.arange(EDGE)
+    at = np.stack([starts[:, None] + EDGE - 1 - step, starts[:, None] + EDGE + PARAGRAPH + step])
+    found = np.concatenate((none, words, none))[at]
+    return found, S.mixed((found * _EDGE_SLOTS).sum(axis=2))
 
 
 def band_keys(inside: np.ndarray) -> np.ndarray:
@@ -160,8 +177,9 @@ def collisions(rows: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: DataFrame, bits: int) -> DataFrame:
-    """(id, content, start, key, before, after, shingles) of every place of the paragraphs whose key may be in
-    ``wanted``; the shingles, as 32-bit hashes, are at the first place in a text if the key may be in ``several``."""
+    """(id, content, start, key, before, after, room, shingles) of every place of the paragraphs whose key may be in
+    ``wanted``: the keys of the words on either side and the number of those after it; the shingles, as 32-bit
+    hashes, are at the first place in a text if the key may be in ``several``."""
     tables = docs.sparkSession.sparkContext.broadcast(
         tuple(S.bitmap(x.select(F.col("key").alias("hash")), bits) for x in (wanted, several))
     )
@@ -169,10 +187,12 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, compared = tables.value
         for batch in batches:
-            at, start, key, inside, sizes, edges = [], [], [], [], [], ([], [])
+            at, start, key, inside, sizes, edges, room = [], [], [], [], [], [], []
             for i, body in enumerate(batch.column("text")):
                 starts, keys, hashes, words = paragraphs(body.as_py())
                 hit = np.flatnonzero(S.holds(known, keys))
+                if not len(hit):
+                    continue
                 with_set = np.zeros(len(hit), bool)
                 with_set[np.unique(keys[hit], return_index=True)[1]] = True
                 with_set &= S.holds(compared, keys[hit])
@@ -181,43 +201,95 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
                 key.append(keys[hit])
                 inside.append((hashes[hit[with_set]].ravel() >> np.uint64(32)).astype(np.uint32))
                 sizes.append(with_set * hashes.shape[1])
-                for ahead, found in enumerate(edges):
-                    found.append(around(words, starts[hit], bool(ahead)))
+                edges.append(around(words, starts[hit])[1])
+                room.append(np.minimum(len(words) - PARAGRAPH - starts[hit], EDGE))
             if not at:
                 continue
             at = pa.array(np.concatenate(at))
-            before, after = (_lists(*zip(*found, strict=True)) for found in edges)
+            before, after = np.concatenate(edges, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(at), batch.column("content").take(at),
                     pa.array(np.concatenate(start).astype(np.int32)), _signed(np.concatenate(key)),
-                    before, after, _lists(inside, sizes),
+                    _signed(before), _signed(after), pa.array(np.concatenate(room).astype(np.int8)),
+                    _lists(inside, sizes),
                 ],
-                names=["id", "content", "start", "key", "before", "after", "shingles"],
+                names=["id", "content", "start", "key", "before", "after", "room", "shingles"],
             )
 
     rows = docs.select(
         F.col(id).cast("long").alias("id"), content_key(F.col(text)).alias("content"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(run, "id long, content long, start int, key long, before array<int>, after array<int>, shingles array<int>")
-
-
-def _groups(sets: list[frozenset[int]], least: float) -> list[tuple[int, int]]:
-    """Links (member, earlier member) that join all sets whose Jaccard similarity reaches ``least``."""
-    left, links = list(range(len(sets))), []
-    while left:
-        queue, left = [left[0]], left[1:]
-        while queue and left:
-            own, rest = queue.pop(), []
-            for other in left:
-                common = len(sets[own] & sets[other])
-                if common >= least * (len(sets[own]) + len(sets[other]) - common):
-                    links.append((other, own))
-                    queue.append(other)
-                else:
-                    rest.append(other)
-            left = rest
-    return links
+    return rows.mapInArrow(
+        run,
+        "id long, content long, start int, key long, before long, after long, room byte, shingles array<int>",
+    )
+
+
+def edges(docs: DataFrame, text: str, asked: DataFrame, bits: int) -> DataFrame:
+    """(edge, words): the words, as 64-bit hashes, of the edges (content, edge) that are ``asked`` for. The bitmaps may
+    let others through; an edge may come from several batches."""
+    tables = docs.sparkSession.sparkContext.broadcast(
+        tuple(S.bitmap(asked.select(F.xxhash64(c).alias("hash")), bits) for c in ("content", "edge"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, sides = tables.value
+        for batch in batches:
+            place = batch.column("place").to_numpy().view(np.uint64)
+            keys, words = [], []
+            for i in np.flatnonzero(S.holds(texts, place)).tolist():
+                starts, _, _, hashes = paragraphs(batch.column("text")[i].as_py())
+                found, edge = around(hashes, starts)
+                keys.append(edge.ravel())
+                words.append(found.reshape(-1, EDGE))
+            if not keys:
+                continue
+            keys, first = np.unique(np.concatenate(keys), return_index=True)
+            words = np.ascontiguousarray(np.concatenate(words)[first])
+            ends = np.arange(0, words.size + 1, EDGE, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(keys), pa.ListArray.from_arrays(ends, _signed(words.ravel()))], names=["edge", "words"]
+            )
+
+    rows = docs.select(F.xxhash64(content_key(F.col(text))).alias("place"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "edge long, words array<long>")
+
+
+def links(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (member, earlier member) that join all sets of one band whose Jaccard similarity reaches ``least``.
+
+    ``band`` is sorted, ``sets`` holds one set per row, of equally many values with repeats. One member of every band
+    is compared with those left in it, in turn: first the members already reached, then the next one.
+    """
+    sets = np.sort(sets, axis=1)
+    single = np.concatenate((np.ones((len(sets), 1), bool), sets[:, 1:] != sets[:, :-1]), axis=1)
+    sizes = single.sum(axis=1)
+    rows, reached, out = np.arange(len(band)), np.zeros(len(band), bool), ([], [])
+    while len(rows):
+        at = np.flatnonzero(np.concatenate(([True], band[rows[1:]] != band[rows[:-1]])))
+        count = np.diff(np.append(at, len(rows)))
+        order = np.arange(len(rows)) + np.where(reached[rows], 0, len(rows))
+        pivot = np.minimum.reduceat(order, at) % len(rows)
+        left = ~reached[rows]
+        left[pivot] = False
+        a, b = rows[left], rows[np.repeat(pivot, count)[left]]
+        similar = np.zeros(len(a), bool)
+        for i in range(0, len(a), 1 << 14):
+            x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+            common = np.zeros((len(x), sets.shape[1]), bool)
+            for k in range(sets.shape[1]):
+                common |= sets[x] == sets[y, k : k + 1]
+            n = (common & single[x]).sum(axis=1)
+            similar[i : i + len(x)] = n >= least * (sizes[x] + sizes[y] - n)
+        out[0].append(a[similar])
+        out[1].append(b[similar])
+        reached[a[similar]] = True
+        open_ = np.ones(len(rows), bool)
+        open_[pivot] = False
+        waits = np.add.reduceat(~reached[rows] & open_, at) > 0  # bands with members not reached
+        rows = rows[open_ & np.repeat(waits, count)]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -226,15 +298,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "band"):
             band, keys = table.column("band").to_numpy(), table.column("key").to_numpy()
-            shingles = table.column("shingles").to_pylist()
-            edges = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
-            links = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found = _groups([frozenset(s) for s in shingles[a:b]], least)
-                    links += [(keys[a + i], keys[a + j]) for i, j in found]
-            flat = np.array(links, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+            values = table.column("shingles").combine_chunks().flatten().to_numpy().view(np.uint32)
+            a, b = links(band, values.reshape(len(band), -1), least)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(keys[b])], names=["a", "b"])
 
     rows = pairs.join(sets, "key").repartition("band").sortWithinPartitions("band", "key")
     return rows.mapInArrow(run, "a long, b long").distinct()
@@ -244,11 +310,10 @@ def _same_text(place: str) -> Column:
     return (F.col("id_") == F.col(f"{place}.id_")) & (F.col("content") == F.col(f"{place}.content"))
 
 
-def _agreeing(edge: str) -> Column:
-    """How many words next to a place equal those next to its model."""
-    equal = F.zip_with(F.col(edge), F.col(f"model.{edge}"), lambda x, y: x.eqNullSafe(y))
-    at = F.array_position(equal, F.lit(False)).cast("int")
-    return F.when(at == 0, F.size(edge)).otherwise(at - 1)
+def _agreeing(x: str, y: str) -> Column:
+    """How many words of two different edges agree."""
+    equal = F.zip_with(x, y, lambda a, b: (a == b) & (a != 0))
+    return (F.array_position(equal, F.lit(False)) - 1).cast("int")
 
 
 def repeated(
@@ -271,7 +336,9 @@ def repeated(
         found.drop("shingles")
         .distinct()
         .join(roots, F.col("key") == F.col("node"), "left")
-        .select("id", "content", "start", "before", "after", "key", F.coalesce("root", "key").alias("cluster"))
+        .drop("node")
+        .select("*", F.coalesce("root", "key").alias("cluster"))
+        .drop("root")
     )
     spots = stored(spots, "spots").withColumn("id_", F.coalesce("id", F.lit(LAST)))
     place = F.struct("id_", "content", "start", "before", "after")
@@ -291,14 +358,52 @@ def repeated(
             "removed": ~(_same_text("kept") & (F.col("start") < F.col("kept.start") + PARAGRAPH)),
         }
     )
-    least = [F.when(_same_text(x), F.col(f"{x}.start") + PARAGRAPH).otherwise(0) for x in ("kept", "model")]
-    begin = F.greatest(F.col("start") - _agreeing("before"), *least)
+    floor = [F.when(_same_text(x), F.col(f"{x}.start") + PARAGRAPH).otherwise(0) for x in ("kept", "model")]
+    differ = [F.col("removed") & (F.col(c) != F.col(f"model.{c}")) for c in ("before", "after")]
+    own = [F.when(d, F.col(c)).alias(c) for d, c in zip(differ, ("before", "after"), strict=True)]
+    other = [F.when(d, F.col(f"model.{c}")).alias(f"model_{c}") for d, c in zip(differ, ("before", "after"), strict=True)]
+    rows = rows.select(
+        "id", "content", F.col("model.content").alias("model_content"), "start", "room", "cluster", "n_docs", "removed",
+        F.greatest(*floor).alias("floor"), *own, *other,
+    )
+    rows = stored(rows, "rows")
+    partial = F.col("before").isNotNull() | F.col("after").isNotNull()
+
+    # the edges that differ, each looked up in one text that has it
+    ends = rows.where(partial)
+    pairs = [ends.select(F.col(c).alias("x"), F.col(f"model_{c}").alias("y")) for c in ("before", "after")]
+    pairs = pairs[0].union(pairs[1]).where(F.col("x").isNotNull()).distinct()
+    sides = F.array(
+        *[F.struct(F.col(t).alias("content"), F.col(c).alias("edge"))
+          for t, p in (("content", ""), ("model_content", "model_")) for c in (f"{p}before", f"{p}after")]
+    )
+    asked = ends.select(F.inline(sides)).where(F.col("edge").isNotNull())
+    asked = stored(asked.groupBy("edge").agg(F.min("content").alias("content")), "asked")
+    words = edges(docs, text, asked, bits).join(asked, "edge", "left_semi").dropDuplicates(["edge"])
+    words = stored(words, "edges")
+    equal = (
+        pairs.join(words.select(F.col("edge").alias("x"), F.col("words").alias("of_x")), "x")
+        .join(words.select(F.col("edge").alias("y"), F.col("words").alias("of_y")), "y")
+        .select("x", "y", _agreeing("of_x", "of_y").alias("n"))
+    )
+    equal = stored(equal, "agreeing")
+    ends = ends.withColumns({"n_before": F.lit(None).cast("int"), "n_after": F.lit(None).cast("int")})
+    for c in ("before", "after"):
+        # the side that agrees as a whole looks for a pair that is not there, in many places
+        x = F.coalesce(c, F.xxhash64("id", "start"))
+        known = equal.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("n").alias("__n"))
+        ends = ends.withColumn("__own", x).join(
+            known, (F.col("__own") == F.col("__x")) & (F.coalesce(f"model_{c}", F.lit(0)) == F.col("__y")), "left"
+        )
+        ends = ends.withColumn(f"n_{c}", F.when(F.col(c).isNotNull(), F.col("__n"))).drop("__own", "__x", "__y", "__n")
+    whole = rows.where(~partial).withColumns({"n_before": F.lit(None).cast("int"), "n_after": F.lit(None).cast("int")})
+    rows = whole.unionByName(ends)
+    begin = F.greatest(F.col("start") - F.coalesce("n_before", F.least("start", F.lit(EDGE))), "floor")
+    end = F.col("start") + PARAGRAPH + F.coalesce("n_after", F.col("room").cast("int"))
     return rows.select(
         "id",
         F.when(F.col("removed"), begin).otherwise(F.col("start")).alias("start"),
-        F.when(F.col("removed"), F.col("start") + PARAGRAPH + _agreeing("after") - begin)
-        .otherwise(PARAGRAPH)
-        .alias("n_words"),
+        F.when(F.col("removed"), end - begin).otherwise(PARAGRAPH).alias("n_words"),
         "cluster",
         "n_docs",
         "removed",

@@ -106,7 +106,8 @@ def test_groups_link_all_similar_members():
             if similar(sets[i], sets[j]):
                 old, new = parent[i], parent[j]
                 parent = [new if p == old else p for p in parent]
-    links = P._groups(sets, 0.8)
+    rows = np.array([sorted(s) for s in sets], np.uint32)
+    links = list(zip(*(x.tolist() for x in P.links(np.zeros(len(rows)), rows, 0.8)), strict=True))
     got = list(range(len(sets)))
     for a, b in links:
         old, new = got[a], got[b]
@@ -124,3 +125,28 @@ def test_awkward_rows(spark):
     same = "x " * 500
     assert {r["id"] for r in P.repeated(frame(spark, [(1, same), (2, same), (None, same)])).collect()} == {1, 2, None}
     assert P.repeated(frame(spark, [(1, same), (1, same), (2, prose(1, 90))])).count() == 0
+
+
+def test_groups_of_several_bands_with_repeats_inside_a_set():
+    rng = random.Random(5)
+    rows = np.array([[rng.randrange(9) for _ in range(6)] for _ in range(400)], np.uint32)
+    band = np.sort(np.array([rng.randrange(40) for _ in rows]))
+    a, b = P.links(band, rows, 0.8)
+    got, want = list(range(len(rows))), list(range(len(rows)))
+    sets = [set(r) for r in rows.tolist()]
+    every = [(i, j) for i in range(400) for j in range(i) if band[i] == band[j]]
+    every = [(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for parent, found in ((got, zip(a.tolist(), b.tolist(), strict=True)), (want, every)):
+        for i, j in found:
+            old, new = parent[i], parent[j]
+            parent[:] = [new if p == old else p for p in parent]
+    names = lambda ps: [ps.index(p) for p in ps]
+    assert names(got) == names(want) and len(set(want)) < 400 and len(a) == 400 - len(set(want))
+
+
+def test_anchors_are_the_smallest_of_every_window():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 3, 20, 21, 32):
+        for hashes in (rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 5, 500, dtype=np.uint64) << np.uint64(40)):
+            want = np.unique([i + hashes[i : i + size].argmin() for i in range(500 - size + 1)])
+            assert (P.anchors(hashes, size) == want).all()
