@@ -230,19 +230,20 @@ def edges(docs: DataFrame, text: str, asked: DataFrame, bits: int) -> DataFrame:
     """(edge, words): the words, as 64-bit hashes, of the edges (content, edge) that are ``asked`` for. The bitmaps may
     let others through; an edge may come from several batches."""
     tables = docs.sparkSession.sparkContext.broadcast(
-        tuple(S.bitmap(asked.select(F.xxhash64(c).alias("hash")), bits) for c in ("content", "edge"))
+        tuple(S.bitmap(asked.select(F.col(c).alias("hash")), bits) for c in ("content", "edge"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, sides = tables.value
         for batch in batches:
-            place = batch.column("place").to_numpy().view(np.uint64)
+            content = batch.column("content").to_numpy().view(np.uint64)
             keys, words = [], []
-            for i in np.flatnonzero(S.holds(texts, place)).tolist():
+            for i in np.flatnonzero(S.holds(texts, content)).tolist():
                 starts, _, _, hashes = paragraphs(batch.column("text")[i].as_py())
                 found, edge = around(hashes, starts)
-                keys.append(edge.ravel())
-                words.append(found.reshape(-1, EDGE))
+                hit = S.holds(sides, edge)
+                keys.append(edge[hit])
+                words.append(found[hit])
             if not keys:
                 continue
             keys, first = np.unique(np.concatenate(keys), return_index=True)
@@ -252,7 +253,7 @@ def edges(docs: DataFrame, text: str, asked: DataFrame, bits: int) -> DataFrame:
                 [_signed(keys), pa.ListArray.from_arrays(ends, _signed(words.ravel()))], names=["edge", "words"]
             )
 
-    rows = docs.select(F.xxhash64(content_key(F.col(text))).alias("place"), F.col(text).alias("text"))
+    rows = docs.select(content_key(F.col(text)).alias("content"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "edge long, words array<long>")
 
 
@@ -260,11 +261,15 @@ def links(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray,
     """Rows (member, earlier member) that join all sets of one band whose Jaccard similarity reaches ``least``.
 
     ``band`` is sorted, ``sets`` holds one set per row, of equally many values with repeats. One member of every band
-    is compared with those left in it, in turn: first the members already reached, then the next one.
+    is compared with those left in it, in turn: first the members already reached, then the next one. Two sets without
+    repeats that are similar have a value in common among the first few of either (prefix filter).
     """
     sets = np.sort(sets, axis=1)
     single = np.concatenate((np.ones((len(sets), 1), bool), sets[:, 1:] != sets[:, :-1]), axis=1)
     sizes = single.sum(axis=1)
+    width = sets.shape[1]
+    common_least = int(np.ceil(2 * width * least / (1 + least) - 1e-9))
+    heads = np.ascontiguousarray(sets[:, : width - common_least + 1].T)
     rows, reached, out = np.arange(len(band)), np.zeros(len(band), bool), ([], [])
     while len(rows):
         at = np.flatnonzero(np.concatenate(([True], band[rows[1:]] != band[rows[:-1]])))
@@ -274,12 +279,18 @@ def links(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray,
         left = ~reached[rows]
         left[pivot] = False
         a, b = rows[left], rows[np.repeat(pivot, count)[left]]
+        maybe = (sizes[a] < width) | (sizes[b] < width)
+        for x in heads[:, a]:
+            for y in heads:
+                maybe |= x == y[b]
+        a, b = a[maybe], b[maybe]
         similar = np.zeros(len(a), bool)
         for i in range(0, len(a), 1 << 14):
             x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
-            common = np.zeros((len(x), sets.shape[1]), bool)
-            for k in range(sets.shape[1]):
-                common |= sets[x] == sets[y, k : k + 1]
+            own, other = sets[x], np.ascontiguousarray(sets[y].T)
+            common = np.zeros(own.shape, bool)
+            for value in other:
+                common |= own == value[:, None]
             n = (common & single[x]).sum(axis=1)
             similar[i : i + len(x)] = n >= least * (sizes[x] + sizes[y] - n)
         out[0].append(a[similar])

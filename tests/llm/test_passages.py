@@ -129,7 +129,10 @@ def test_awkward_rows(spark):
 
 def test_groups_of_several_bands_with_repeats_inside_a_set():
     rng = random.Random(5)
-    rows = np.array([[rng.randrange(9) for _ in range(6)] for _ in range(400)], np.uint32)
+    rows = np.array([[rng.randrange(9) for _ in range(6)] for _ in range(200)], np.uint32)
+    rows = np.concatenate((rows, [rng.sample(range(9), 6) for _ in range(200)])).astype(np.uint32)
+    rng.shuffle(order := list(range(400)))
+    rows = rows[order]
     band = np.sort(np.array([rng.randrange(40) for _ in rows]))
     a, b = P.links(band, rows, 0.8)
     got, want = list(range(len(rows))), list(range(len(rows)))
