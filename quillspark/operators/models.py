@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.operators.features import fit_minmax
-
+from quillspark.session import cut_lineage
 
 ALL_TERMS = (1 << 31) - 1  # Spark ML's largest vocabulary
 
@@ -139,8 +139,21 @@ def classifier(name: str, rows: int, width: int, seed: int = 0, max_iter: int |
     raise ValueError(f"unknown model {name}")
 
 
-# an iteration is one pass over all parts: few rows in many parts only cost scheduling
-ROWS_PER_PART = 2000
+def plain_features(df: DataFrame) -> DataFrame:
+    """Column ``features`` without its metadata, one attribute per feature, which every task of a fit would carry."""
+    return df.withColumn("features", F.col("features").alias("features", metadata={}))
+
+
+def training_rows(train: DataFrame) -> DataFrame:
+    """The columns of an estimator, cut from what made them: the tasks of every iteration carry the lineage, which
+    holds the vocabulary and the weight of every term."""
+    return cut_lineage(plain_features(train).select("features", "target", "weight"))
+
+
+# an iteration is one pass over all parts, and each sends a gradient as wide as the features: few rows in many parts
+# cost scheduling, and more parts than cores only shuffle more. The net stacks its rows densely, so it takes fewer at a time.
+ROWS_PER_PART = 10_000
+NET_ROWS_PER_PART = 2000
 MODELS = ["svm_linear", "svm_rbf", "logreg", "nn"]
 
 
@@ -154,10 +167,11 @@ def fit_predict(
         test = fourier_features(test, width, gamma, seed=seed)
     train = balanced_weights(train)
     rows = train.count()
-    parts = rows // ROWS_PER_PART + 1
+    if name == "nn":
+        parts = rows // NET_ROWS_PER_PART + 1
+    else:
+        parts = min(rows // ROWS_PER_PART + 1, train.sparkSession.sparkContext.defaultParallelism)
     if parts < train.rdd.getNumPartitions():
         train = train.repartition(parts, F.xxhash64("features"))
-    train = train.select("features", "target", "weight").persist()
-    model = classifier(name, rows, width, seed, max_iter).fit(train)
-    train.unpersist()
+    model = classifier(name, rows, width, seed, max_iter).fit(training_rows(train))
     return model.transform(test).withColumn("pred", F.col("prediction").cast("int")), model

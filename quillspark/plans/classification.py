@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from quillspark.operators.tfidf import terms_of
 from quillspark.session import cut_lineage
 from quillspark.sources import constants as K
 
+FOLDS_AT_ONCE = 4  # an iteration is a short job, so folds share the cores
+
 
 @dataclass(frozen=True)
 class Task:
@@ -70,12 +74,13 @@ def train_models(
     rows = prepare(task, posts).persist()
     fit = lambda d: models.fit_features(d, "terms", task.numeric, task.min_df, task.max_features)
     shared = fit(rows) if leaky else None
-    parts = []
-    for fold in range(folds):
+
+    def run(fold: int) -> list[DataFrame]:
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         features = shared or fit(train)
         width = models.width_of(features, task.numeric)
-        train, test = features.transform(train), features.transform(test)
+        train, test = (models.plain_features(features.transform(d)) for d in (train, test))
+        parts = []
         for name in names:
             predicted, _ = models.fit_predict(name, train, test, width, seed, task.max_iter)
             parts.append(
@@ -84,7 +89,12 @@ def train_models(
                     F.col("target").alias("y"), "pred",
                 )
             )
-    result = cut_lineage(reduce(DataFrame.unionByName, parts))
+        return parts
+
+    # the net's weights are wide, so its folds take turns
+    with ThreadPool(1 if "nn" in names else min(FOLDS_AT_ONCE, folds)) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(run), range(folds))
+    result = cut_lineage(reduce(DataFrame.unionByName, sum(parts, [])))
     rows.unpersist()
     return result
 
@@ -102,7 +112,7 @@ def train_best_model(
     rows = prepare(task, posts).persist()
     features = models.fit_features(rows, "terms", task.numeric, task.min_df, task.max_features)
     width = models.width_of(features, task.numeric)
-    train = models.balanced_weights(features.transform(rows))
+    train = models.training_rows(models.balanced_weights(features.transform(rows)))
     model = models.classifier(name, rows.count(), width, seed, task.max_iter).fit(train)
     rows.unpersist()
     return PipelineModel([*features.stages, model]), width

@@ -96,6 +96,26 @@ def test_train_evaluate_save_predict(spark, tmp_path):
     assert leaky.count() == 60
 
 
+def test_estimators_read_rows_without_vocabulary(spark, monkeypatch):
+    """Every task of a fit carries the schema and the lineage of its rows."""
+    seen, real = [], models.classifier
+
+    class Spy:
+        def __init__(self, *args):
+            self.inner = real(*args)
+
+        def fit(self, train):
+            seen.append((train.schema["features"].metadata, train._jdf.queryExecution().toString()))
+            return self.inner.fit(train)
+
+    monkeypatch.setattr(models, "classifier", Spy)
+    task = C.Task(max_iter=2)
+    C.train_models(task, posts(spark, 20), ["logreg", "svm_rbf"], folds=2, seed=1)
+    C.train_best_model(task, posts(spark, 20), "logreg")
+    assert len(seen) == 5
+    assert all(metadata == {} and "UDF" not in plan for metadata, plan in seen)
+
+
 def test_feature_weights_match_the_long_form(spark):
     from quillspark.operators import tfidf as D
 
