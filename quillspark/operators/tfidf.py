@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.let import let
-from quillspark.functions.rows import each
-from quillspark.operators.ngrams import word_grams
+from quillspark.functions.rows import each_struct
+from quillspark.operators.ngrams import window_starts, word_grams
 from quillspark.operators.scale import global_index, lookup_join
 
 SORT_LIMIT = 100_000
@@ -32,9 +32,31 @@ def terms_of(text: Column, stopwords: Sequence[str] = (), bigrams: bool = False)
 def term_frequencies(
     df: DataFrame, key: str, text: str, stopwords: Sequence[str] = (), bigrams: bool = False
 ) -> DataFrame:
-    """(key, term, tf)."""
-    terms = each(df, terms_of(F.col(text), stopwords, bigrams), "term", key)
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf). The texts of a key meet in one row, where their terms are counted: a shuffle carries texts,
+    not terms, and what follows per key needs no other."""
+    texts = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
+    terms = F.flatten(F.transform("_texts", lambda t: terms_of(t, stopwords, bigrams)))
+    return each_struct(texts, tallies(terms), "term", key)
+
+
+def tallies(terms: Column) -> Column:
+    """Structs (term, tf) of the distinct elements of an array: the runs of the sorted array."""
+    def runs(s: Column) -> Column:
+        first = F.transform(
+            window_starts(F.size(s), 1), lambda i: F.when((i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)), i)
+        )
+        return let(
+            F.filter(first, lambda i: i.isNotNull()),
+            lambda begin: F.transform(
+                begin,
+                lambda i, k: F.struct(
+                    F.get(s, i - 1).alias("term"),
+                    (F.coalesce(F.get(begin, k + 1), F.size(s) + 1) - i).cast("long").alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(terms), runs)
 
 
 def fit(
@@ -59,9 +81,12 @@ def fit(
     return stats.select("term", "df", "total", idf.alias("idf"))
 
 
-def transform(tf: DataFrame, fitted: DataFrame, key: str) -> DataFrame:
-    """L2-normalised weights under a fitted vocabulary; terms outside it drop out."""
-    looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"])
+def transform(tf: DataFrame, fitted: DataFrame, key: str, small: bool = False) -> DataFrame:
+    """L2-normalised weights under a fitted vocabulary; terms outside it drop out. A ``small`` vocabulary is broadcast."""
+    if small:
+        looked = tf.join(F.broadcast(fitted.select("term", "idf")), "term")
+    else:
+        looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"])
     raw = looked.where(F.col("idf").isNotNull()).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_raw")
     )
@@ -82,4 +107,4 @@ def fit_transform(
     """Weights of the corpus and the fitted vocabulary."""
     tf = term_frequencies(df, key, text, stopwords, bigrams)
     fitted = fit(df, tf, key, min_df, max_features)
-    return transform(tf, fitted, key), fitted
+    return transform(tf, fitted, key, max_features is not None and max_features <= SORT_LIMIT), fitted

@@ -71,6 +71,20 @@ def test_tfidf(spark):
     assert [(r.term, r.weight) for r in out] == [("cat", 1.0)]
 
 
+def test_terms_are_counted_in_their_row(spark):
+    """Texts of one key count together, and only texts and one row per distinct term and task are shuffled."""
+    rows = [(0, "bb aa bb"), (0, "aa cc"), (1, None), (2, ""), (None, "aa aa"), (3, "bb")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    tf = D.term_frequencies(df, "doc_id", "text")
+    got = {(r.doc_id, r.term): r.tf for r in tf.collect()}
+    assert got == {(0, "aa"): 2, (0, "bb"): 2, (0, "cc"): 1, (None, "aa"): 2, (3, "bb"): 1} and tf.count() == 5
+    plan = tf._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(doc_id") == plan.count("Exchange") == 1 and ", term#" not in plan.split("Exchange")[1][:60]
+    weights, _ = D.fit_transform(df, bigrams=True, max_features=3)
+    assert "SortMergeJoin" not in weights._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.term): round(r.weight, 6) for r in weights.collect()}[3, "bb"] == 1.0
+
+
 def test_vocabulary_cap_paths_agree(spark, monkeypatch):
     df = spark.createDataFrame([(0, "aa bb bb cc cc cc dd")], "doc_id int, text string")
     tf = D.term_frequencies(df, "doc_id", "text")
