@@ -134,6 +134,7 @@ def lookup_join(
     spread: Sequence[str],
     share: float = HOT_SHARE,
     total: Column | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``lookup`` (unique on string ``keys``) without a hot partition.
 
@@ -141,6 +142,8 @@ def lookup_join(
     ``1/share`` rows, so that part is broadcast. Rows answered by it, and rows with
     a null key, are spread over the partitions of the second join by a hash of their
     ``spread`` columns instead of meeting on their key. ``total`` may be given where it is known.
+    ``hint`` is Spark's join hint for the second join: ``shuffle_hash`` spares sorting ``left`` where a partition
+    of the lookup fits a task's memory.
     """
     keys, values = list(keys), list(values)
     if total is None:
@@ -165,6 +168,7 @@ def lookup_join(
     rest = lookup.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_cv_{v}") for v in values]
     )
+    rest = rest.hint(hint) if hint else rest
     cond = F.col("_key") == F.col(f"_c_{first}")
     for k in keys[1:]:
         cond = cond & (F.col(k) == F.col(f"_c_{k}"))

@@ -86,7 +86,8 @@ def transform(tf: DataFrame, fitted: DataFrame, key: str, small: bool = False) -
     if small:
         looked = tf.join(F.broadcast(fitted.select("term", "idf")), "term")
     else:
-        looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"])
+        # a partition of the vocabulary is far smaller than the terms that ask it, which need no sort then
+        looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"], hint="shuffle_hash")
     raw = looked.where(F.col("idf").isNotNull()).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_raw")
     )

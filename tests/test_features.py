@@ -85,6 +85,14 @@ def test_terms_are_counted_in_their_row(spark):
     assert {(r.doc_id, r.term): round(r.weight, 6) for r in weights.collect()}[3, "bb"] == 1.0
 
 
+def test_whole_vocabulary_is_joined_without_sorting_terms(spark):
+    df = spark.createDataFrame([(0, "aa bb bb"), (1, "bb cc")], "doc_id int, text string")
+    weights, _ = D.fit_transform(df)
+    assert {(r.doc_id, r.term): round(r.weight, 3) for r in weights.collect()}[0, "bb"] == 0.818
+    plan = weights._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan
+
+
 def test_vocabulary_cap_paths_agree(spark, monkeypatch):
     df = spark.createDataFrame([(0, "aa bb bb cc cc cc dd")], "doc_id int, text string")
     tf = D.term_frequencies(df, "doc_id", "text")
