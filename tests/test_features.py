@@ -85,7 +85,9 @@ def test_terms_are_counted_in_their_row(spark):
     assert {(r.doc_id, r.term): round(r.weight, 6) for r in weights.collect()}[3, "bb"] == 1.0
 
 
-def test_whole_vocabulary_is_joined_without_sorting_terms(spark):
+def test_whole_vocabulary_is_joined_without_sorting_terms(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a vocabulary that is not small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     df = spark.createDataFrame([(0, "aa bb bb"), (1, "bb cc")], "doc_id int, text string")
     weights, _ = D.fit_transform(df)
     assert {(r.doc_id, r.term): round(r.weight, 3) for r in weights.collect()}[0, "bb"] == 0.818
