@@ -84,12 +84,12 @@ def split_space(text: Column) -> Column:
 
 
 def split_space_nonempty(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda t: t != "")
+    return F.array_remove(F.split(text, " "), "")
 
 
 def split_white(text: Column) -> Column:
     """Split on runs of white space; empty tokens go."""
-    return F.filter(F.split(text, SPACE + "+"), lambda t: t != "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
 def split_each_white(text: Column) -> Column:

@@ -27,6 +27,33 @@ def _glue(parts: Column, start: Column, n: int, sep: str) -> Column:
     return F.concat_ws(sep, *[F.get(parts, start + F.lit(k - 1)) for k in range(n)])
 
 
+def runs_of(df: DataFrame, tokens: Column, n: int) -> DataFrame:
+    """Columns w1..wn: one row per run of ``n`` tokens, which are never null. The array is zipped with itself, so that a
+    run costs no lambda; rows beyond the last run have a null ``wn``."""
+    rows = df.select(tokens.alias("_t"))
+    shifted = [F.col("_t"), *[F.slice("_t", k, F.greatest(F.size("_t") - F.lit(k - 1), F.lit(0))) for k in range(2, n + 1)]]
+    names = [f"w{k}" for k in range(1, n + 1)]
+    return rows.select(F.inline_outer(F.arrays_zip(*shifted))).toDF(*names).where(F.col(names[-1]).isNotNull())
+
+
+def gram_counts(df: DataFrame, tokens: Column, n: int, keep: Column | None = None) -> DataFrame:
+    """(gram, n) of every run of ``n`` tokens that ``keep``, a condition on w1..wn, lets pass. Tokens hold no space and
+    are not empty, so a gram is one string in the shuffle and can be cut again."""
+    rows = runs_of(df, tokens, n)
+    rows = rows if keep is None else rows.where(keep)
+    gram = F.concat_ws(" ", *[F.col(f"w{k}") for k in range(1, n + 1)])
+    return rows.select(gram.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_word(gram: Column) -> Column:
+    return F.substring_index(gram, " ", -1)
+
+
+def before_last(gram: Column) -> Column:
+    """The gram less its last word and the space before it."""
+    return F.substring(gram, F.lit(1), F.length(gram) - F.length(last_word(gram)) - 1)
+
+
 def word_grams(tokens: Column, n: int) -> Column:
     """Space-joined runs of ``n`` tokens; null when there are fewer."""
     return let(tokens, lambda t: F.transform(window_starts(F.size(t), n), lambda i: _glue(t, i, n, " ")))
@@ -63,7 +90,7 @@ def count_items(df: DataFrame, items: Column, item: str, out: str = "n") -> Data
 
 
 def word_ngram_counts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    return count_items(docs, word_grams(T.split_space_nonempty(F.col(text)), n), "gram")
+    return gram_counts(docs, T.split_space_nonempty(F.col(text)), n)
 
 
 def char_ngram_counts(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
@@ -143,23 +170,15 @@ def trigram_continuations(
     docs: DataFrame, stopwords: Sequence[str] = (), text: str = "text"
 ) -> DataFrame:
     """(w1, w2) -> counts of the next word, from trigrams without pads."""
-    tokens = F.filter(T.words_and_marks(F.lower(F.col(text))), lambda t: t != ".")
-    triples = let(
-        tokens,
-        lambda t: F.transform(
-            window_starts(F.size(t), 3),
-            lambda i: F.struct(
-                F.get(t, i - 1).alias("w1"), F.get(t, i).alias("w2"), F.get(t, i + 1).alias("w3")
-            ),
-        ),
-    )
-    grams = each_struct(docs, triples, "w3")
+    tokens = F.array_remove(T.words_and_marks(F.lower(F.col(text))), ".")
+    keep = None
     if stopwords:
         stop = list(stopwords)
-        grams = grams.where(
-            ~F.col("w1").isin(*stop) | ~F.col("w2").isin(*stop) | ~F.col("w3").isin(*stop)
-        )
-    return grams.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("n"))
+        keep = ~F.col("w1").isin(*stop) | ~F.col("w2").isin(*stop) | ~F.col("w3").isin(*stop)
+    gram = F.col("gram")
+    return gram_counts(docs, tokens, 3, keep).select(
+        F.substring_index(gram, " ", 1).alias("w1"), last_word(before_last(gram)).alias("w2"), last_word(gram).alias("w3"), "n"
+    )
 
 
 def top_successors(continuations: DataFrame, k: int) -> DataFrame:

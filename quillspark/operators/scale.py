@@ -111,6 +111,13 @@ def spread_scan(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() > cores else df.repartition(2 * cores, key)
 
 
+def spread_texts(df: DataFrame, key: str, pieces: int = 8) -> DataFrame:
+    """Hash-partition a scan into ``pieces`` parts a split, at least two a core. A task that counts grams holds far more
+    than its texts, and what it cannot hold is written and sorted; moving the texts costs less than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(2 * cores, pieces * df.rdd.getNumPartitions()), key)
+
+
 def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into a fixed number of parts.
 

@@ -19,7 +19,7 @@ from quillspark.functions.let import let
 from quillspark.functions.rows import each_struct
 from quillspark.operators import ngrams as N
 from quillspark.operators.scale import lookup_join, md5_rank, running_total
-from quillspark.session import cut_lineage
+from quillspark.session import cut_lineage, written
 
 START = "\u0002"
 
@@ -60,18 +60,22 @@ def fit(
     """Count grams of every document. ``keep`` writes the counts to the shared folder, which pays
     when the model is used by several jobs."""
     n = 3 if n < 1 else n
-    units = N.characters(F.col(text)) if chars else T.split_space_nonempty(F.col(text))
-    sep = "" if chars else " "
-    pairs = each_struct(docs, N.context_grams(units, n, sep), "last")
-    counted = pairs.groupBy("ctx", "last").agg(F.count(F.lit(1)).alias("n"))
-    gram = F.col("last") if n == 1 else F.concat("ctx", F.lit(sep), "last")
-    grams = counted.select(gram.alias("gram"), "ctx", "last", "n")
-    counted = None
+    if chars:
+        pairs = each_struct(docs, N.context_grams(N.characters(F.col(text)), n, ""), "last")
+        counted = pairs.groupBy("ctx", "last").agg(F.count(F.lit(1)).alias("n"))
+        grams = counted.select(F.concat("ctx", "last").alias("gram"), "ctx", "last", "n")
+    else:
+        grams = N.word_ngram_counts(docs, n, text)
+    sizes = None
     if keep:
-        grams = cut_lineage(grams)
+        grams = written(grams, "grams")
         row = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        counted = (row[0], row[1])
-    return LanguageModel(n, chars, grams, N.clean_term_counts(docs, text), counted)
+        sizes = (row[0], row[1])
+    if not chars:
+        gram = F.col("gram")
+        ctx = N.before_last(gram) if n > 1 else F.lit("")
+        grams = grams.select("gram", ctx.alias("ctx"), N.last_word(gram).alias("last"), "n")
+    return LanguageModel(n, chars, grams, N.clean_term_counts(docs, text), sizes)
 
 
 def _prefix_rows(lm: LanguageModel, k: Column) -> Column:

@@ -174,3 +174,26 @@ def test_continued_walks_and_their_ends(spark):
     assert got == {("a", "b"): ["c", "d"], ("c", "d"): [], ("x", "y"): ["x", "y"] * 2 + ["x"], ("", ""): []}
     empty = {(r.w1, r.w2): r.words for r in N.continued(pairs, table.limit(0), 1, 2).collect()}
     assert set(empty) == set(got) and not any(empty.values())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_grams_are_counted_by_one_string(spark):
+    docs = spark.createDataFrame([("a b c d",), ("a  b c.",), ("x y",), ("",), (None,)], "text string")
+    for df in (L.fit(docs, 3).grams, N.trigram_continuations(docs), N.word_ngram_counts(docs, 3)):
+        plan = plan_of(df)
+        assert "lambdafunction" not in plan and "hashpartitioning(gram" in plan
+    assert {tuple(r) for r in L.fit(docs, 3).grams.collect()} == {
+        ("a b c", "a b", "c", 1), ("b c d", "b c", "d", 1), ("a b c.", "a b", "c.", 1)
+    }
+    assert {tuple(r) for r in L.fit(docs, 1).grams.where("last = 'b'").collect()} == {("b", "", "b", 2)}
+    pairs = {tuple(r) for r in N.trigram_continuations(docs).collect()}
+    assert pairs == {("a", "b", "c", 2), ("b", "c", "d", 1)}
+
+
+def test_kept_counts_are_a_compressed_table(spark):
+    docs = spark.createDataFrame([("a b c d",)], "text string")
+    plan = plan_of(L.fit(docs, 3, keep=True).grams)
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan

@@ -71,3 +71,10 @@ def test_null_keys_do_not_meet(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_texts_are_dealt_out_by_their_splits(spark):
+    df = spark.range(0, 100, 1, 20)
+    assert S.spread_scan(df, "id").rdd.getNumPartitions() == 20
+    assert S.spread_texts(df, "id").rdd.getNumPartitions() == 160
+    assert sorted(r.id for r in S.spread_texts(df, "id").collect()) == list(range(100))
