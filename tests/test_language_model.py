@@ -197,3 +197,32 @@ def test_kept_counts_are_a_compressed_table(spark):
     docs = spark.createDataFrame([("a b c d",)], "text string")
     plan = plan_of(L.fit(docs, 3, keep=True).grams)
     assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+
+
+def test_draws_order_only_what_is_asked_for(spark, lm):
+    asked = spark.createDataFrame([("on the",), ("zz yy",), (None,)], "ctx string")
+    s = L.sampler(lm, asked)
+    assert [(r.ctx, r.total) for r in s.contexts.collect()] == [("on the", 7)]
+    assert {r.gram for r in s.guide.collect()} == {r.gram for r in lm.grams.where("ctx = 'on the'").collect()}
+    # a new or null context draws the gram at that place in the order of the md5
+    from hashlib import md5
+
+    order = sorted((md5(r.gram.encode()).hexdigest(), r.gram, r.last) for r in lm.grams.collect())
+    seeds = spark.createDataFrame([(i, None if i % 2 else "zz yy") for i in range(50)], "k long, ctx string")
+    for r in L.draw_next(lm, seeds, "k", 7, 1).collect():
+        at = int(md5(f"7|{r.k}|1".encode()).hexdigest()[:8], 16) % len(order)
+        assert (r.gram, r.last) == order[at][1:]
+
+
+def test_many_grams_of_a_context_are_summed_in_buckets(spark, lm, monkeypatch):
+    expected = {tuple(r) for r in L.sampler(lm).guide.collect()}
+    monkeypatch.setattr(L, "HOT_GRAMS", 1)
+    assert {tuple(r) for r in L.sampler(lm).guide.collect()} == expected
+
+
+def test_prefixes_of_the_asked_sizes_only(spark, lm):
+    wanted = spark.createDataFrame([("on the",), ("the c",)], "prefix string")
+    assert L._prefixes(lm, wanted).count() == lm.counted[0]
+    subs = spark.createDataFrame([("",), ("sat",), ("zz",), ("a  b",)], "sub string")
+    got = {r.sub: r.tf for r in L.prefix_frequency(lm, subs).collect()}
+    assert got[""] == 37 and got["sat"] == 5 and got["zz"] == pytest.approx(1 / (37 + 27))
