@@ -226,3 +226,23 @@ def test_prefixes_of_the_asked_sizes_only(spark, lm):
     subs = spark.createDataFrame([("",), ("sat",), ("zz",), ("a  b",)], "sub string")
     got = {r.sub: r.tf for r in L.prefix_frequency(lm, subs).collect()}
     assert got[""] == 37 and got["sat"] == 5 and got["zz"] == pytest.approx(1 / (37 + 27))
+
+
+def test_a_step_draws_for_the_pairs_reached(spark, monkeypatch):
+    table = spark.createDataFrame(
+        [("a", "b", "c", 1), ("b", "c", "d", 1), ("x", "y", "z", 1), ("x", "y", "q", 9)], "w1 string, w2 string, w3 string, n long"
+    )
+    asked = []
+    drawn = N._drawn
+
+    def counted(rows, seed, steps):
+        asked.append(rows.count())
+        return drawn(rows, seed, steps)
+
+    monkeypatch.setattr(N, "_drawn", counted)
+    pairs = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
+    assert N.continued(pairs, table, 1, 4).first().words == ["c", "d"]
+    assert asked == [1, 1, 0, 0]
+    monkeypatch.undo()
+    steps = N.drawn_successors(table, 5, 3).where("w1 = 'x'").first().drawn
+    assert [N._drawn(table, 5, [s]).where("w1 = 'x'").first().drawn[0] for s in range(3)] == steps
