@@ -211,3 +211,19 @@ def test_model_first_equals_full_scoring(spark, checker, wide):
 
 def hash_of(text):
     return sum(ord(c) * (i + 3) for i, c in enumerate(text))
+
+
+def test_strings_that_no_term_asks_for_are_dropped_before_the_join(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import spelling as S
+
+    rows = spark.range(20000).select(F.xxhash64("id").alias("k"), "id")
+    others = rows.where("id % 100 = 0").select(F.col("k").alias("o"))
+    got = [r.id for r in S.known_to(rows, "k", others, "o").collect()]
+    assert set(range(0, 20000, 100)) <= set(got) and len(got) == len(set(got)) < 230
+    assert S.known_to(rows, "k", others.limit(0), "o").count() == 0
+    channel = spark.createDataFrame([("substitution", "ab", 0.5)], "error_type string, key string, p double")
+    terms = spark.createDataFrame([("xax",)], "term string")
+    plan = S.candidates(terms, spark.createDataFrame([("xbx",)], "word string"), channel)._jdf.queryExecution().toString()
+    assert "bit_or" in plan
