@@ -123,8 +123,12 @@ def _ends_sentence(
     """Whether a blank-separated token closes its sentence, judged by itself and the token after it."""
     core = F.regexp_replace(F.lower(token), r"[)\]']+$", "")
     before_starter = F.lower(following).isin(*starters)
+    # most tokens hold no mark and are spared the patterns
+    may_close = F.contains(token, F.lit(".")) | F.contains(token, F.lit("!")) | F.contains(token, F.lit("?"))
     return (
-        F.when(following.isNull() | core.endswith("!") | core.endswith("?"), True)
+        F.when(following.isNull(), True)
+        .when(~may_close, False)
+        .when(core.endswith("!") | core.endswith("?"), True)
         .when(~core.endswith(".") | core.endswith(".."), False)
         .when(core.isin(*[f"{t}." for t in titles], "e.g.", "i.e.") | core.rlike("^[a-z][.]$"), False)
         .when(core.isin(*[f"{s}." for s in suffixes]) | core.rlike("^([a-z]{1,2}[.]){2,}$"), before_starter)
@@ -147,7 +151,9 @@ def sentences(
     """
     final = F.when(text.endswith("."), "").when(text.rlike("[!?]$"), " .").otherwise(".")
     tokens = F.transform(
-        split_white(F.concat(text, final)), lambda t: _sub(t, '([.?!])(["\u201d])$', "$2$1")
+        split_white(F.concat(text, final)),
+        # most tokens end in no quote and are spared the pattern
+        lambda t: F.when(t.endswith('"') | t.endswith("\u201d"), _sub(t, '([.?!])(["\u201d])$', "$2$1")).otherwise(t),
     )
 
     def closing(ts: Column) -> Column:

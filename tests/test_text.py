@@ -65,3 +65,10 @@ def test_stems(spark):
     assert {r.word: r.stem for r in with_stem(df).collect()} == expected
     counts = spark.createDataFrame([("hope", 1), ("hoping", 2), ("run", 4)], "word string, n long")
     assert {r.stem: r.n for r in stem_counts(counts).collect()} == {"hope": 3, "run": 4}
+
+
+def test_tokens_without_a_mark_are_spared_the_patterns(spark):
+    df = spark.createDataFrame([('He said "no." Then (yes!) he left) at 3.5 e.g. now',)], "text string")
+    out = df.select(T.sentences(F.col("text")).alias("s"))
+    assert out.first().s == ['He said "no".', "Then (yes!)", "he left) at 3.5 e.g. now."]
+    assert "contains" in out._jdf.queryExecution().toString().lower()
