@@ -118,6 +118,12 @@ def spread_texts(df: DataFrame, key: str, pieces: int = 8) -> DataFrame:
     return df.repartition(max(2 * cores, pieces * df.rdd.getNumPartitions()), key)
 
 
+def parts_by_rows(df: DataFrame, rows: int = 4000) -> int:
+    """Parts of at most about ``rows`` texts, at least two a core: splits and shuffle partitions grow with the input, or
+    stay as few as they are, so a part of a split does not bound what a task holds."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1)
+
+
 def spread_work(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into a fixed number of parts.
 
@@ -142,6 +148,7 @@ def lookup_join(
     share: float = HOT_SHARE,
     total: Column | None = None,
     hint: str | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``lookup`` (unique on string ``keys``) without a hot partition.
 
@@ -150,7 +157,8 @@ def lookup_join(
     a null key, are spread over the partitions of the second join by a hash of their
     ``spread`` columns instead of meeting on their key. ``total`` may be given where it is known.
     ``hint`` is Spark's join hint for the second join: ``shuffle_hash`` spares sorting ``left`` where a partition
-    of the lookup fits a task's memory.
+    of the lookup fits a task's memory. ``parts`` fixes the partitions of the second join, where Spark would merge them
+    by the bytes moved.
     """
     keys, values = list(keys), list(values)
     if total is None:
@@ -175,6 +183,8 @@ def lookup_join(
     rest = lookup.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_cv_{v}") for v in values]
     )
+    if parts:
+        marked, rest = marked.repartition(parts, "_key"), rest.repartition(parts, f"_c_{first}")
     rest = rest.hint(hint) if hint else rest
     cond = F.col("_key") == F.col(f"_c_{first}")
     for k in keys[1:]:

@@ -11,7 +11,7 @@ from quillspark.functions import text as T
 from quillspark.functions.let import let
 from quillspark.functions.rows import each_struct
 from quillspark.operators.ngrams import window_starts, word_grams
-from quillspark.operators.scale import global_index, lookup_join
+from quillspark.operators.scale import global_index, lookup_join, parts_by_rows
 
 SORT_LIMIT = 100_000
 
@@ -30,11 +30,11 @@ def terms_of(text: Column, stopwords: Sequence[str] = (), bigrams: bool = False)
 
 
 def term_frequencies(
-    df: DataFrame, key: str, text: str, stopwords: Sequence[str] = (), bigrams: bool = False
+    df: DataFrame, key: str, text: str, stopwords: Sequence[str] = (), bigrams: bool = False, parts: int | None = None
 ) -> DataFrame:
     """(key, term, tf). The texts of a key meet in one row, where their terms are counted: a shuffle carries texts,
-    not terms, and what follows per key needs no other."""
-    texts = df.groupBy(key).agg(F.collect_list(text).alias("_texts"))
+    not terms, and what follows per key needs no other. ``parts`` is the number of its partitions (``parts_by_rows``)."""
+    texts = df.repartition(parts or parts_by_rows(df), key).groupBy(key).agg(F.collect_list(text).alias("_texts"))
     terms = F.flatten(F.transform("_texts", lambda t: terms_of(t, stopwords, bigrams)))
     return each_struct(texts, tallies(terms), "term", key)
 
@@ -81,16 +81,22 @@ def fit(
     return stats.select("term", "df", "total", idf.alias("idf"))
 
 
-def transform(tf: DataFrame, fitted: DataFrame, key: str, small: bool = False) -> DataFrame:
-    """L2-normalised weights under a fitted vocabulary; terms outside it drop out. A ``small`` vocabulary is broadcast."""
+def transform(
+    tf: DataFrame, fitted: DataFrame, key: str, small: bool = False, parts: int | None = None
+) -> DataFrame:
+    """L2-normalised weights under a fitted vocabulary; terms outside it drop out. A ``small`` vocabulary is broadcast.
+    ``parts`` is the number of partitions in which terms meet the vocabulary and each other (``parts_by_rows`` of the
+    texts); without it Spark merges them by the bytes moved, of which a sort in memory takes several times as many."""
     if small:
         looked = tf.join(F.broadcast(fitted.select("term", "idf")), "term")
     else:
         # a partition of the vocabulary is far smaller than the terms that ask it, which need no sort then
-        looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"], hint="shuffle_hash")
+        looked = lookup_join(tf, fitted, ["term"], ["idf"], "df", [key, "term"], hint="shuffle_hash", parts=parts)
     raw = looked.where(F.col("idf").isNotNull()).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("_raw")
     )
+    if parts and not small:
+        raw = raw.repartition(parts, key)
     # a window holds one document's terms, which one row of text held before
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("_raw") / norm).alias("weight"))
@@ -106,6 +112,7 @@ def fit_transform(
     max_features: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Weights of the corpus and the fitted vocabulary."""
-    tf = term_frequencies(df, key, text, stopwords, bigrams)
+    parts = parts_by_rows(df)
+    tf = term_frequencies(df, key, text, stopwords, bigrams, parts)
     fitted = fit(df, tf, key, min_df, max_features)
-    return transform(tf, fitted, key, max_features is not None and max_features <= SORT_LIMIT), fitted
+    return transform(tf, fitted, key, max_features is not None and max_features <= SORT_LIMIT, parts), fitted

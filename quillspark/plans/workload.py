@@ -21,7 +21,7 @@ from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
 from quillspark.operators import splits as H
 from quillspark.operators import tfidf as D
-from quillspark.operators.scale import spread_scan, spread_texts, spread_work
+from quillspark.operators.scale import parts_by_rows, spread_scan, spread_texts, spread_work
 from quillspark.plans import classification as C
 from quillspark.plans import language_model as L
 from quillspark.plans import spell_checker as P
@@ -238,8 +238,10 @@ def tfidf_transform(spark, sf):
     docs = documents(spark, sf)
     tf = D.term_frequencies(docs, "doc_id", "text", STOPWORDS)
     fitted = D.fit(docs, tf, "doc_id", min_df=2)
-    unseen = D.term_frequencies(turns(spark, sf), "post_id", "text", STOPWORDS)
-    return D.transform(unseen, fitted, "post_id").select("post_id", "term", F.round("weight", 6).alias("weight"))
+    posts = turns(spark, sf)
+    parts = parts_by_rows(posts)
+    unseen = D.term_frequencies(posts, "post_id", "text", STOPWORDS, parts=parts)
+    return D.transform(unseen, fitted, "post_id", parts=parts).select("post_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _numbers(spark, sf):

@@ -78,3 +78,17 @@ def test_texts_are_dealt_out_by_their_splits(spark):
     assert S.spread_scan(df, "id").rdd.getNumPartitions() == 20
     assert S.spread_texts(df, "id").rdd.getNumPartitions() == 160
     assert sorted(r.id for r in S.spread_texts(df, "id").collect()) == list(range(100))
+
+
+def test_weights_are_joined_and_sorted_in_parts_that_follow_the_texts(spark):
+    """Few texts a part, however few bytes they move: a sort holds several times what was moved."""
+    from quillspark.operators import tfidf
+
+    texts = spark.range(40_000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("each"), F.concat(F.lit("w"), F.col("id") % 900)).alias("text")
+    )
+    weights, _ = tfidf.fit_transform(texts)
+    parts = max(2 * spark.sparkContext.defaultParallelism, 11)
+    assert weights.rdd.getNumPartitions() == parts
+    assert weights.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 80_000 / parts * 2
+    assert weights.count() == 80_000
