@@ -6,7 +6,8 @@ BK-tree of the SimHash fingerprints finds the partners, and no pair is linked wi
 
 1. Tasks hash every text to its set of 5-word shingles and its SimHash. Texts of equal sets are one class from here on.
 2. 25 bands of 5 MinHashes: a pair of similarity 0.8 shares one with probability 0.99995.
-3. Bands that hold the same classes are verified once. The classes of a band meet by one shuffle.
+3. (band, class) is all that is shuffled of every text. Bands that hold the same classes are verified once; only for
+   classes that share a band do the sets of shingles move.
 4. Each band grows a BK-tree of its members' fingerprints. A member follows only edges within ``RADIUS`` bits (pairs of
    0.8 lie about 5 standard deviations inside) and is compared with what it meets by the exact Jaccard similarity of
    the sets, unless the link is already implied. Sets of fewer than ``FEW`` shingles have no steady fingerprint; a band
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as S
 from quillspark.llm.bk_tree import VerifiedTree
-from quillspark.llm.common import content_key, parts, release, stored
+from quillspark.llm.common import content_key, parts, release, small, stored
 from quillspark.llm.components import components
 from quillspark.llm.decontaminate import simhash
 from quillspark.llm.passages import _runs
@@ -107,8 +108,29 @@ def _groups(flat: np.ndarray, ends: np.ndarray, prints: np.ndarray, least: float
     return tree.links
 
 
-def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between classes that span all components of the pairs that share a band and are similar."""
+def shared_bands(dealt: DataFrame) -> DataFrame:
+    """(band, class, n, who, least) of the rows (band, class) whose band holds several classes; the last three name what
+    the band holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "band"):
+            band, kind = (table.column(c).to_numpy() for c in ("band", "class"))
+            at = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
+            n = np.diff(np.append(at, len(band)))
+            who = np.bitwise_xor.reduceat(S.mixed(kind.view(np.uint64)), at).view(np.int64)
+            kept = np.repeat(n > 1, n)
+            columns = [band, kind, *(np.repeat(x, n) for x in (n.astype(np.int64), who, np.minimum.reduceat(kind, at)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[kept]) for c in columns], names=["band", "class", "n", "who", "least"]
+            )
+
+    rows = dealt.repartition("band").sortWithinPartitions("band")
+    return rows.mapInArrow(run, "band long, class long, n long, who long, least long")
+
+
+def links(classes: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between classes that span all components of the pairs that share a band and are similar. ``rows``
+    (class, fp, shingles) are read only for classes that share a band; equal rows of a class are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "band"):
@@ -124,24 +146,24 @@ def links(classes: DataFrame, least: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
         release()
 
-    dealt = classes.select("class", F.explode("bands").alias("band"))
-    members = (
-        dealt.groupBy("band")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("who"), F.min("class").alias("least"))
-        .where("n > 1")
-    )
+    # (band, class) is all that moves of every band; bands of one class, which are most, end there
+    members = stored(shared_bands(classes.select(F.explode("bands").alias("band"), "class")), "shared")
     once = members.groupBy("n", "who", "least").agg(F.min("band").alias("band")).select("band")
-    wanted = stored(dealt.join(stored(once, "shards"), "band"), "members")
-    rows = wanted.join(classes.select("class", "fp", "shingles"), "class").select("band", "class", "fp", "shingles")
+    wanted = stored(members.select("band", "class").join(small(stored(once, "shards")), "band"), "members")
+    asked = small(stored(wanted.select("class").distinct(), "asked"))
+    sets = rows.join(asked, "class", "left_semi").groupBy("class").agg(
+        F.first("fp").alias("fp"), F.first("shingles").alias("shingles")
+    )
+    rows = wanted.join(sets, "class").select("band", "class", "fp", "shingles")
     return rows.repartition("band").sortWithinPartitions("band", "class").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """(id, content, fp, component_id, root) for every row; component_id is the smallest id of its component."""
     rows = stored(sets(docs, text, id), "sets", batch="8m")
-    kinds = rows.groupBy("class").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    classes = stored(kinds, "classes")
-    found = components(links(classes, least))
+    # the sets of shingles are as large as the texts and stay where they are
+    classes = stored(rows.groupBy("class").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "classes")
+    found = components(links(classes, rows.select("class", "fp", "shingles"), least))
     rooted = classes.join(found, F.col("class") == F.col("node"), "left").select(
         "class", "first", F.coalesce("root", "class").alias("root")
     )

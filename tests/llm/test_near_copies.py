@@ -71,3 +71,16 @@ def test_awkward_rows(spark):
         (False, 0), (False, 3), (False, 5), (False, 6), (False, 7), (False, 8), (True, 0),
     ]
     assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_sets_move_only_for_texts_that_share_a_band(spark, monkeypatch):
+    """The sets of shingles are as large as the texts; a table of all classes with their sets moved them once more."""
+    kept, real = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name, **k: kept.setdefault(name, real(df, name, **k)))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " more", texts[0]])], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in N.near_copies(docs).collect()}
+    assert got == {i: 0 if i in (0, 20, 21) else i for i in range(22)}
+    assert "shingles" not in kept["classes"].columns
+    assert kept["asked"].count() == 2  # the text and its near copy; its exact copy is of its class
