@@ -51,6 +51,7 @@ BITMAP_BITS = 25
 
 _EDGE_SLOTS = S.mixed(np.arange(101, EDGE + 101, dtype=np.uint64)) | np.uint64(1)
 _SLOTS = S.mixed(np.arange(1, PARAGRAPH - SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
+BANDED = 1 << 13  # paragraphs whose bands are made at once
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -99,12 +100,13 @@ def around(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def band_keys(inside: np.ndarray) -> np.ndarray:
     """Keys (paragraphs x bands) from the MinHashes of the shingles of each paragraph."""
-    least = np.stack([(inside * s).min(axis=1) for s in _SEEDS], axis=1)
+    turned = np.ascontiguousarray(inside.T)
+    least = [(turned * s).min(axis=0) for s in _SEEDS]
     out = np.empty((len(inside), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(inside), b + 1, np.uint64)
         for r in range(ROWS):
-            key = S.mixed(key + least[:, b * ROWS + r])
+            key = S.mixed(key + least[b * ROWS + r])
         out[:, b] = key
     return out
 
@@ -125,14 +127,20 @@ def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, bands, held, count = [], [], [], 0
             for body, tag in zip(batch.column("text"), batch.column("doc").to_pylist(), strict=True):
                 _, keys, inside, _ = paragraphs(body.as_py())
                 keys, first = np.unique(keys, return_index=True)  # once per document
-                found.append((keys, band_keys(inside[first]), np.full(len(keys), tag, np.int32)))
+                found.append((keys, np.full(len(keys), tag, np.int32)))
+                held.append(inside[first])
+                count += len(keys)
+                if count >= BANDED:  # a text has few paragraphs, and the calls cost more than they
+                    bands.append(band_keys(np.concatenate(held)))
+                    held, count = [], 0
             if not found:
                 continue
-            keys, bands, tags = (np.concatenate(x) for x in zip(*found, strict=True))
+            bands = np.concatenate([*bands, *([band_keys(np.concatenate(held))] if held else [])])
+            keys, tags = (np.concatenate(x) for x in zip(*found, strict=True))
             keys, first, n = np.unique(keys, return_index=True, return_counts=True)
             tags = np.where(n > 1, np.int32(0), tags[first])
             yield pa.RecordBatch.from_arrays(

@@ -153,3 +153,28 @@ def test_anchors_are_the_smallest_of_every_window():
         for hashes in (rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 5, 500, dtype=np.uint64) << np.uint64(40)):
             want = np.unique([i + hashes[i : i + size].argmin() for i in range(500 - size + 1)])
             assert (P.anchors(hashes, size) == want).all()
+
+
+def test_band_keys_are_made_for_many_texts_at_once(monkeypatch):
+    """A text has few paragraphs, so a call for each costs more than the paragraphs; the rows are those of each text."""
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    docs, calls, real = MagicMock(), [], P.band_keys
+    monkeypatch.setattr(P, "F", MagicMock())
+    monkeypatch.setattr(P, "content_key", MagicMock())
+    monkeypatch.setattr(P, "band_keys", lambda inside: calls.append(len(inside)) or real(inside))
+    P.band_rows(docs, "text", "doc_id")
+    run = docs.select.return_value.mapInArrow.call_args.args[0]
+    texts = ["", *(" ".join(f"w{i}x{k}" for k in range(80)) for i in range(40))]
+    columns = [pa.array(texts), pa.array(range(1, 42), pa.int32())]
+    (rows,) = run(iter([pa.RecordBatch.from_arrays(columns, names=["text", "doc"])]))
+    assert len(calls) == 1
+    got = set(zip(*(rows.column(c).to_numpy().tolist() for c in ("band", "key", "doc")), strict=True))
+    want = set()
+    for tag, body in enumerate(texts, 1):
+        _, keys, inside, _ = P.paragraphs(body)
+        for key, bands in zip(keys.view(np.int64).tolist(), real(inside).view(np.int64).tolist(), strict=True):
+            want |= {(band, key, tag) for band in bands}
+    assert got == want
