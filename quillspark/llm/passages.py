@@ -29,7 +29,8 @@ document and comes last; passages that repeat inside one document only are not r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ BITMAP_BITS = 25
 
 _EDGE_SLOTS = S.mixed(np.arange(101, EDGE + 101, dtype=np.uint64)) | np.uint64(1)
 _SLOTS = S.mixed(np.arange(1, PARAGRAPH - SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
-BANDED = 1 << 13  # paragraphs whose bands are made at once
+_HELD = np.uint64((1 << 24) - 1)
+BLOCK = 1 << 16  # bytes of text, so that the arrays of a call stay in a cache
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -59,43 +61,101 @@ def _windows(x: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(x, size)
 
 
+def _smallest(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Place of the smallest hash, the first of equal ones, of every ``size`` places in a row."""
+    if len(hashes) > _HELD:
+        return _windows(hashes, size).argmin(axis=1) + np.arange(len(hashes) - size + 1)
+    least, width = _placed(hashes), 1
+    while 2 * width <= size:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < size:
+        least = np.minimum(least[: len(least) - (size - width)], least[size - width :])
+    return (least & _HELD).astype(np.int64)
+
+
+def _placed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes with their places in the low bits; of those equal in 40 bits, the first is the smallest."""
+    return (hashes & ~_HELD) | np.arange(len(hashes), dtype=np.uint64)
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Values that never go back, each once."""
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def anchors(hashes: np.ndarray, size: int) -> np.ndarray:
     """Places of the smallest hash, the first of equal ones, of every ``size`` places in a row."""
-    held = np.uint64((1 << 24) - 1)
-    if len(hashes) > held:
-        found = _windows(hashes, size).argmin(axis=1) + np.arange(len(hashes) - size + 1)
-    else:
-        least, width = (hashes & ~held) | np.arange(len(hashes), dtype=np.uint64), 1  # equal in 40 bits: the first
-        while 2 * width <= size:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < size:
-            least = np.minimum(least[: len(least) - (size - width)], least[size - width :])
-        found = (least & held).astype(np.int64)
-    return found[np.concatenate(([True], found[1:] != found[:-1]))]  # they never go back
+    return _once(_smallest(hashes, size))
+
+
+class Block(NamedTuple):
+    """Paragraphs of some texts, in order of text and place."""
+
+    of: np.ndarray  # the text of each
+    starts: np.ndarray  # its first word, counted in its text
+    at: np.ndarray  # the same, counted in ``words``
+    left: np.ndarray  # number of words after it in its text
+    keys: np.ndarray
+    inside: np.ndarray  # its shingle hashes, one row each
+    words: np.ndarray  # hashes of the words of all texts
+
+
+def block(texts: list[bytes], number: int = 0) -> Block:
+    """Paragraphs of lower-cased texts, which are numbered from ``number``."""
+    per = PARAGRAPH - SHINGLE + 1
+    data = b" ".join(texts)
+    begins, ends = S.word_spans(data)
+    words = S.word_hashes(data, begins, ends)
+    bounds = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    hashes = S.shingle_hashes(words, SHINGLE)  # those over the end of a text are not used
+    first, room = bounds[:-1], np.diff(bounds) - PARAGRAPH + 1
+    count = np.maximum(room - ANCHORS + 1, 0)
+    at = np.zeros(0, np.int64)
+    if count.any():
+        rows = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        at = _once(_smallest(hashes, ANCHORS)[rows])
+    if len(short := np.flatnonzero((room > 0) & (count == 0))):  # a short text has fewer places to choose from
+        sides = np.stack([first[short], first[short] + room[short]], axis=1).ravel()
+        least = np.minimum.reduceat(_placed(hashes), sides)[::2] & _HELD
+        at = np.sort(np.concatenate((at, least.astype(np.int64))))
+    of = np.searchsorted(bounds, at, side="right") - 1
+    inside = _windows(hashes, per)[at] if len(at) else np.zeros((0, per), np.uint64)
+    left = bounds[of + 1] - at - PARAGRAPH
+    return Block(of + number, at - bounds[of], at, left, S.mixed(inside @ _SLOTS), inside, words)
+
+
+def blocks(texts: Iterable[pa.StringScalar]) -> Iterator[Block]:
+    """Paragraphs of all texts, of about BLOCK bytes at once: most texts are short, and the calls would cost more than
+    their words. A longer text comes alone."""
+    number, held, size = 0, [], 0
+    for i, body in enumerate(texts):
+        data = (body.as_py() or "").lower().encode()
+        if held and size + len(data) > BLOCK:
+            yield block(held, number)
+            number, held, size = i, [], 0
+        held.append(data)
+        size += len(data) + 1
+    if held:
+        yield block(held, number)
 
 
 def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First words, keys and shingle hashes (one row each) of the paragraphs of one text; hashes of its words."""
-    per = PARAGRAPH - SHINGLE + 1
-    data = (text or "").lower().encode()
-    words = S.word_hashes(data, *S.word_spans(data))
-    hashes = S.shingle_hashes(words, SHINGLE)
-    count = len(hashes) - per + 1
-    if count <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, per), np.uint64), words
-    starts = anchors(hashes[:count], min(ANCHORS, count))  # a short text has fewer places to choose from
-    inside = _windows(hashes, per)[starts]
-    return starts, S.mixed((inside * _SLOTS).sum(axis=1)), inside, words
-
-
-def around(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the up to EDGE words before and after each paragraph (2 x paragraphs x EDGE), the nearest first, zero
+    found = block([(text or "").lower().encode()])
+    return found.starts, found.keys, found.inside, found.words
+
+
+def around(x: Block, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the up to EDGE words before and after some paragraphs (2 x paragraphs x EDGE), the nearest first, zero
     beyond the text; one key for each side of a paragraph (2 x paragraphs)."""
-    none, step = np.zeros(EDGE, np.uint64), np.arange(EDGE)
-    at = np.stack([starts[:, None] + EDGE - 1 - step, starts[:, None] + EDGE + PARAGRAPH + step])
-    found = np.concatenate((none, words, none))[at]
-    return found, S.mixed((found * _EDGE_SLOTS).sum(axis=2))
+    none, at = np.zeros(EDGE, np.uint64), x.at[rows]
+    runs = _windows(np.concatenate((none, x.words, none)), EDGE)
+    found = np.stack([runs[at][:, ::-1], runs[at + EDGE + PARAGRAPH]])
+    for side, n in zip(found, (x.starts[rows], x.left[rows]), strict=True):
+        near = np.flatnonzero(n < EDGE)
+        side[near] *= np.arange(EDGE) < n[near, None]
+    return found, S.mixed(found @ _EDGE_SLOTS)
 
 
 def band_keys(inside: np.ndarray) -> np.ndarray:
@@ -127,20 +187,18 @@ def band_rows(docs: DataFrame, text: str, id: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, bands, held, count = [], [], [], 0
-            for body, tag in zip(batch.column("text"), batch.column("doc").to_pylist(), strict=True):
-                _, keys, inside, _ = paragraphs(body.as_py())
-                keys, first = np.unique(keys, return_index=True)  # once per document
-                found.append((keys, np.full(len(keys), tag, np.int32)))
-                held.append(inside[first])
-                count += len(keys)
-                if count >= BANDED:  # a text has few paragraphs, and the calls cost more than they
-                    bands.append(band_keys(np.concatenate(held)))
-                    held, count = [], 0
+            tags, found = batch.column("doc").to_numpy(), []
+            for x in blocks(batch.column("text")):
+                order = np.argsort(x.keys, kind="stable")
+                keys, of = x.keys[order], x.of[order]
+                if not len(keys):
+                    continue
+                at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                one = of[at] == of[np.append(at[1:], len(of)) - 1]  # the texts of a key ascend
+                found.append((keys[at], np.where(one, tags[of[at]], np.int32(0)), band_keys(x.inside[order[at]])))
             if not found:
                 continue
-            bands = np.concatenate([*bands, *([band_keys(np.concatenate(held))] if held else [])])
-            keys, tags = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys, tags, bands = (np.concatenate(x) for x in zip(*found, strict=True))
             keys, first, n = np.unique(keys, return_index=True, return_counts=True)
             tags = np.where(n > 1, np.int32(0), tags[first])
             yield pa.RecordBatch.from_arrays(
@@ -196,21 +254,24 @@ def places(docs: DataFrame, text: str, id: str, wanted: DataFrame, several: Data
         known, compared = tables.value
         for batch in batches:
             at, start, key, inside, sizes, edges, room = [], [], [], [], [], [], []
-            for i, body in enumerate(batch.column("text")):
-                starts, keys, hashes, words = paragraphs(body.as_py())
-                hit = np.flatnonzero(S.holds(known, keys))
+            for x in blocks(batch.column("text")):
+                hit = np.flatnonzero(S.holds(known, x.keys))
                 if not len(hit):
                     continue
+                maybe = np.flatnonzero(S.holds(compared, x.keys[hit]))
+                maybe = maybe[np.lexsort((x.keys[hit[maybe]], x.of[hit[maybe]]))]
+                texts, keys = x.of[hit[maybe]], x.keys[hit[maybe]]
+                first = np.ones(len(maybe), bool)
+                first[1:] = (texts[1:] != texts[:-1]) | (keys[1:] != keys[:-1])
                 with_set = np.zeros(len(hit), bool)
-                with_set[np.unique(keys[hit], return_index=True)[1]] = True
-                with_set &= S.holds(compared, keys[hit])
-                at.append(np.full(len(hit), i))
-                start.append(starts[hit])
-                key.append(keys[hit])
-                inside.append((hashes[hit[with_set]].ravel() >> np.uint64(32)).astype(np.uint32))
-                sizes.append(with_set * hashes.shape[1])
-                edges.append(around(words, starts[hit])[1])
-                room.append(np.minimum(len(words) - PARAGRAPH - starts[hit], EDGE))
+                with_set[maybe[first]] = True
+                at.append(x.of[hit])
+                start.append(x.starts[hit])
+                key.append(x.keys[hit])
+                inside.append((x.inside[hit[with_set]].ravel() >> np.uint64(32)).astype(np.uint32))
+                sizes.append(with_set * x.inside.shape[1])
+                edges.append(around(x, hit)[1])
+                room.append(np.minimum(x.left[hit], EDGE))
             if not at:
                 continue
             at = pa.array(np.concatenate(at))
@@ -246,9 +307,9 @@ def edges(docs: DataFrame, text: str, asked: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             content = batch.column("content").to_numpy().view(np.uint64)
             keys, words = [], []
-            for i in np.flatnonzero(S.holds(texts, content)).tolist():
-                starts, _, _, hashes = paragraphs(batch.column("text")[i].as_py())
-                found, edge = around(hashes, starts)
+            asked = pa.array(np.flatnonzero(S.holds(texts, content)))
+            for x in blocks(batch.column("text").take(asked)):
+                found, edge = around(x, np.arange(len(x.at)))
                 hit = S.holds(sides, edge)
                 keys.append(edge[hit])
                 words.append(found[hit])

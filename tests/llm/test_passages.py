@@ -178,3 +178,37 @@ def test_band_keys_are_made_for_many_texts_at_once(monkeypatch):
         for key, bands in zip(keys.view(np.int64).tolist(), real(inside).view(np.int64).tolist(), strict=True):
             want |= {(band, key, tag) for band in bands}
     assert got == want
+
+
+def test_texts_of_a_block_are_read_at_once_and_apart(monkeypatch):
+    """One call hashes the words of many short texts; paragraphs and edges are those of each text alone."""
+    import pyarrow as pa
+
+    calls, real = [], S.word_hashes
+    sizes = (0, 1, 29, 30, 31, 49, 50, 51, 52, 80, 300)
+    texts = [None, "", "x " * 500, *(f" {prose(('t', n), n).upper()}. " for n in sizes), "x " * 35]
+    monkeypatch.setattr(S, "word_hashes", lambda *a: calls.append(1) or real(*a))
+    (got,) = P.blocks(pa.array(texts))
+    assert len(calls) == 1
+    sides, _ = P.around(got, np.arange(len(got.of)))
+    row = 0
+    for i, text in enumerate(texts):
+        data = (text or "").lower().encode()
+        words = real(data, *S.word_spans(data))
+        hashes = S.shingle_hashes(words, P.SHINGLE)
+        room = max(0, len(words) - P.PARAGRAPH + 1)
+        for start in P.anchors(hashes[:room], min(P.ANCHORS, room)) if room else []:
+            own = hashes[start : start + P.PARAGRAPH - P.SHINGLE + 1]
+            assert (got.of[row], got.starts[row], got.left[row]) == (i, start, len(words) - start - P.PARAGRAPH)
+            assert (got.inside[row] == own).all()
+            assert got.keys[row] == S.mixed((own * P._SLOTS).sum(keepdims=True))[0]
+            edges = words[max(0, start - P.EDGE) : start][::-1], words[start + P.PARAGRAPH :][: P.EDGE]
+            for side, edge in zip(sides[:, row], edges, strict=True):
+                assert (side == np.append(edge, np.zeros(P.EDGE - len(edge), np.uint64))).all()
+            row += 1
+    assert row == len(got.of) > len(sizes)
+    monkeypatch.setattr(P, "BLOCK", 600)
+    apart = list(P.blocks(pa.array(texts)))
+    assert len(apart) > 3
+    for c in ("of", "starts", "left", "keys", "inside"):
+        assert (np.concatenate([getattr(x, c) for x in apart]) == getattr(got, c)).all()
