@@ -14,7 +14,8 @@ paragraphs wherever it stands, and every passage of at least PARAGRAPH + ANCHORS
    shingles.
 4. Different paragraphs of one band key are verified by the exact Jaccard similarity of their shingles (32-bit
    hashes). A key's members are grouped by search from member to member, all keys of a batch at once, so that a link
-   is tested unless it is already implied, and the links of a key are at most its members less one.
+   is tested unless it is already implied. Members of a key with many are compared only if they share one of their
+   rarest shingles, as similar ones do, so that most pairs of a large key cost nothing.
 5. Components are the clusters. A cluster that stands in two documents or more is a repeated passage; the
    place with the smallest id and position is kept; all that do not overlap it are removals, also in its text.
 6. The places carry one hash of the 20 words on either side. An exact passage of 50 words or more begins and ends
@@ -48,6 +49,7 @@ EDGE = ANCHORS - 1
 BANDS = 4
 ROWS = 2
 SIMILARITY = 0.8
+CROWD = 64  # members of a band key that are compared without an index
 BITMAP_BITS = 25
 
 _EDGE_SLOTS = S.mixed(np.arange(101, EDGE + 101, dtype=np.uint64)) | np.uint64(1)
@@ -326,19 +328,62 @@ def edges(docs: DataFrame, text: str, asked: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "edge long, words array<long>")
 
 
+def meetings(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and groups: all similar sets of one band have a group in common; equal groups stand together.
+
+    A small band is a group. Most members of a large one share only what is common in it, so they are grouped by their
+    rarest values: of two similar sets, these have one in common (prefix filter, exact), and most others meet nobody.
+    """
+    at = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1]))) if len(band) else np.zeros(0, np.int64)
+    count = np.diff(np.append(at, len(band)))
+    group = np.repeat(np.arange(len(at)), count)
+    large, width = count > CROWD, sets.shape[1]
+    rows, groups, last = [np.flatnonzero(~large[group])], [group[~large[group]]], len(at)
+    for begin, n in zip(at[large].tolist(), count[large].tolist(), strict=True):
+        _, place, often = np.unique(sets[begin : begin + n], return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+        ranks = np.sort(rank[place.reshape(n, width)], axis=1)
+        single = np.concatenate((np.ones((n, 1), bool), ranks[:, 1:] != ranks[:, :-1]), axis=1)
+        sizes = single.sum(axis=1)
+        if sizes.min() == width:
+            first = np.full(n, width - _common(width, least) + 1)
+        else:  # the other set may be smaller
+            first = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 1
+        member, column = np.nonzero(single & (single.cumsum(axis=1) <= first[:, None]))
+        value = ranks[member, column]
+        order = np.argsort(value, kind="stable")
+        met = np.bincount(value)[value[order]] > 1
+        rows.append(begin + member[order][met])
+        groups.append(last + value[order][met])
+        last += len(often)
+    return np.concatenate(rows), np.concatenate(groups)
+
+
+def _common(width: int, least: float) -> int:
+    """How many values two similar sets of ``width`` have in common at least."""
+    return int(np.ceil(2 * width * least / (1 + least) - 1e-9))
+
+
 def links(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (member, earlier member) that join all sets of one band whose Jaccard similarity reaches ``least``.
 
-    ``band`` is sorted, ``sets`` holds one set per row, of equally many values with repeats. One member of every band
-    is compared with those left in it, in turn: first the members already reached, then the next one. Two sets without
-    repeats that are similar have a value in common among the first few of either (prefix filter).
+    ``band`` is sorted, ``sets`` holds one set per row, of equally many values with repeats.
     """
+    rows, groups = meetings(band, sets, least)
+    a, b = _joined(groups, sets[rows], least)
+    return rows[a], rows[b]
+
+
+def _joined(band: np.ndarray, sets: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups, whose rows stand together: one member of every group is compared with those left in it, in
+    turn: first the members already reached, then the next one. Two sets without repeats that are similar have a value
+    in common among the first few of either (prefix filter)."""
     sets = np.sort(sets, axis=1)
     single = np.concatenate((np.ones((len(sets), 1), bool), sets[:, 1:] != sets[:, :-1]), axis=1)
     sizes = single.sum(axis=1)
     width = sets.shape[1]
-    common_least = int(np.ceil(2 * width * least / (1 + least) - 1e-9))
-    heads = np.ascontiguousarray(sets[:, : width - common_least + 1].T)
+    heads = np.ascontiguousarray(sets[:, : width - _common(width, least) + 1].T)
     rows, reached, out = np.arange(len(band)), np.zeros(len(band), bool), ([], [])
     while len(rows):
         at = np.flatnonzero(np.concatenate(([True], band[rows[1:]] != band[rows[:-1]])))

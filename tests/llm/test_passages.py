@@ -212,3 +212,30 @@ def test_texts_of_a_block_are_read_at_once_and_apart(monkeypatch):
     assert len(apart) > 3
     for c in ("of", "starts", "left", "keys", "inside"):
         assert (np.concatenate([getattr(x, c) for x in apart]) == getattr(got, c)).all()
+
+
+def test_members_of_a_large_key_are_compared_only_if_they_can_be_similar(monkeypatch):
+    """The sets of a frequent phrase have a part in common; comparing all of them took time with the square of the key."""
+    rng = np.random.default_rng(6)
+    n, width = 3000, 26
+    rows = rng.integers(1000, 1 << 32, (n, width), dtype=np.uint32)
+    rows[:, :15] = np.arange(15)
+    rows[1::10, :24] = rows[::10, :24]  # similar to the one before
+    rows[2::20, :3] = rows[2::20, 20:23]  # repeats inside a set
+    rows[3::20] = rows[2::20]
+    rows[3::20, 0] = 99
+    band = np.zeros(n, np.int64)
+    assert (np.bincount(P.meetings(band, rows, 0.8)[1]) ** 2).sum() < 20 * n
+    rows, band = np.concatenate((rows[:300], rows[:70], rows[100:300])), np.repeat([0, 1, 2], (300, 70, 200))
+    monkeypatch.setattr(P, "CROWD", 100)
+    a, b = P.links(band, rows, 0.8)
+    sets = [set(r) for r in rows.tolist()]
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if band[i] == band[j]]
+    every = [(i, j) for i, j in every if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got, want = list(range(len(rows))), list(range(len(rows)))
+    for parent, found in ((got, zip(a.tolist(), b.tolist(), strict=True)), (want, every)):
+        for i, j in found:
+            old, new = parent[i], parent[j]
+            parent[:] = [new if p == old else p for p in parent]
+    names = lambda ps: [ps.index(p) for p in ps]
+    assert names(got) == names(want) and 50 < len(rows) - len(set(want)) < len(rows) // 2
