@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,14 +22,17 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.rows import each_struct
 from quillspark.operators import net
 from quillspark.operators.features import fit_minmax
-from quillspark.session import cut_lineage
+from quillspark.operators.scale import global_index, lookup_join
+from quillspark.operators.tfidf import tallies
+from quillspark.session import cut_lineage, written
 
 ALL_TERMS = (1 << 31) - 1  # Spark ML's largest vocabulary
 
@@ -50,17 +54,99 @@ def fit_features(
         inputCol="_counts", outputCol="_weighted", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)
     )
     unit = Normalizer(inputCol="_weighted", outputCol="_tfidf", p=2.0)
+    scaled = ", ".join(f"{e} AS _s_{c}" for c, e in zip(numeric, _scaled(train, numeric), strict=True))
+    scale = SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__")
+    assemble = VectorAssembler(
+        inputCols=["_tfidf", *[f"_s_{c}" for c in numeric]], outputCol="features", handleInvalid="keep"
+    )
+    return PipelineModel([counter, weigh, unit, scale, assemble])
+
+
+def _scaled(train: DataFrame, numeric: Sequence[str]) -> list[str]:
+    """Each number between its bounds in ``train``, as SQL."""
     bounds = fit_minmax(train, numeric).first()
     scaled = []
     for c in numeric:
         low = bounds[f"min_{c}"] or 0.0
         span = (bounds[f"max_{c}"] or 0.0) - low
-        scaled.append(f"(CAST({c} AS DOUBLE) - {low!r}D) / {(span or 1.0)!r}D AS _s_{c}")
-    scale = SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
-    assemble = VectorAssembler(
-        inputCols=["_tfidf", *[f"_s_{c}" for c in numeric]], outputCol="features", handleInvalid="keep"
+        scaled.append(f"(CAST({c} AS DOUBLE) - {low!r}D) / {(span or 1.0)!r}D")
+    return scaled
+
+
+@dataclass(frozen=True)
+class FoldTerms:
+    """Rows with their terms as a sparse vector ``counts`` of numbers, and what each fold needs of a term's weight.
+
+    ``rows`` keeps all columns but the terms; ``terms`` has ``idx``, ``df`` and ``held``, the rows of each fold that have
+    the term. Both are tables in the shared folder. No vocabulary is on the driver.
+    """
+
+    rows: DataFrame
+    terms: DataFrame
+    width: int
+    folds: int
+
+
+def fold_terms(rows: DataFrame, terms: str, folds: int, min_df: int = 2) -> FoldTerms:
+    """Numbers the terms of at least ``min_df`` rows once for all folds, the most frequent first. ``rows`` has a ``fold``."""
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    cells = each_struct(rows, tallies(F.col(terms)), "term", "_row", "fold")
+    held = F.array(*[F.count_if(F.col("fold") == k).cast("int") for k in range(folds)])
+    known = cells.groupBy("term").agg(
+        F.count(F.lit(1)).cast("int").alias("df"), F.sum("tf").alias("_total"), held.alias("held")
     )
-    return PipelineModel([counter, weigh, unit, scale, assemble])
+    known = global_index(known.where(F.col("df") >= min_df), F.desc("_total"), "term", out="idx")
+    known = written(known.select("term", F.col("idx").cast("int").alias("idx"), "df", "held"), "terms")
+    width = known.count()
+    found = lookup_join(cells.drop("fold"), known, ["term"], ["idx"], "df", ["_row", "term"], hint="shuffle_hash")
+    found = found.where(F.col("idx").isNotNull()).groupBy(F.col("_row").alias("_of")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", F.col("tf").cast("double").alias("tf")))).alias("_cells")
+    )
+    none = F.array().cast("array<struct<idx:int,tf:double>>")
+    rows = rows.drop(terms).join(found, F.col("_row") == F.col("_of"), "left").drop("_row", "_of")
+    rows = rows.withColumn("_cells", F.coalesce("_cells", none))
+    return FoldTerms(_vectors(rows, "_cells.idx", "_cells.tf", width, "counts").drop("_cells"), known, width, folds)
+
+
+def _vectors(rows: DataFrame, indices: str, values: str, width: int, out: str) -> DataFrame:
+    """``rows``, written, with the sparse vector ``out`` of two arrays. No name is made for a feature, as Spark ML's
+    assembler does: so many names would outweigh the vocabulary on the driver."""
+    cells = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"),
+        F.col(indices).alias("indices"), F.col(values).alias("values"),
+    )
+    table = rows.withColumn(out, cells)
+    schema = T.StructType([T.StructField(out, VectorUDT()) if f.name == out else f for f in table.schema.fields])
+    return written(table, out, schema)
+
+
+def fold_features(
+    fitted: FoldTerms, numeric: Sequence[str], fold: int | None, min_df: int = 2
+) -> tuple[DataFrame, int]:
+    """As ``fit_features`` on the rows outside ``fold`` (on all for none), and the number of features they have: all
+    rows, written, with the column ``features``. The driver holds one number per term."""
+    rows = fitted.rows
+    train = rows if fold is None else rows.where(F.col("fold") != fold)
+    inside = F.col("df") if fold is None else F.col("df") - F.get("held", F.lit(fold))
+    documents = train.count()
+    df = fitted.terms.select("idx", inside.alias("df")).toArrow()
+    idf = np.zeros(max(fitted.width, 1))
+    had = df.column("df").to_numpy()
+    idf[df.column("idx").to_numpy()] = np.where(had >= min_df, np.log((1 + documents) / (1 + had)) + 1, 0.0)
+    weigh = ElementwiseProduct(inputCol="counts", outputCol="_weighted", scalingVec=Vectors.dense(idf[: fitted.width]))
+    unit = Normalizer(inputCol="_weighted", outputCol="_tfidf", p=2.0)
+    scaled = [F.expr(e) for e in _scaled(train, numeric)]
+    seen = unit.transform(weigh.transform(rows)).withColumn("_unit", F.unwrap_udt("_tfidf"))
+    kept = F.filter(
+        F.arrays_zip(
+            F.concat("_unit.indices", F.array(*[F.lit(fitted.width + k) for k in range(len(numeric))])).alias("i"),
+            F.concat("_unit.values", F.array(*scaled)).alias("v"),
+        ),
+        lambda c: c["v"] != 0,
+    )
+    seen = seen.select(*[c for c in rows.columns if c not in (*numeric, "counts")], kept.alias("_cells"))
+    table = _vectors(seen, "_cells.i", "_cells.v", fitted.width + len(numeric), "features")
+    return table.drop("_cells"), int((had >= min_df).sum()) + len(numeric)
 
 
 def width_of(features: PipelineModel, numeric: Sequence[str]) -> int:
@@ -152,26 +238,41 @@ def training_rows(train: DataFrame) -> DataFrame:
 
 
 # an iteration is one pass over all parts, and each sends a gradient as wide as the features: few rows in many parts
-# cost scheduling, and more parts than cores only shuffle more
-ROWS_PER_PART = 10_000
+# cost scheduling, and from six parts on Spark shuffles the gradients of every iteration
+ROWS_PER_PART = 50_000
 MODELS = ["svm_linear", "svm_rbf", "logreg", "nn"]
+# the solver of a linear machine keeps about so many numbers per feature on the driver, which folds at once share
+SOLVER_NUMBERS = 30
+SOLVER_BYTES = 128 << 20
+
+
+def folds_at_once(name: str, width: int, most: int) -> int:
+    """How many fits of a model may run side by side."""
+    if name in ("logreg", "svm_linear"):
+        return max(1, min(most, SOLVER_BYTES // (8 * SOLVER_NUMBERS * max(width, 1))))
+    return most
 
 
 def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, width: int, seed: int = 0, max_iter: int | None = None
+    name: str,
+    train: DataFrame,
+    test: DataFrame,
+    width: int,
+    seed: int = 0,
+    max_iter: int | None = None,
+    cut: bool = False,
 ) -> tuple[DataFrame, Transformer | None]:
     """Predictions of a fresh model on ``test``; both inputs carry ``features`` and ``target``. The net is no saved
-    stage and gives predictions alone."""
+    stage and gives predictions alone. ``cut`` says that ``train`` is read from a table."""
     if name == "nn":
         return net.fit_predict(train, test, width, seed, max_iter), None
     if name == "svm_rbf":
-        gamma = scale_gamma(train, width)
+        gamma, cut = scale_gamma(train, width), False
         train = fourier_features(train, width, gamma, seed=seed)
         test = fourier_features(test, width, gamma, seed=seed)
     train = balanced_weights(train)
     rows = train.count()
+    train = train.select("features", "target", "weight") if cut else training_rows(train)
     parts = min(rows // ROWS_PER_PART + 1, train.sparkSession.sparkContext.defaultParallelism)
-    if parts < train.rdd.getNumPartitions():
-        train = train.repartition(parts, F.xxhash64("features"))
-    model = classifier(name, rows, width, seed, max_iter).fit(training_rows(train))
+    model = classifier(name, rows, width, seed, max_iter).fit(train.coalesce(parts))
     return model.transform(test).withColumn("pred", F.col("prediction").cast("int")), model

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import features as X
 from quillspark.operators import metrics, models, splits
 from quillspark.operators.tfidf import terms_of
-from quillspark.session import cut_lineage
+from quillspark.session import cut_lineage, dropped
 from quillspark.sources import constants as K
 
 FOLDS_AT_ONCE = 4  # an iteration is a short job, so folds share the cores
@@ -71,30 +71,47 @@ def train_models(
         posts = splits.stratified_kfold(posts, task.key, "target", folds, seed)
     else:
         posts = splits.kfold(posts, task.key, folds, seed)
-    # a checkpoint has parts merged by their size; a cached plan keeps one per shuffle partition, for every pass of every fold
-    rows = cut_lineage(prepare(task, posts))
-    fit = lambda d: models.fit_features(d, "terms", task.numeric, task.min_df, task.max_features)
-    shared = fit(rows) if leaky else None
+    rows = prepare(task, posts)
+    if task.max_features is None:
+        fitted = models.fold_terms(rows, "terms", folds, task.min_df)
+        widest = fitted.width
+    else:
+        # a checkpoint has parts merged by their size; a cached plan keeps one per shuffle partition, for every pass of every fold
+        rows, widest = cut_lineage(rows), task.max_features
+        fit = lambda d: models.fit_features(d, "terms", task.numeric, task.min_df, task.max_features)
+        shared = fit(rows) if leaky else None
+
+    def featured(fold: int) -> tuple[DataFrame, int]:
+        if task.max_features is None:
+            return models.fold_features(fitted, task.numeric, None if leaky else fold, task.min_df)
+        features = shared or fit(rows.where(F.col("fold") != fold))
+        return models.plain_features(features.transform(rows)), models.width_of(features, task.numeric)
 
     def run(fold: int) -> list[DataFrame]:
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        features = shared or fit(train)
-        width = models.width_of(features, task.numeric)
-        train, test = (models.plain_features(features.transform(d)) for d in (train, test))
-        parts = []
+        table, width = featured(fold)
+        train, test = table.where(F.col("fold") != fold), table.where(F.col("fold") == fold)
+        cut, parts = task.max_features is None, []
         for name in names:
-            predicted, _ = models.fit_predict(name, train, test, width, seed, task.max_iter)
+            predicted, _ = models.fit_predict(name, train, test, width, seed, task.max_iter, cut)
+            # the model and the rows of a fold are let go with it
             parts.append(
-                predicted.select(
-                    F.lit(name).alias("model"), F.lit(fold).alias("fold"), task.key,
-                    F.col("target").alias("y"), "pred",
+                cut_lineage(
+                    predicted.select(
+                        F.lit(name).alias("model"), F.lit(fold).alias("fold"), task.key, F.col("target").alias("y"), "pred"
+                    )
                 )
             )
+        if cut:
+            dropped(table)
         return parts
 
-    with ThreadPool(min(FOLDS_AT_ONCE, folds)) as pool:
-        parts = pool.map(inheritable_thread_target(rows.sparkSession)(run), range(folds))
-    return cut_lineage(reduce(DataFrame.unionByName, sum(parts, [])))
+    at_once = min(models.folds_at_once(name, widest, FOLDS_AT_ONCE) for name in names)
+    with ThreadPool(min(at_once, folds)) as pool:
+        parts = pool.map(inheritable_thread_target(posts.sparkSession)(run), range(folds), chunksize=1)
+    if task.max_features is None:
+        dropped(fitted.rows)
+        dropped(fitted.terms)
+    return reduce(DataFrame.unionByName, sum(parts, []))
 
 
 def evaluate_models(predictions: DataFrame) -> DataFrame:

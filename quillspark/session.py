@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,10 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+def written(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
     """``df`` as a compressed table in the shared folder, for what is as large as the input: a checkpoint holds whole
-    rows and is several times larger."""
+    rows and is several times larger. ``schema`` reads it under other types of the same storage."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(schema or df.schema).parquet(folder)
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes the folder of a ``written`` table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -138,3 +138,38 @@ def test_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("feature_rows").collect()} == {("a1", 0, 10), ("a2", 1, 11)}
+
+
+def test_folds_keep_no_vocabulary_on_the_driver(spark, monkeypatch):
+    """Spark ML's counter and assembler keep every term and a name per feature there, for every fold."""
+
+    def refused(*args, **options):
+        raise AssertionError("the vocabulary was collected")
+
+    monkeypatch.setattr(models, "CountVectorizer", refused)
+    monkeypatch.setattr(models, "VectorAssembler", refused)
+    got = C.train_models(C.Task(max_iter=5), posts(spark, 40), ["logreg", "svm_rbf"], folds=2, seed=1)
+    assert got.count() == 80 and got.where("model = 'logreg' and pred <> y").isEmpty()
+
+
+def test_features_of_a_fold_match_the_pipeline(spark):
+    task = C.Task(min_df=2)
+    data = posts(spark, 40).withColumn("fold", F.col("post_id") % 4)
+    data = data.withColumn("text", F.concat("text", F.lit(" only"), F.floor(F.col("post_id") / 2).cast("string")))
+    rows = C.prepare(task, data)
+    fitted = models.fold_terms(rows, "terms", 4, 2)
+    for fold in (0, 3, None):
+        pipeline = models.fit_features(rows if fold is None else rows.where(F.col("fold") != fold), "terms", task.numeric, 2)
+        table, width = models.fold_features(fitted, task.numeric, fold, 2)
+        assert width == models.width_of(pipeline, task.numeric)
+        want = {r.post_id: r.features for r in pipeline.transform(rows).collect()}
+        found = {r.post_id: r.features for r in table.collect()}
+        assert len(found) == 40 and table.schema["features"].metadata == {}
+        for key, vector in found.items():
+            assert sorted(vector.values) == pytest.approx(sorted(v for v in want[key].toArray() if v))
+
+
+def test_wide_fits_take_turns(spark):
+    assert models.folds_at_once("logreg", 10_000, 4) == 4
+    assert models.folds_at_once("svm_linear", 500_000, 4) == 1
+    assert models.folds_at_once("svm_rbf", 500_000, 4) == 4
