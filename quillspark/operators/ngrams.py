@@ -15,10 +15,8 @@ from quillspark.functions import draws as R
 from quillspark.functions import text as T
 from quillspark.functions.let import let
 from quillspark.functions.rows import each, each_struct
-from quillspark.operators.scale import small_side
-from quillspark.session import cut_lineage, written
-
-ASKED_PAIRS = 500_000  # up to so many pairs of words are sent to every task that reads the counts
+from quillspark.operators.scale import ASKED_ROWS, asked_only, small_side
+from quillspark.session import cut_lineage, dropped, written
 
 
 def window_starts(size: Column, n: int) -> Column:
@@ -216,21 +214,22 @@ def continued(pairs: DataFrame, continuations: DataFrame, seed: int, steps: int
     """(w1, w2, words): every distinct pair of ``pairs`` and the up to ``steps`` words drawn after it.
 
     A step draws only for the pairs that its walks have reached, from the counts as they are kept; few pairs are sent to
-    every task, so that a step moves none of the counts. Each walk has the distribution of separate draws, and walks
+    every task, so that a step moves none of the counts, and of more pairs a bitmap is. Each walk has the distribution of separate draws, and walks
     that meet at the same pair in the same step go on alike. A walk ends at a pair without a next word, so an unknown
     pair has an empty list; a pair with a null word is left out."""
     counts = written(continuations, "continuations")
     walks = pairs.select("w1", "w2").dropna().distinct()
     none = F.array().cast("array<string>")
-    walks = cut_lineage(walks.withColumns({"p1": F.col("w1"), "p2": F.col("w2"), "words": none, "_open": F.lit(True)}))
+    walks = written(walks.withColumns({"p1": F.col("w1"), "p2": F.col("w2"), "words": none, "_open": F.lit(True)}), "walks")
     for s in range(steps):
-        asked = walks.where("_open").select(F.col("p1").alias("w1"), F.col("p2").alias("w2")).distinct()
-        reached = counts.join(small_side(asked, ASKED_PAIRS), ["w1", "w2"], "left_semi")
+        asked = walks.where("_open").select(F.col("p1").alias("w1"), F.col("p2").alias("w2"))
+        reached = asked_only(counts, asked, ["w1", "w2"])
         known = _drawn(reached, seed, range(s, s + 1)).select(
             F.col("w1").alias("p1"), F.col("w2").alias("p2"), F.get("drawn", F.lit(0)).alias("_next")
         )
+        known, before = small_side(cut_lineage(known), ASKED_ROWS), walks
         walks = walks.join(known, ["p1", "p2"], "left").withColumn("next", F.when(F.col("_open"), F.col("_next")))
-        walks = cut_lineage(
+        walks = written(
             walks.select(
                 "w1",
                 "w2",
@@ -238,8 +237,11 @@ def continued(pairs: DataFrame, continuations: DataFrame, seed: int, steps: int
                 F.coalesce("next", "p2").alias("p2"),
                 F.concat("words", F.array_compact(F.array("next"))).alias("words"),
                 F.col("next").isNotNull().alias("_open"),
-            )
+            ),
+            "walks",
         )
+        dropped(before)
+    dropped(counts)
     return walks.select("w1", "w2", "words")
 
 

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from quillspark.session import cut_lineage
 
 HOT_SHARE = 0.001
+#: Words of 64 bits in a filter of keys: that many rows at most are sent to every task.
+FILTER_WORDS = 1 << 21
+#: Up to so many keys that are asked for are sent to every task.
+ASKED_ROWS = 500_000
 
 
 def md5_bucket(key: Column, digits: int = 4) -> Column:
@@ -104,6 +108,36 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def _mark(key: Column) -> tuple[Column, Column]:
+    """The word of the filter and the bit in it that stand for a 64-bit key."""
+    at = F.pmod(key, F.lit(FILTER_WORDS * 64))
+    return F.floor(at / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def known_to(rows: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows of ``rows`` whose 64-bit key may be in ``others``: all that are and some more, the fewer the sparser the
+    filter. It is a bitmap, so that most strings which nothing asks for are dropped before they are moved."""
+    word, bit = _mark(F.col(other))
+    bits = others.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    word, bit = _mark(F.col(key))
+    marked = rows.withColumn("_at", word).withColumn("_one", bit)
+    found = marked.join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return found.where(F.col("_bits").bitwiseAND(F.col("_one")) != 0).select(*rows.columns)
+
+
+def asked_only(rows: DataFrame, asked: DataFrame, keys: Sequence[str], few: int | None = None) -> DataFrame:
+    """The rows of ``rows`` whose ``keys`` are in ``asked``. Few keys are sent to every task; more of them first make a
+    bitmap, so that of a large table only the rows which may be asked for, and some more, are moved to meet them."""
+    keys = list(keys)
+    asked = cut_lineage(asked.select(*keys).dropna().distinct())
+    if asked.count() <= (ASKED_ROWS if few is None else few):
+        return rows.join(F.broadcast(asked), keys, "left_semi")
+    hashes = asked.select(F.xxhash64(*keys).alias("_o"))
+    near = known_to(rows.withColumn("_k", F.xxhash64(*keys)), "_k", hashes, "_o")
+    # an inner join, since Catalyst would move a semi join below the bitmap
+    return near.join(asked, keys).select(*rows.columns)
+
+
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan that has fewer splits than the session has cores, such as one small
     file with a long text per row; larger inputs come back as they are."""

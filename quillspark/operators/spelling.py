@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import edits as E
 from quillspark.functions.rows import each, each_struct
-from quillspark.operators.scale import small_side, spread_work
+from quillspark.operators.scale import known_to, small_side, spread_work
 
 #: Up to so many terms, some hundred strings each, are a hash table that is dealt out by the shuffle.
 FEW_TERMS = 20_000
-#: Words of 64 bits in the filter of the strings of the terms: that many rows at most are sent to every task.
-FILTER_WORDS = 1 << 21
 
 
 def known_edits(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -171,23 +169,6 @@ def misspelt(vocabulary: DataFrame, channel: DataFrame) -> DataFrame:
     )
 
 
-def _mark(key: Column) -> tuple[Column, Column]:
-    """The word of the filter and the bit in it that stand for a 64-bit key."""
-    at = F.pmod(key, F.lit(FILTER_WORDS * 64))
-    return F.floor(at / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
-
-
-def known_to(rows: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
-    """The rows of ``rows`` whose 64-bit key may be in ``others``: all that are and some more, the fewer the sparser the
-    filter. It is a bitmap, so that most strings which nothing asks for are dropped before they are moved."""
-    word, bit = _mark(F.col(other))
-    bits = others.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    word, bit = _mark(F.col(key))
-    marked = rows.withColumn("_at", word).withColumn("_one", bit)
-    found = marked.join(F.broadcast(bits), F.col("_at") == F.col("_word"))
-    return found.where(F.col("_bits").bitwiseAND(F.col("_one")) != 0).select(*rows.columns)
-
-
 def candidates(terms: DataFrame, vocabulary: DataFrame, channel: DataFrame) -> DataFrame:
     """(term, word, score) for every vocabulary word one or two possible errors away: the channel probability of the
     error plus that of every pair of errors.

@@ -8,7 +8,9 @@ gram whose text starts with it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +20,8 @@ from quillspark.functions import text as T
 from quillspark.functions.let import let
 from quillspark.functions.rows import each_struct
 from quillspark.operators import ngrams as N
-from quillspark.operators.scale import lookup_join, running_total, small_side
-from quillspark.session import cut_lineage, written
-
-ASKED_ROWS = 500_000  # up to so many contexts are sent to every task that reads the model
+from quillspark.operators.scale import asked_only, lookup_join, running_total
+from quillspark.session import cut_lineage, dropped, written
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,22 @@ def fit(
         grams = written(grams, "grams")
         row = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         sizes = (row[0], row[1])
-    if not chars:
-        gram = F.col("gram")
-        ctx = N.before_last(gram) if n > 1 else F.lit("")
-        grams = grams.select("gram", ctx.alias("ctx"), N.last_word(gram).alias("last"), "n")
-    return LanguageModel(n, chars, grams, N.clean_term_counts(docs, text), sizes)
+    lm = LanguageModel(n, chars, grams, N.clean_term_counts(docs, text), sizes)
+    return replace(lm, grams=_cut_again(lm, grams).select("gram", "ctx", "last", "n"))
+
+
+def _parts_of(lm: LanguageModel) -> list[str]:
+    """The columns of a gram's context and last unit that must be kept, since the gram alone does not tell them."""
+    return ["ctx", "last"] if lm.chars else []
+
+
+def _cut_again(lm: LanguageModel, grams: DataFrame) -> DataFrame:
+    """Grams of words with their ``ctx`` and ``last``, which take no room in a kept table."""
+    if lm.chars:
+        return grams
+    gram = F.col("gram")
+    ctx = N.before_last(gram) if lm.order > 1 else F.lit("")
+    return grams.withColumns({"ctx": ctx, "last": N.last_word(gram)})
 
 
 def _prefix_rows(lm: LanguageModel, k: Column) -> Column:
@@ -112,7 +123,7 @@ def prefix_counts(
         rows = lm.grams.select(
             F.explode(F.sequence(F.lit(1), upto)).alias("_k"), "gram", "last", "n"
         ).select(F.substring("gram", F.lit(1), F.col("_k")).alias("prefix"), "last", "n")
-    starting = rows.join(wanted, "prefix", "left_semi")
+    starting = asked_only(rows, wanted, ["prefix"])
     return starting.groupBy("prefix", "last").agg(F.sum("n").alias("n")).unionByName(everything)
 
 
@@ -157,11 +168,11 @@ def score_windows(
         pairs = prefix_counts(lm, asked, match).select(
             F.col("prefix").alias("ctx"), F.col("last").alias("next"), "n"
         )
-    # only the contexts that are asked for; a small set of them is broadcast at run time
+    # only the contexts that are asked for
     asked = rows.select("ctx")
     if parity:
         asked = asked.unionByName(rows.select(_clipped("ctx").alias("ctx")))
-    pairs = pairs.join(asked.where(F.col("ctx").isNotNull()).distinct(), "ctx", "left_semi")
+    pairs = asked_only(pairs, asked, ["ctx"])
     pairs = written(pairs, "asked") if lm.counted is not None else pairs  # four joins read it
     totals = pairs.groupBy("ctx").agg(F.sum("n").alias("total"))
     size, total = lm.sizes()
@@ -213,7 +224,7 @@ def smooth(lm: LanguageModel, pairs: DataFrame) -> DataFrame:
     """Add-one probability of each (ctx, next) of ``pairs``."""
     size, total = lm.sizes()
     hot = {"spread": ["ctx", "next"], "total": total.cast("double")}
-    asked = lm.grams.join(pairs.select("ctx").distinct(), "ctx", "left_semi").select("ctx", "last", "n")
+    asked = asked_only(lm.grams, pairs, ["ctx"]).select("ctx", "last", "n")
     asked = written(asked, "asked") if lm.counted is not None else asked
     totals = asked.groupBy("ctx").agg(F.sum("n").alias("total"))
     hits = asked.select("ctx", F.col("last").alias("next"), F.col("n").alias("hit"))
@@ -262,7 +273,7 @@ def _prefixes(lm: LanguageModel, wanted: DataFrame) -> DataFrame:
 def _prefix_totals(lm: LanguageModel, wanted: DataFrame, match: str) -> DataFrame:
     """(prefix, total) for the prefixes of ``wanted`` that a gram starts with."""
     if match == "token":
-        counts = _prefixes(lm, wanted)
+        counts = asked_only(_prefixes(lm, wanted), wanted, ["prefix"])
     else:
         counts = prefix_counts(lm, wanted, match)
     return counts.groupBy("prefix").agg(F.sum("n").alias("total"))
@@ -276,7 +287,7 @@ def _estimate(lm: LanguageModel, rows: DataFrame, match: str, parity: bool) -> D
     totals = _prefix_totals(lm, wanted, match).withColumnRenamed("total", "_total")
     if match == "token":
         pairs = rows.select(F.col("_prefix").alias("prefix"), F.col("next").alias("last")).distinct()
-        hits = _prefixes(lm, wanted).join(pairs, ["prefix", "last"], "left_semi")
+        hits = asked_only(_prefixes(lm, wanted), pairs, ["prefix", "last"])
         hits = hits.groupBy("prefix", "last").agg(F.sum("n").alias("n"))
     else:
         hits = prefix_counts(lm, wanted, match)
@@ -328,6 +339,7 @@ class Sampler:
 
     contexts: DataFrame
     guide: DataFrame
+    grams: DataFrame
 
 
 def _counted(lm: LanguageModel) -> tuple[int, int]:
@@ -341,8 +353,7 @@ def sampler(lm: LanguageModel, asked: DataFrame | None = None) -> Sampler:
     """Guide tables of all contexts, or of those in ``asked.ctx``, whose grams are written once."""
     grams = lm.grams
     if asked is not None:
-        asked = small_side(asked.select("ctx").where(F.col("ctx").isNotNull()).distinct(), ASKED_ROWS)
-        grams = written(grams.join(asked, "ctx", "left_semi").select("gram", "ctx", "last", "n"), "asked")
+        grams = written(asked_only(grams, asked, ["ctx"]).select("gram", "ctx", "last", "n"), "asked")
     total = F.lit(max(_counted(lm)[1], 1))
     contexts = grams.groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_grams"))
     hot = F.broadcast(contexts.where(F.col("_grams") > HOT_GRAMS))
@@ -364,7 +375,7 @@ def sampler(lm: LanguageModel, asked: DataFrame | None = None) -> Sampler:
     guide = sized.select(
         "ctx", _reached(F.col("total"), F.col("bins")).alias("bin"), "lo", "hi", "gram", "last"
     )
-    return Sampler(contexts.select("ctx", "total", bins), guide)
+    return Sampler(contexts.select("ctx", "total", bins), guide, grams)
 
 
 def _bin_of(x: Column, total: Column, bins: Column) -> Column:
@@ -382,9 +393,15 @@ def draw_next(lm: LanguageModel, rows: DataFrame, key: str, seed: int, step: int
     Adds ``gram`` and ``last``. The draw depends only on (seed, key, step). Only the grams of the contexts that are
     asked for are ordered, and of the whole model only the buckets that a uniform draw falls into.
     """
+    return _drawn(lm, sampler(lm, rows), rows, key, seed, step, lambda: _slots(lm, F.lit(1), _counted(lm)[0]))
+
+
+def _drawn(
+    lm: LanguageModel, s: Sampler, rows: DataFrame, key: str, seed: int, step: int, slots: Callable[[], DataFrame]
+) -> DataFrame:
+    """``draw_next`` with the guide tables ``s``; ``slots`` gives those of a uniform draw."""
     keep = rows.columns
     size, total = _counted(lm)
-    s = sampler(lm, rows)
     drawn = cut_lineage(lookup_join(rows, s.contexts, ["ctx"], ["total", "bins"], "total", [key], total=F.lit(float(total))))
     known = drawn.where(F.col("total").isNotNull()).withColumn(
         "_draw", draws.draw_below(F.col("total"), seed, F.col(key), F.lit(step))
@@ -400,21 +417,43 @@ def draw_next(lm: LanguageModel, rows: DataFrame, key: str, seed: int, step: int
     new = drawn.where(F.col("total").isNull()).select(*keep)
     if new.isEmpty():
         return known
-    return known.unionByName(_draw_any(lm, new, F.lit(1), size, key, seed, step))
+    return known.unionByName(_draw_any(lm, new, F.lit(1), size, key, seed, step, slots))
+
+
+def _bucketed(lm: LanguageModel, weight: Column) -> DataFrame:
+    """(_b, gram, last, _w): the grams with the bucket of their md5, which the model may hold already."""
+    bucket = F.col("_b") if "_b" in lm.grams.columns else _bucket(F.col("gram"))
+    return lm.grams.select(bucket.alias("_b"), "gram", "last", weight.cast("long").alias("_w"))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.conv(F.substring(F.md5(gram), 1, 4), 16, 10).cast("int")
+
+
+def _slots(lm: LanguageModel, weight: Column, total: int) -> DataFrame:
+    """Where a draw below ``total`` falls among the weights of the 65,536 buckets of md5."""
+    sums = _bucketed(lm, weight).groupBy("_b").agg(F.sum("_w").alias("_t"), F.count(F.lit(1)).alias("_c"))
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
+    sums = sums.withColumn("hi", F.sum("_t").over(upto)).withColumn("lo", F.col("hi") - F.col("_t"))
+    return cut_lineage(sums.select("*", _reached(F.lit(total), F.lit(1 << 16)).alias("_slot")))
 
 
 def _draw_any(
-    lm: LanguageModel, rows: DataFrame, weight: Column, total: int, key: str, seed: int, step: int
+    lm: LanguageModel,
+    rows: DataFrame,
+    weight: Column,
+    total: int,
+    key: str,
+    seed: int,
+    step: int,
+    slots: Callable[[], DataFrame] | None = None,
 ) -> DataFrame:
     """``rows`` with ``gram`` and ``last``: a draw from all grams in the order of their md5, by ``weight``, whose sum is
     ``total``. The weights of 65,536 buckets of md5 tell where a draw falls; only the grams of those buckets are ordered."""
     if not total:
         return rows.select("*", *[F.lit(None).cast("string").alias(c) for c in ("gram", "last")])
-    grams = lm.grams.select(F.substring(F.md5("gram"), 1, 4).alias("_b"), "gram", "last", weight.cast("long").alias("_w"))
-    sums = grams.groupBy("_b").agg(F.sum("_w").alias("_t"), F.count(F.lit(1)).alias("_c"))
-    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # one row per bucket
-    sums = sums.withColumn("hi", F.sum("_t").over(upto)).withColumn("lo", F.col("hi") - F.col("_t"))
-    slots = cut_lineage(sums.select("*", _reached(F.lit(total), F.lit(1 << 16)).alias("_slot")))
+    grams = _bucketed(lm, weight)
+    slots = _slots(lm, weight, total) if slots is None else slots()
     draw = draws.draw_below(F.lit(total), seed, F.col(key), F.lit(step))
     placed = rows.withColumn("_draw", draw).withColumn("_mine", _bin_of(F.col("_draw"), F.lit(total), F.lit(1 << 16)))
     inside = (F.col("_mine") == F.col("_slot")) & (F.col("_draw") >= F.col("lo")) & (F.col("_draw") < F.col("hi"))
@@ -463,7 +502,8 @@ def generate(
 ) -> DataFrame:
     """Extend every seed to ``length`` units. A null context starts from a gram drawn by weight; a
     longer context is cut to ``length``. Every step reads the model for the contexts it asks, which costs a scan but
-    no shuffle of the model, and cuts the lineage of the seeds."""
+    no shuffle of the model, and cuts the lineage of the seeds. What all steps need of md5 is made once, and what a step
+    has written of the model goes with it."""
 
     def units(c: Column) -> Column:
         return N.characters(c) if lm.chars else T.split_each_white(c)
@@ -479,9 +519,14 @@ def generate(
     )
     smallest = rows.agg(F.min("_size")).first()[0]
     steps = 0 if smallest is None else max(0, length - smallest)
+    if steps > 1:
+        marked = written(lm.grams.withColumn("_b", _bucket(F.col("gram"))).select("gram", "n", "_b", *_parts_of(lm)), "marked")
+        lm = replace(lm, grams=_cut_again(lm, marked), counted=_counted(lm))
+    slots = cache(lambda: _slots(lm, F.lit(1), _counted(lm)[0]))
     for step in range(1, steps + 1):
         open_rows = rows.where(F.col("_size") < length)
-        drawn = draw_next(lm, open_rows, key, seed, step)
+        s = sampler(lm, open_rows)
+        drawn = _drawn(lm, s, open_rows, key, seed, step, slots)
         longer = drawn.select(
             key,
             F.concat("_text", F.lit(lm.sep), "last").alias("_text"),
@@ -489,5 +534,8 @@ def generate(
             (F.col("_size") + 1).alias("_size"),
         )
         rows = cut_lineage(rows.where(F.col("_size") >= length).unionByName(longer))
+        dropped(s.grams)
+    if steps > 1:
+        dropped(marked)
     cut = F.array_join(F.slice(units(F.col("_text")), 1, length), lm.sep)
     return rows.select(key, cut.alias("generated"))

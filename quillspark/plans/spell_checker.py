@@ -12,7 +12,7 @@ from quillspark.functions import text as T
 from quillspark.functions.rows import each_at, each_struct
 from quillspark.operators import ngrams as N
 from quillspark.operators import spelling as S
-from quillspark.operators.scale import lookup_join
+from quillspark.operators.scale import asked_only, lookup_join
 from quillspark.plans import language_model as L
 from quillspark.session import cut_lineage
 
@@ -173,7 +173,7 @@ def best_words(
     )
     keyed = spots.where(F.col("choices").isNotNull()).select("spot", "term", F.explode("keys").alias("_k")).select("spot", "term", "_k.key")
     asked = keyed.where(F.col("key").isNotNull()).select("key").distinct()
-    postings = cut_lineage(_postings(lm).join(asked, "key", "left_semi"))
+    postings = cut_lineage(asked_only(_postings(lm), asked, ["key"]))
     many = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > wide).select(F.col("key").alias("many"))
     many = cut_lineage(many)
     keyed = keyed.join(many, F.col("key") == F.col("many"), "left")

@@ -62,7 +62,7 @@ def written(df: DataFrame, name: str = "table", schema: StructType | None = None
     rows and is several times larger. ``schema`` reads it under other types of the same storage."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(schema or df.schema).parquet(folder)
 
 

@@ -92,3 +92,21 @@ def test_weights_are_joined_and_sorted_in_parts_that_follow_the_texts(spark):
     assert weights.rdd.getNumPartitions() == parts
     assert weights.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 80_000 / parts * 2
     assert weights.count() == 80_000
+
+
+def test_only_what_may_be_asked_is_moved(spark, monkeypatch):
+    """With more keys than a broadcast takes, a bitmap stands before the exchange of the large side."""
+    from quillspark.operators import scale
+
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("ctx"), (F.col("id") * 2).alias("n"))
+    asked = spark.range(0, 40_000, 40).select(F.col("id").cast("string").alias("ctx")).unionByName(
+        spark.createDataFrame([(None,), ("40",)], "ctx string")
+    )
+    want = {str(i): 2 * i for i in range(0, 20_000, 40)}
+    for few in (10, 10_000):
+        got = scale.asked_only(rows, asked, ["ctx"], few)
+        assert {r.ctx: r.n for r in got.collect()} == want and got.count() == len(want) and got.columns == ["ctx", "n"]
+    plan = scale.asked_only(rows, asked, ["ctx"], 10)._jdf.queryExecution().optimizedPlan().toString()
+    # the bitmap is joined below, so deeper in the plan than, the join with the keys
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and "rightHint" in joins[1] and "_word" in joins[1]
