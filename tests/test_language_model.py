@@ -246,3 +246,21 @@ def test_a_step_draws_for_the_pairs_reached(spark, monkeypatch):
     monkeypatch.undo()
     steps = N.drawn_successors(table, 5, 3).where("w1 = 'x'").first().drawn
     assert [N._drawn(table, 5, [s]).where("w1 = 'x'").first().drawn[0] for s in range(3)] == steps
+
+
+def test_steps_share_what_they_need_of_the_model(spark, monkeypatch):
+    """The buckets of md5 are summed once for all steps, and a step's copy of the model's rows goes with it."""
+    from quillspark.plans import language_model as L
+
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} d e f g{i % 5} h") for i in range(30)], "doc_id int, text string")
+    lm = L.fit(docs, 3, keep=True)
+    seeds = spark.createDataFrame([(1, "a b c1"), (2, "no such words"), (3, "x")], "seed_id int, context string")
+    sums, gone, real, drop = [], [], L._slots, L.dropped
+    monkeypatch.setattr(L, "_slots", lambda *a: sums.append(1) or real(*a))
+    monkeypatch.setattr(L, "dropped", lambda t: gone.append(1) or drop(t))
+    got = {r.seed_id: r.generated.split(" ") for r in L.generate(lm, seeds, 4, 5).collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 4, 2: 4, 3: 4}
+    assert len(sums) == 1 and len(gone) == 4
+    # the draws are those of single steps
+    step = L.draw_next(lm, spark.createDataFrame([(1, "b c1"), (2, "such words"), (3, "x")], "seed_id int, ctx string"), "seed_id", 5, 1)
+    assert all(got[r.seed_id][3 if r.seed_id < 3 else 1] == r["last"] for r in step.collect())
