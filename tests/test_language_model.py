@@ -264,3 +264,20 @@ def test_steps_share_what_they_need_of_the_model(spark, monkeypatch):
     # the draws are those of single steps
     step = L.draw_next(lm, spark.createDataFrame([(1, "b c1"), (2, "such words"), (3, "x")], "seed_id int, ctx string"), "seed_id", 5, 1)
     assert all(got[r.seed_id][3 if r.seed_id < 3 else 1] == r["last"] for r in step.collect())
+
+
+def test_uniform_draws_move_a_bucket_once(spark, monkeypatch):
+    from quillspark.plans import language_model as L
+
+    docs = spark.createDataFrame([(i, f"a b c{i} d e{i} f") for i in range(40)], "doc_id int, text string")
+    lm = L.fit(docs, 3, keep=True)
+    rows = spark.range(60).select("id", F.lit("no such").alias("ctx"))
+    draw = lambda: L._draw_any(lm, rows, F.lit(1), lm.counted[0], "id", 3, 1)
+    few = draw()
+    assert "rightHint=(strategy=broadcast)" in few._jdf.queryExecution().optimizedPlan().toString().splitlines()[1]
+    monkeypatch.setattr(L, "ASKED_ROWS", 10)  # many draws meet only the bins they fall into
+    got = {r.id: r.gram for r in few.collect()}
+    assert len(got) == 60 and {r.id: r.gram for r in draw().collect()} == got
+    order = [r.gram for r in lm.grams.orderBy(F.md5("gram"), "gram").collect()]
+    at = rows.select("id", L.draws.draw_below(F.lit(lm.counted[0]), 3, F.col("id"), F.lit(1)).alias("d")).collect()
+    assert got == {r.id: order[r.d] for r in at}
