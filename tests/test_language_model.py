@@ -281,3 +281,22 @@ def test_uniform_draws_move_a_bucket_once(spark, monkeypatch):
     order = [r.gram for r in lm.grams.orderBy(F.md5("gram"), "gram").collect()]
     at = rows.select("id", L.draws.draw_below(F.lit(lm.counted[0]), 3, F.col("id"), F.lit(1)).alias("d")).collect()
     assert got == {r.id: order[r.d] for r in at}
+
+
+def test_prefixes_are_dropped_before_they_are_counted(spark):
+    from quillspark.plans import language_model as L
+
+    lm = L.fit(spark.createDataFrame([(1, "a b c d a b e")], "doc_id int, text string"), 3, keep=True)
+    wanted = spark.createDataFrame([("a b",), ("x y",)], "prefix string")
+    totals = L._prefix_totals(lm, wanted, "token")
+    assert [tuple(r) for r in totals.collect()] == [("a b", 2)]
+    assert "Join LeftSemi" in totals._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_continuation_drops_what_a_step_has_written(spark, monkeypatch):
+    counts = spark.createDataFrame([("a", "b", "c", 2), ("b", "c", "d", 1)], "w1 string, w2 string, w3 string, n long")
+    gone, drop = [], N.dropped
+    monkeypatch.setattr(N, "dropped", lambda t: gone.append(1) or drop(t))
+    pairs = spark.createDataFrame([("a", "b"), ("x", "y")], "w1 string, w2 string")
+    got = {(r.w1, r.w2): r.words for r in N.continued(pairs, counts, 1, 3).collect()}
+    assert got == {("a", "b"): ["c", "d"], ("x", "y"): []} and len(gone) == 4

@@ -148,8 +148,9 @@ def test_folds_keep_no_vocabulary_on_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(models, "CountVectorizer", refused)
     monkeypatch.setattr(models, "VectorAssembler", refused)
-    got = C.train_models(C.Task(max_iter=5), posts(spark, 40), ["logreg", "svm_rbf"], folds=2, seed=1)
-    assert got.count() == 80 and got.where("model = 'logreg' and pred <> y").isEmpty()
+    names = ["logreg", "svm_linear", "svm_rbf", "nn"]
+    got = C.train_models(C.Task(max_iter=5), posts(spark, 40), names, folds=2, seed=1)
+    assert got.count() == 160 and got.where("model = 'logreg' and pred <> y").isEmpty()
 
 
 def test_features_of_a_fold_match_the_pipeline(spark):
